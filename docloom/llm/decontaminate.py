@@ -61,6 +61,20 @@ def item_windows(benchmark: DataFrame, n: int) -> DataFrame:
     )
 
 
+def merge_spans(spans: Column) -> Column:
+    """Sorted word intervals, with those that overlap or touch made one."""
+    kind = "array<struct<s:int,e:int>>"
+    last = lambda acc: F.element_at(acc, -1)
+
+    def add(acc: Column, x: Column) -> Column:
+        grown = F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e"))
+        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        joins = (F.size(acc) > 0) & (last(acc)["e"] >= x["s"])
+        return F.when(joins, F.concat(head, F.array(grown).cast(kind))).otherwise(F.concat(acc, F.array(x).cast(kind))).cast(kind)
+
+    return F.aggregate(spans, F.array().cast(kind), add)
+
+
 def scan(documents: DataFrame, windows: DataFrame, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document row: doc_id, text_key, n_words, n_hit, spans (merged word intervals), items."""
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # 1 to n: at most n values
@@ -95,17 +109,7 @@ def scan(documents: DataFrame, windows: DataFrame, n: int, block_rows: int = BLO
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
-    merged = F.aggregate(
-        F.array_sort("hits"),
-        F.array().cast("array<struct<s:int,e:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
-    )
+    merged = merge_spans(F.sort_array("hits"))
     return (
         hits.groupBy("doc_id", "text_key")
         .agg(
