@@ -71,4 +71,18 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM x
 """
 
-ORACLES = {"op1_decontamination": OP1, "op5_quality": OP5, "op7_mixing": OP7}
+OP10 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({BLANK_WORDS % (LOWER % 'text')}, []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i:i + 3] AS sh
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,
+       least(d.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = d.doc_id), d.doc_id)) AS component_id,
+       (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op10_jaccard": OP10, "op1_decontamination": OP1, "op5_quality": OP5, "op7_mixing": OP7}

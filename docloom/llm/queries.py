@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, mixing, quality
+from docloom.llm import decontaminate, jaccard, mixing, quality
 from docloom.llm.oracle import ORACLES
 from docloom.session import table
 
@@ -36,11 +36,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.link_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op5_quality": op5_quality,
         "op7_mixing": op7_mixing,
+        "op10_jaccard": op10_jaccard,
     }
 
 
