@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, jaccard, mixing, quality
+from docloom.llm import decontaminate, jaccard, mixing, quality, sharding
+from docloom.llm.common import scratch
 from docloom.llm.oracle import ORACLES
 from docloom.session import table
 
@@ -26,6 +27,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.shard(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+    return sharding.shard_rows(store).select("doc_id", "shard", "shard_bytes", "tier", "version")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left"
@@ -41,9 +47,17 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_decontamination": op1_decontamination,
+        "op2_sharding": op2_sharding,
         "op5_quality": op5_quality,
         "op7_mixing": op7_mixing,
         "op10_jaccard": op10_jaccard,
