@@ -85,4 +85,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,
 FROM d LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op10_jaccard": OP10, "op1_decontamination": OP1, "op5_quality": OP5, "op7_mixing": OP7}
+OP9 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+g AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM g)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM m
+"""
+
+ORACLES = {"op9_warc_zip": OP9, "op10_jaccard": OP10, "op1_decontamination": OP1, "op5_quality": OP5, "op7_mixing": OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, jaccard, mixing, quality, sharding
+from docloom.llm import decontaminate, html_text, jaccard, mixing, quality, sharding, substring_dedup, warc
 from docloom.llm.common import scratch
 from docloom.llm.oracle import ORACLES
 from docloom.session import table
@@ -32,16 +32,31 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(store).select("doc_id", "shard", "shard_bytes", "tier", "version")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "n_chunks", "first_doc_id", "removed_bytes")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left"
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark, "warc")
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), root)
+    return warc.read_archives(archives, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.link_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
@@ -58,8 +73,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": pipeline,
         "op1_decontamination": op1_decontamination,
         "op2_sharding": op2_sharding,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_quality": op5_quality,
+        "op6_html_text": op6_html_text,
         "op7_mixing": op7_mixing,
+        "op9_warc_zip": op9_warc_zip,
         "op10_jaccard": op10_jaccard,
     }
 
