@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other scripts stay as they are."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, blank_words, quoted, without, written
+from docloom.llm.common import ascii_lower, blank_words, count_blank_words, let, quoted, without, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -40,36 +40,67 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(ascii_lower(line), r"[\x20\x09-\x0D]+", " ")))
 
 
+#: Low bits of a packed window that hold its place; a text of more words takes the longer way.
+PLACE = (1 << 24) - 1
+
+
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that are found twice or more.
 
-    Windows are strings cut from the joined words. Only where a window repeats are they
-    sorted with their places; equal neighbours are then the repeats.
+    A window is packed into a long: high bits of its hash, low bits its place. Equal neighbours
+    of the sorted longs are candidates; their words are compared. Where any two differ (a
+    collision) or places don't fit, the windows themselves are sorted instead.
     """
-    joined = F.array_join(words, " ")
-    windows = F.regexp_extract_all(joined, F.lit(r"(?=([^ ]+ [^ ]+ [^ ]+))[^ ]+"), F.lit(1))
+
+    def packed(h: Column) -> Column:
+        window = lambda x, i: F.xxhash64(x, h[i + 1], h[i + 2]).bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))
+        return F.sort_array(F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), window))
+
+    def candidates(s: Column) -> Column:
+        place = lambda x: x.bitwiseAND(F.lit(PLACE)).cast("int")
+        both = lambda a, b: F.when(F.shiftright(a, 24) == F.shiftright(b, 24), F.struct(place(a).alias("a"), place(b).alias("b")))
+        return F.array_compact(F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.size(s)), both))
+
+    def starts(pairs: Column) -> Column:
+        other = lambda x: (words[x["a"]] != words[x["b"]]) | (words[x["a"] + 1] != words[x["b"] + 1]) | (words[x["a"] + 2] != words[x["b"] + 2])
+        ends = F.flatten(F.transform(pairs, lambda x: F.array(x["a"], x["b"])))
+        return F.when((F.size(words) > PLACE) | F.exists(pairs, other), repeat_starts(word_windows(words))).otherwise(F.sort_array(F.array_distinct(ends)))
+
+    none = F.lit(0).cast("long")
+    found = lambda p: F.when(F.size(p) > 0, let(starts(p), covered_words)).otherwise(none)
+    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: let(packed(h), lambda s: let(candidates(s), found)))
+
+
+def word_windows(words: Column) -> Column:
+    return F.regexp_extract_all(F.array_join(words, " "), F.lit(r"(?=([^ ]+ [^ ]+ [^ ]+))[^ ]+"), F.lit(1))
+
+
+def repeat_starts(windows: Column) -> Column:
+    """Sorted places of the windows that are found twice or more."""
     placed = F.sort_array(F.arrays_zip(windows.alias("w"), F.sequence(F.lit(0), F.size(windows) - 1).alias("p")))
-    pairs = F.zip_with(
-        F.slice(placed, 1, F.size(placed) - 1),
-        F.slice(placed, 2, F.size(placed) - 1),
-        lambda a, b: F.when(a["w"] == b["w"], F.array(a["p"], b["p"])),
-    )
-    starts = F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
-    # each start covers three words; where the next start is nearer, only the words before it
+    places = lambda a, b: F.when(a["w"] == b["w"], F.array(a["p"], b["p"]))
+    pairs = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), places)
+    return F.sort_array(F.array_distinct(F.flatten(F.array_compact(let(placed, pairs)))))
+
+
+def covered_words(starts: Column) -> Column:
+    """Each start covers three words, or only those before the next start."""
     gaps = F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
 def base_stats(text: Column) -> dict[str, Column]:
-    words = blank_words(text)
-    whole = F.coalesce(text, F.lit(""))
-    lines = lines_of(text)
+    """The base counts, given a text that is not null."""
+    return {
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": let(lines_of(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    }
+
+
+def word_stats(words: Column) -> dict[str, Column]:
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeated_words(words),
     }
 
@@ -119,19 +150,24 @@ def assess(
     rows = docs.alias("d").join(over.alias("o"), host.eqNullSafe(F.col("o.host")), "left")
     left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("o.over"), line_key(x)))
     cleaned = F.when(F.col("o.over").isNull(), text).otherwise(F.array_join(left, "\n"))
-    stats = base_stats(text)
+    whole = F.coalesce(text, F.lit(""))
+    in_words = let(blank_words(whole), lambda w: F.struct(*[v.alias(k) for k, v in word_stats(w).items()]))
+    # plain columns, so that each is worked out once however often it is used below
     rows = rows.select(
         *[F.col(f"d.{c}") for c in quoted(docs)],
-        F.struct(*[v.alias(k) for k, v in stats.items()], cleaned.alias("cleaned")).alias("__dl_stats"),
+        in_words.alias("__dl_words"),
+        *[v.alias(f"__dl_{k}") for k, v in base_stats(whole).items()],
+        cleaned.alias("__dl_cleaned"),
     )
-    s = lambda k: F.col("__dl_stats")[k]
-    left_words = F.when(s("cleaned").eqNullSafe(F.col("text")), s("n_words")).otherwise(F.size(blank_words(s("cleaned"))).cast("long"))
-    failed = (s("n_words") < min_words) | (100 * s("n_repeat_words") > max_repeat_percent * s("n_words"))
+    values = {k: F.col("__dl_words")[k] if k in ("n_words", "word_chars", "n_repeat_words") else F.col(f"__dl_{k}") for k in ADDED[:5]}
+    n_words, cleaned = values["n_words"], F.col("__dl_cleaned")
+    left_words = F.when(cleaned.eqNullSafe(F.col("text")), n_words).otherwise(count_blank_words(cleaned))
+    failed = (n_words < min_words) | (100 * values["n_repeat_words"] > max_repeat_percent * n_words)
     rows = rows.select("*", left_words.alias("n_words_left"), failed.alias("base_failed"))
-    kept = ~F.col("base_failed") & (100 * F.col("n_words_left") >= min_left_percent * s("n_words"))
+    kept = ~F.col("base_failed") & (100 * F.col("n_words_left") >= min_left_percent * n_words)
     return rows.select(
-        *[s("cleaned").alias("text") if c == "`text`" else F.col(c) for c in quoted(docs)],
-        *[s(k).alias(k) for k in stats],
+        *[cleaned.alias("text") if c == "`text`" else F.col(c) for c in quoted(docs)],
+        *[v.alias(k) for k, v in values.items()],
         "base_failed",
         "n_words_left",
         kept.alias("kept"),
