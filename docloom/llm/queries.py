@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, html_text, jaccard, mixing, quality, sharding, substring_dedup, warc
+from docloom.llm import decontaminate, html_text, jaccard, mixing, pii, quality, sharding, substring_dedup, warc
 from docloom.llm.common import scratch
 from docloom.llm.oracle import ORACLES
 from docloom.session import table
@@ -51,6 +51,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entity_types")
+
+
 def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "warc")
     archives = warc.write_archives(table(spark, sf_dir, "pages"), root)
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_html_text": op6_html_text,
         "op7_mixing": op7_mixing,
+        "op8_pii_surrogates": op8_pii_surrogates,
         "op9_warc_zip": op9_warc_zip,
         "op10_jaccard": op10_jaccard,
     }
