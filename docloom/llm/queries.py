@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, html_text, jaccard, mixing, pii, quality, sharding, substring_dedup, warc
+from docloom.llm import decontaminate, html_text, jaccard, mixing, pii, quality, secrets, sharding, substring_dedup, warc
 from docloom.llm.common import scratch
 from docloom.llm.oracle import ORACLES
 from docloom.session import table
@@ -32,6 +32,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(store).select("doc_id", "shard", "shard_bytes", "tier", "version")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.example_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "at", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), "probability", "is_secret")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", "n_chunks", "first_doc_id", "removed_bytes")
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": pipeline,
         "op1_decontamination": op1_decontamination,
         "op2_sharding": op2_sharding,
+        "op3_secrets": op3_secrets,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_quality": op5_quality,
         "op6_html_text": op6_html_text,
