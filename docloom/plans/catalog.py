@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from docloom.plans import relational_plans, search_plans, text_plans  # noqa: F401  they register their queries
+from docloom.plans.registry import ORACLES, QUERIES, Query
+from docloom.plans.search_plans import flagship  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
