@@ -6,9 +6,9 @@ node. The steps:
 1. Each node's *l-prefix*: its smallest hashes, so many that two sets of the wanted
    similarity have l of them in common (l grows with the set). A node with too few
    prefix tokens that any other node has can't have a partner and is set aside.
-2. The others are dealt into groups of similar nodes (by their smallest shared token,
-   split so that groups stay small), and the matrix keeps for each group the union of
-   its members' prefix tokens.
+2. The others are dealt into groups of similar nodes (by the token that they share with
+   most other nodes, split so that groups stay small), and the matrix keeps for each group
+   the union of its members' prefix tokens.
 3. A node's overlap with a group's union bounds its overlap with every member, so
    only groups that reach the needed overlap are opened.
 4. Opened groups are verified exactly, over whole sets, in blocks of bounded size: a block
@@ -165,7 +165,8 @@ def link_edges(sketches: DataFrame, documents: DataFrame, classes: DataFrame, wo
     # of the nodes left, some shared a token only with nodes that are gone
     prefix = written(shared_tokens(prefix.select("token", "node", "n"), percent), "prefix")
 
-    groups = prefix.groupBy("node", "n").agg(F.min("token").alias("lead"))
+    common = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    groups = prefix.join(common, "token").groupBy("node", "n").agg(F.max(F.struct("held", "token"))["token"].alias("lead"))
     sizes = groups.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / group_size).alias("parts"))
     members = written(
         groups.join(sizes, "lead").select("node", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("grp")), "groups"
