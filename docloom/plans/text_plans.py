@@ -149,7 +149,7 @@ def repetition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH b AS (SELECT item_id, {_WORDS.format(c='text')} AS w FROM benchmark)
     SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS jaccard
-    FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.2"""
+    FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.05"""
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items whose word sets overlap, found through their words: no cross join."""
@@ -158,7 +158,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = words.toDF("a", "na", "word"), words.toDF("b", "nb", "word")
     both = left.join(right, "word").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
     score = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return both.filter(score >= 0.2).select("a", "b", F.round(score, 6).alias("jaccard"))
+    return both.filter(score >= 0.05).select("a", "b", F.round(score, 6).alias("jaccard"))
 
 
 @query("SELECT a.n_name AS name, b.n_name AS other, CAST(levenshtein(a.n_name, b.n_name) AS BIGINT) AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND abs(length(a.n_name) - length(b.n_name)) <= 2 AND levenshtein(a.n_name, b.n_name) <= 2")
