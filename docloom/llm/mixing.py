@@ -52,8 +52,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_
         .withColumn("weight_all", F.sum("weight").over(everything))
         .withColumn("budget", F.sum("source_size").over(everything) * (budget_percent / 100))
         .withColumn("level", level)
-        # the first source in filling order that its level does not fill sets the level of all after it
-        .withColumn("final", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)["level"])
+        # the first source in filling order that its level does not fill sets the level of all after it;
+        # taking later ones for filled only lowers the level, so the first has the highest
+        .withColumn("final", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
     )
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("final") * F.col("weight"), F.col("cap").cast("double")))
     return filled.select("source", "source_size", "weight", target.alias("target"))

@@ -61,7 +61,7 @@ r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 f AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
       FROM r),
-m AS (SELECT min_by(level, cap / weight) AS final FROM f WHERE level * weight <= cap),
+m AS (SELECT max(level) AS final FROM f WHERE level * weight <= cap),
 t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(CAST(cap AS DOUBLE), coalesce(final * weight, cap)) AS target FROM f, m),
 x AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
              CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix-1'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS coin

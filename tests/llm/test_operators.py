@@ -1,0 +1,353 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.llm import decontaminate, html_text, jaccard, mixing, pii, quality, secrets, sharding, substring_dedup, warc
+from docloom.llm.common import scratch
+from tests.llm import fixtures
+from tests.llm.fixtures import prose
+
+
+def documents(spark, rows=None):
+    return spark.createDataFrame(fixtures.document_rows() if rows is None else rows, fixtures.DOCUMENTS)
+
+
+def doc(i, text, source="a"):
+    return (i, text, "en", source, None, 0, "", False, 0.0)
+
+
+# 1
+
+
+def test_small_blocks_give_the_same_hits(spark):
+    bench = spark.createDataFrame(fixtures.benchmark_rows(), "item_id long, text string")
+    key = lambda df: sorted(map(repr, df.select("doc_id", "n_words", "n_hit", "items", "copies", "contaminated").collect()))
+    assert key(decontaminate.contamination(documents(spark), bench)) == key(decontaminate.contamination(documents(spark), bench, block_rows=40))
+
+
+def test_removal_of_documents_and_spans(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m")], "item_id long, text string")
+    rows = [doc(1, "Start, a b c d e f g h; i j k l M -- end."), doc(2, "clean text"), doc(None, None), doc(1, "other text of the same id")]
+    docs = documents(spark, rows)
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "clean text", "other text of the same id"]
+    spans = {r.text for r in decontaminate.decontaminate(docs, bench, remove="spans").collect()}
+    assert spans == {"Start, end.", "clean text", None, "other text of the same id"}
+
+
+# 2
+
+
+def test_store_appends_compacts_and_reads_back(spark):
+    store = sharding.ShardStore(spark, scratch(spark, "t"), target_bytes=200_000, fanout=3)
+    docs = documents(spark)
+    for part in range(4):
+        store.append(docs.repartition(3))
+    before, runs = sorted(map(repr, store.read().collect())), len(store.latest().shards)
+    assert store.latest().number == 4 and runs == 12 and len(before) == 4 * docs.count()
+    done = store.compact()
+    assert len(done.shards) < runs and sorted(map(repr, store.read().collect())) == before
+    assert sorted(map(repr, store.read(2).collect())) == sorted([*map(repr, docs.collect())] * 2)  # older versions stay readable
+    assert store.vacuum() > 0 and sorted(map(repr, store.read().collect())) == before
+    tiers = defaultdict(int)
+    for s in done.shards:
+        tiers[store.tier(s.bytes)] += 1
+    assert all(t == 0 or n < 3 or store._parts([s for s in done.shards if store.tier(s.bytes) == t]) >= n for t, n in tiers.items())
+
+
+def test_second_writer_of_a_version_fails(spark):
+    root = scratch(spark, "t")
+    a, b = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
+    first = a.append(documents(spark))
+    a.append(documents(spark))
+    with pytest.raises(sharding.ManifestConflict):
+        b._commit(first, first.schema, first.shards)
+    assert a.latest().number == 2
+    with pytest.raises(ValueError):
+        a.append(documents(spark).select("doc_id"))
+
+
+# 3
+
+
+def test_forest_on_held_out_findings(spark):
+    labelled = secrets.example_findings(spark, 3000)
+    model = secrets.train(labelled.filter("id < 2000"))
+    scored = model.transform(secrets.with_features(labelled.filter("id >= 2000")))
+    assert scored.filter("label = prediction").count() / scored.count() > 0.97
+
+
+def test_findings_cover_whole_texts(spark):
+    key, sha = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    text = "x " * 50_000 + f'token = "{key}" and\ncommit {sha} plainwordswithoutdigits 12345678901234567890'
+    model = secrets.train(secrets.example_findings(spark, 2000))
+    found = secrets.scan(documents(spark, [doc(1, text), doc(2, None), doc(3, "")]), model).collect()
+    assert {(r.candidate, r.is_secret) for r in found} == {(key, True), (sha, False)}
+    assert next(r for r in found if r.candidate == sha).before == "commit "
+
+
+# 4
+
+
+def test_cuts_resist_insertions():
+    import pyarrow as pa
+
+    text = prose(3, 4000)
+    a, b = (next(substring_dedup.chunks_of(pa.array([t]), 5, 16, 512)) for t in (text, text[:9000] + "INSERTED" + text[9000:]))
+    assert len(set(a[1]) - set(b[1])) <= 3 and a[0][-1] == len(text.encode())
+    assert all(x <= 512 for x in np.diff([0, *a[0]]))
+
+
+def test_gear_equals_the_rolling_recurrence():
+    data = np.frombuffer(prose(4, 200).encode(), np.uint8)
+    h, want = 0, []
+    for b in data:
+        h = ((h << 1) + int(substring_dedup._GEAR[b])) & 0xFFFFFFFF
+        want.append(h)
+    with np.errstate(over="ignore"):
+        assert substring_dedup.gear(data, np.zeros(len(data), bool)).tolist() == want
+
+
+def test_repeated_passages_against_brute_force(spark):
+    """Every document with a passage of over 50 words of another is found; documents without stay clean."""
+    r = random.Random(8)
+    passages = [prose(900 + i, 55) for i in range(12)]
+    rows, planted = [], set()
+    for i in range(120):
+        text = prose(2000 + i, r.randrange(30, 200))
+        if i % 3 == 0:
+            text = text + "\n" + r.choice(passages) + "\n" + prose(5000 + i, 20)
+        rows.append(doc(i, text))
+    windows = defaultdict(set)
+    for i, t, *_ in rows:
+        w = t.split()
+        for k in range(len(w) - 50):
+            windows[tuple(w[k : k + 51])].add(i)
+    planted = {i for ids in windows.values() if len(ids) > 1 for i in ids}
+    docs = documents(spark, rows)
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert planted and {x.doc_id for x in found} == planted
+    cleaned = {x.doc_id: x.text for x in substring_dedup.remove_repeats(docs).collect()}
+    texts = dict((i, t) for i, t, *_ in rows)
+    for i, t in texts.items():
+        lost = sum(x.removed_bytes for x in found if x.doc_id == i)
+        assert len(cleaned[i].encode()) == len(t.encode()) - lost
+    firsts = {min(ids) for ids in windows.values() if len(ids) > 1}
+    assert all(cleaned[i] == texts[i] for i in firsts - {x.doc_id for x in found if x.removed_bytes})
+
+
+# 5
+
+
+def test_depleted_documents_go_and_lines_are_cut(spark):
+    docs = documents(spark)
+    found = quality.assess(docs)
+    assert set(docs.columns) <= set(found.columns) and found.columns.count("kept") == 1
+    rows = {r.doc_id: r for r in found.collect()}
+    assert not rows[150].kept
+    assert all("subscribe" not in rows[100 + i].text.lower() for i in range(14)) and all(rows[100 + i].kept for i in range(14))
+    assert rows[0].text == fixtures.document_rows()[0][1] and rows[3].text is None and not rows[3].kept
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
+
+
+def test_depletion_rejects_without_base_failure(spark):
+    lines = [f"{prose(i, 8, 9000)}".replace("\n", " ") for i in range(20)]
+    common = [prose(40 + i, 12, 9000).replace("\n", " ") for i in range(6)]
+    rows = [doc(i, prose(300 + i, 80) + "\n" + "\n".join(common)) for i in range(12)] + [doc(99, "\n".join([*common, lines[0]]))]
+    found = {r.doc_id: r for r in quality.assess(documents(spark, rows)).collect()}
+    assert not found[99].base_failed and not found[99].kept and all(found[i].kept for i in range(12))
+
+
+def test_colliding_windows_take_the_exact_way(spark):
+    words = F.split(F.lit("a b c d a b c e"), " ")
+    starts = quality.repeat_starts(quality.word_windows(words))
+    assert spark.range(1).select(starts, quality.covered_words(starts), quality.repeated_words(words)).first() == ([0, 4], 6, 6)
+
+
+# 6
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x = "</p><p>no";</script></head><body class="home page">
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies on this site and so on</div>
+<div id="sidebar"><p>Side text that is long enough to be good and has the words of a text in it</p></div>
+<article><header><h1>The  title</h1></header><p>First &lt;para&gt; with <b>bold</b> and <a href="/x">a link</a> in it, long enough to be decided as good text.</p>
+<p>Short.<p>Unclosed <i>one<p>caf&eacute;&nbsp;&#8364; 5<br>next</p><div class="ad-slot">Buy now</div><form><label>Mail</label><input></form>
+<ul class="share"><li><a href="/t">Tweet</a></li></ul><aside>Related</aside><footer>By me</footer></article>
+<section id="comments"><p>A reader's comment that is long enough to be good and has the words of a text in it</p></section><footer>&copy; all of it</footer>"""
+
+
+def test_page_furniture_goes(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, "u", "<p>" + "the of and to " * 5 + "</p><p>hi</p>"), (4, "u", PAGE[:900])], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in html_text.extract(pages.withColumn("text", F.lit("clash"))).collect()}
+    assert rows[1].text.split("\n") == ["The title", "First <para> with bold and a link in it, long enough to be decided as good text.", "Short.", "Unclosed one", "café € 5 next"]
+    assert rows[2].text == "" and rows[2].n_chars == 0
+    assert rows[3].text == ("the of and to " * 5).strip() + "\nhi"  # the short block inherits
+    assert rows[4].text.startswith("The title")
+
+
+def test_articles_of_the_table(spark, small):
+    """In the test pages the article element is the main text: compare with a plain reading of it."""
+    import html as h
+
+    for r in html_text.extract(spark.read.parquet(f"{small}/pages.parquet")).collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", r.html, re.S)[1]
+        parts = [" ".join(h.unescape(re.sub(r"<[^>]*>", " " if "br" in p else "", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
+        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+# 7
+
+
+def brute_targets(sizes, weights=(5, 2, 1)):
+    names = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, free, target = 1.5 * sum(sizes.values()), set(names), {}
+    while free:
+        total = sum(weight[s] for s in free)
+        above = {s for s in free if left * weight[s] / total > 2 * sizes[s]}
+        if not above:
+            return target | {s: left * weight[s] / total for s in free}
+        for s in above:
+            target[s] = 2.0 * sizes[s]
+        left -= sum(2 * sizes[s] for s in above)
+        free -= above
+    return target
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_equal_repeated_resharing(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"s{i}": r.choice([0, 3, 50, 1000, 90000]) for i in range(9)} | {None: 40}
+    got = mixing.source_targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")).collect()
+    want = brute_targets(sizes)
+    assert {x.source: pytest.approx(x.target) for x in got} == want
+
+
+def test_mix_takes_near_the_target(spark):
+    rows = [doc(i, "w " * (5 + i % 7), f"s{i % 5}") for i in range(4000)]
+    docs = documents(spark, rows)
+    sums = mixing.rates(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert all(abs(x.taken - x.target) < 0.06 * x.target and x.most <= 2 for x in sums)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == mixing.rates(docs).agg(F.sum("copies")).first()[0]
+
+
+# 8
+
+
+def test_surrogates(spark):
+    text = "Ask Anna Roth or Ms Roth: +1 (017) 555-7713, Anna.ROTH@Example.com, anna.roth@example.com, 4111 1111 1111 1111, Иван Петров, 10.1.22.255."
+    docs = documents(spark, [doc(1, text), doc(2, "Mail anna.roth@example.com!"), doc(3, None), doc(4, "nothing here: 4.0"), doc(1, text)])
+    found = pii.pseudonymise(docs).collect()
+    one, two = next(r for r in found if r.doc_id == 1), next(r for r in found if r.doc_id == 2)
+    assert sum(r.text == one.text for r in found) == 2 and one.n_entities == 8
+    m = re.fullmatch(r"Ask (\w+) (\w+) or Ms (\w+): \+1 \((\d{3})\) (\d{3})-(\d{4}), (\w+)\.([A-Z]{4})@(\w+)\.com, (\w+\.\w+@\w+\.com), (\d{4} \d{4} \d{4} \d{4}), ([А-Я][а-я]+) ([А-Я][а-я]+), (\d{2}\.\d\.\d{2}\.\d{3})\.", one.text)
+    assert m and m[1] in pii.GIVEN["f", "latin"] and m[1] != "Anna" and m[2] == m[3] != "Roth" and m[12] in pii.GIVEN["m", "cyrillic"]
+    assert m[10] == f"{m[7]}.{m[8]}@{m[9]}.com".lower() and two.text == f"Mail {m[10]}!"
+    digits = [int(d) for d in m[11] if d != " "]
+    assert sum(sum(divmod(2 * d, 10)) if k % 2 else d for k, d in enumerate(digits[::-1])) % 10 == 0
+    assert [r.text for r in found if r.doc_id in (3, 4)] == [None, "nothing here: 4.0"]
+    assert pii.pseudonymise(docs, key="other").filter("doc_id = 2").first().text != two.text
+
+
+def test_surrogates_stay_distinct(spark):
+    """All one-letter family names: drawn again until no two share a surrogate and none is real."""
+    names = [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(6) for c in range(6) for d in range(6)]
+    table = pii.surrogates(spark.createDataFrame(names, "kind string, norm string")).collect()
+    assert len({r.surrogate for r in table}) == len(names) and not {r.surrogate for r in table} & {n for _, n in names}
+
+
+# 9
+
+
+def test_archives_round_trip(spark):
+    pages = spark.createDataFrame(fixtures.page_rows(), "page_id long, url string, html string")
+    root = scratch(spark, "t")
+    archives = warc.write_archives(pages.repartition(3), root, archive_bytes=500)
+    assert archives.count() > 3
+    records = warc.read_archives(archives, root).collect()
+    html = {i: (h or "").encode() for i, _, h in fixtures.page_rows()}
+    assert sorted(r.page_id for r in records) == sorted(i for i, *_ in fixtures.page_rows())
+    assert all(bytes(r.payload) == html[r.page_id] for r in records if r.record_type == "response")
+    assert {(r.page_id, r.refers_to) for r in records if r.record_type == "revisit"} == {(2, 1), (3, 1), (9, 8)}
+    assert all(r.payload_bytes == len(html[r.page_id]) for r in records)
+
+
+def test_zip64_directory(tmp_path):
+    import zipfile
+
+    from pyarrow import fs
+
+    path = tmp_path / "many.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for i in range(70_000):  # more members than the plain end record can count
+            z.writestr(f"m{i}", f"<{i}>")
+        z.comment = b"a comment"
+    with fs.LocalFileSystem().open_input_file(str(path)) as f:
+        archive = warc.ZipRanges(f)
+        assert len(archive.members) == 70_000 and archive.range("m69999", 1, 5) == b"69999"
+        with pytest.raises(ValueError):
+            archive.range("m1", 1, 99)
+
+
+def test_damaged_archive_is_told(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 5000)], "page_id long, url string, html string")
+    root = scratch(spark, "t")
+    archives = warc.write_archives(pages, root)
+    path = archives.first().path
+    data = bytearray(open(path, "rb").read())
+    at = data.find(b"\x1f\x8b") + 40
+    data[at] ^= 0xFF
+    open(path, "wb").write(bytes(data))
+    with pytest.raises(Exception):
+        warc.read_archives(archives, root).collect()
+
+
+# 10
+
+
+def brute_components(rows, words, percent):
+    sets = []
+    for _, text, *_ in rows:
+        w = [x for x in re.sub("[A-Z]", lambda m: m[0].lower(), text or "").translate(dict.fromkeys(range(9, 14), " ")).split(" ") if x]
+        sets.append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    label, links = list(range(len(rows))), [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                a, b = label[i], label[j]
+                label = [a if x == b else x for x in label]
+    smallest = {c: min(rows[i][0] for i in range(len(rows)) if label[i] == c) for c in set(label)}
+    return sorted((rows[i][0], len(sets[i]), smallest[label[i]], links[i]) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize(("words", "percent", "group"), [(4, 85, 256), (5, 80, 4), (4, 85, 3)])
+def test_components_against_brute_force(spark, words, percent, group):
+    r = random.Random(words)
+    rows = [doc(x[0], x[1]) for x in fixtures.document_rows() if x[0] != 15]
+    for f in range(4):  # families of edited copies, some near the limit
+        base = prose(60 + f, 90).split(" ")
+        for k in range(25):
+            w = list(base)
+            for _ in range(r.randrange(0, 4)):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            rows.append(doc(1000 + 100 * f + k, " ".join(w)))
+    found = jaccard.link_documents(documents(spark, rows), words, percent, group).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.n_links) for x in found) == brute_components(rows, words, percent)
+
+
+def test_keep_one(spark):
+    rows = [*fixtures.document_rows(), doc(None, prose(5, 300)), doc(None, None)]
+    docs = documents(spark, rows)
+    kept = jaccard.keep_one(docs, words=5, percent=80)
+    ids = [x.doc_id for x in kept.collect()]
+    assert kept.columns == docs.columns and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    assert 0 in ids and not {1, 2} & set(ids) and {3, 4, 5} <= set(ids)
