@@ -104,3 +104,57 @@ def bank_sql() -> str:
     c AS (SELECT doc_id, label, ord, round(least(0.97, 1 - exp(-greatest(score, 0) / 3.2)), 3) AS confidence FROM s)
     SELECT doc_id, label, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) AS rank FROM c WHERE confidence >= 0.46
     """
+
+
+def patterns_held(docs: DataFrame, patterns: dict[str, str], base: float = 0.90, step: float = 0.02, most: float = 0.07) -> DataFrame:
+    """(doc_id, standard, hits, confidence) of standards whose pattern a text holds: base + min(most, step * hits)."""
+    found = F.array(*[F.struct(F.lit(k).alias("standard"), F.regexp_count("text", F.lit(p)).alias("hits")) for k, p in patterns.items()])
+    rows = docs.select("doc_id", F.explode(F.filter(found, lambda x: x["hits"] > 0)).alias("f"))
+    return rows.select("doc_id", "f.standard", "f.hits", F.bround(base + F.least(F.lit(most), step * F.col("f.hits")), 3).alias("confidence"))
+
+
+def capped_score(counts: dict[str, Column], rules: dict[str, tuple[int, int]], cap: int = 100) -> Column:
+    """Sum of weight * min(count, limit), at most cap; rules: name -> (weight, limit)."""
+    parts = [F.least(counts[k], F.lit(limit)) * weight for k, (weight, limit) in rules.items()]
+    return F.least(sum(parts, F.lit(0)), F.lit(cap)).cast("long")
+
+
+def grade(score: Column) -> Column:
+    return F.when(score >= 80, "A").when(score >= 65, "B").when(score >= 50, "C").otherwise("D")
+
+
+def workflow(c: Column, stages: list[str], core: list[str], required: list[str]) -> Column:
+    """.18 + .36 stages + .34 core + .10 order (two stages or more) + .12 required, clamped to 0 to 1."""
+    held = {s: c.contains(s).cast("int") for s in {*stages, *core, *required}}
+    n = sum((held[s] for s in stages), F.lit(0))
+    share = lambda names: sum((held[s] for s in names), F.lit(0)) / len(names)
+    order = (n >= 2).cast("int")
+    raw = 0.18 + 0.36 * (n / len(stages)) + 0.34 * share(core) + 0.10 * order + 0.12 * (share(required) == 1).cast("int")
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).otherwise(F.lit(0.0))
+
+
+def labelled_value(c: Column, label: str, stops: list[str]) -> Column:
+    """What follows a label up to the next known label or the line's end; null if there is none."""
+    until = "|".join(f"{s}\\s*:" for s in stops)
+    return F.nullif(F.trim(F.regexp_extract(c, rf"(?i)\b{label}\s*:\s*(.*?)(?=\s*(?:{until})|\n|$)", 1)), F.lit(""))
+
+
+def is_heading(line: Column) -> Column:
+    """Up to 100 characters: numbered words, or upper case of fewer than six words."""
+    numbered = line.rlike(r"^\d+(?:\.\d+)*[.)]?\s+\p{Lu}")
+    upper = (F.upper(line) == line) & (F.lower(line) != line) & (F.size(F.split(line, r"\s+")) < 6)
+    return (F.length(line) <= 100) & (numbered | upper)
+
+
+def fill_placeholders(c: Column, values: Column) -> Column:
+    """{{ name }} replaced from a map, by exact name, then in any case; unknown ones stay."""
+    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\{\{\s*([\w.-]+)\s*\}\}"), F.lit(1)))
+    folded = F.transform_keys(values, lambda k, v: F.lower(k))
+
+    def put(text: Column, name: Column) -> Column:
+        value = F.coalesce(values[name], folded[F.lower(name)])
+        pattern = F.concat(F.lit(r"\{\{\s*\Q"), name, F.lit(r"\E\s*\}\}"))
+        safe = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        return F.when(value.isNull(), text).otherwise(F.regexp_replace(text, pattern, safe))
+
+    return F.aggregate(names, c, put)

@@ -169,3 +169,65 @@ def levenshtein_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = (F.col("ka") < F.col("kb")) & (F.abs(F.length("name") - F.length("other")) <= 2)
     distance = F.levenshtein("name", "other")
     return a.join(F.broadcast(b), near & (distance <= 2)).select("name", "other", distance.cast("long").alias("distance"))
+
+
+#: Named licences stand in for named standards: the test texts hold these.
+STANDARDS = {"apache": "Apache License", "gpl": "GNU General Public License", "cc": "CC BY(?:-NC)?(?:-SA)? [0-9.]+", "mit": "MIT License"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS standard, CAST(len(regexp_extract_all(text, '{p}')) AS INT) AS hits, round(0.9::DOUBLE + least(0.07::DOUBLE, 0.02::DOUBLE * len(regexp_extract_all(text, '{p}'))), 3) AS confidence FROM documents WHERE regexp_matches(text, '{p}')"
+        for k, p in STANDARDS.items()
+    )
+)
+def regulatory_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.patterns_held(table(spark, sf_dir, "documents"), STANDARDS)
+
+
+@query(
+    """WITH c AS (SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(regexp_extract_all(text, '[0-9]+')) AS numbers, len(regexp_extract_all(text, '@')) AS contacts, len(regexp_extract_all(text, '[|]')) AS bars FROM documents),
+    s AS (SELECT doc_id, CAST(least(100, 10 * least(lines, 4) + 4 * least(numbers, 5) + 5 * least(contacts, 4) + 4 * least(bars, 5)) AS BIGINT) AS score FROM c)
+    SELECT doc_id, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade FROM s"""
+)
+def compliance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    counts = {"lines": F.size(F.split(t, "\n")), "numbers": F.regexp_count(t, F.lit("[0-9]+")), "contacts": F.regexp_count(t, F.lit("@")), "bars": F.regexp_count(t, F.lit("[|]"))}
+    score = N.capped_score(counts, {"lines": (10, 4), "numbers": (4, 5), "contacts": (5, 4), "bars": (4, 5)})
+    return table(spark, sf_dir, "documents").select("doc_id", score.alias("score")).withColumn("grade", N.grade(F.col("score")))
+
+
+#: Function words stand in for the words of a flow's stages.
+FLOWS = {"english": (["the", "and", "with", "from"], ["the", "and"], ["with"]), "german": (["der", "und", "nicht", "mit"], ["der", "und"], ["nicht"])}
+
+
+def _flow_sql(name: str, stages: list[str], core: list[str], required: list[str]) -> str:
+    held = lambda s: f"contains(text, '{s}')::INT"
+    total = lambda names: "(" + " + ".join(map(held, names)) + ")"
+    n = total(stages)
+    raw = f"0.18::DOUBLE + 0.36::DOUBLE * ({n} / {len(stages)}) + 0.34::DOUBLE * ({total(core)} / {len(core)}) + 0.10::DOUBLE * ({n} >= 2)::INT + 0.12::DOUBLE * ({total(required)} = {len(required)})::INT"
+    return f"SELECT doc_id, '{name}' AS flow, round(CASE WHEN {n} > 0 THEN greatest(0, least(1, {raw})) ELSE 0 END, 6) AS score FROM documents"
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(_flow_sql(k, *v) for k, v in FLOWS.items()) + ") WHERE score >= 0.55")
+def workflow_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = F.array(*[F.struct(F.lit(k).alias("flow"), F.round(N.workflow(F.col("text"), *v), 6).alias("score")) for k, v in FLOWS.items()])
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(scored, lambda x: x["score"] >= 0.55)).alias("f"))
+    return rows.select("doc_id", "f.flow", "f.score")
+
+
+@query("SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, count(*) AS turns FROM conversations GROUP BY conv_id")
+def raci_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("r"), F.count(F.lit(1)).alias("turns"))
+    return rows.select("conv_id", F.array_join("r", ",").alias("roles"), "turns")
+
+
+@query(
+    """SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(text, '[A-ZÄÖÜÉÈÀÑ]')) AS BIGINT) AS capitals,
+    CAST(len(regexp_extract_all(text, '[,;:]')) AS BIGINT) AS pauses, round(len(regexp_extract_all(text, '[!?]')) / greatest(length(text), 1), 6) AS emphasis FROM documents"""
+)
+def style_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
+    emphasis = F.round(count("[!?]") / F.greatest(F.length(t), F.lit(1)), 6)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(t, "\n")).cast("long").alias("n_lines"), count("[A-ZÄÖÜÉÈÀÑ]").alias("capitals"), count("[,;:]").alias("pauses"), emphasis.alias("emphasis"))

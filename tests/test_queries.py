@@ -49,3 +49,18 @@ def test_terms_and_refs(spark):
     c = F.col("t")
     r = df.select(entity_refs(c, "CAPA"), contains_term(c, "größen"), contains_term(c, "größe"), truncate(c, 10)).first()
     assert r[0] == ["CAPA-001", "CAPA-A9"] and r[1] and not r[2] and r[3] == "See cap..."
+
+
+def test_labels_headings_and_placeholders(spark):
+    from pyspark.sql import functions as F
+
+    from docloom.functions import nlp as N
+
+    df = spark.createDataFrame([("Owner: Ana Ruiz Status: open\nScope : all", {"Name": "x$1", "b": "y"})], "t string, m map<string,string>")
+    c = F.col("t")
+    r = df.select(N.labelled_value(c, "owner", ["status"]), N.labelled_value(c, "scope", ["status"]), N.labelled_value(c, "missing", ["status"])).first()
+    assert tuple(r) == ("Ana Ruiz", "all", None)
+    heads = spark.createDataFrame([("1.2 Scope",), ("PURPOSE AND SCOPE",), ("a plain line",), ("ONE TWO THREE FOUR FIVE SIX",), ("123",)], "l string")
+    assert [x[0] for x in heads.select(N.is_heading(F.col("l"))).collect()] == [True, True, False, False, False]
+    filled = df.select(N.fill_placeholders(F.lit("{{ Name }} {{name}} {{b}} {{ c }}"), F.col("m"))).first()[0]
+    assert filled == "x$1 x$1 y {{ c }}"
