@@ -40,12 +40,12 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
     "ip": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
-    "person": rf"(?<![\p{{L}}])(?:(?:{TITLES})\.? (?:(?:{_GIVEN}) )?{NAME}|(?:{_GIVEN}) {NAME})",
+    "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.? (?:(?:{_GIVEN}) )?{NAME}|(?:{_GIVEN}) {NAME})",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -172,7 +172,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
     """The documents' columns with surrogates in text, n_entities and entity_types."""
     docs = without(documents, *ADDED)
-    some = F.col("text").rlike(r"\d|@") | F.col("text").rlike(rf"(?:{TITLES})\.? \p{{Lu}}|(?:{_GIVEN}) \p{{Lu}}")
+    some = F.col("text").rlike(r"[0-9@]") | F.col("text").rlike(PATTERNS["person"])
     found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").filter(some).select(
         "doc_id", "text_key", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("entities")
     )
