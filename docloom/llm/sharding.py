@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.common import written
+
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 
@@ -194,5 +196,6 @@ def shard_rows(store: ShardStore) -> DataFrame:
     version = store.latest()
     rows = store.read()
     sizes = store.spark.createDataFrame([(s.path.rpartition("/")[2], s.bytes, store.tier(s.bytes)) for s in version.shards], "shard string, shard_bytes long, tier int")
+    sizes = written(sizes, "shard-sizes")  # as a table it has a known size, so that rows stay where they are
     named = rows.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("shard"), F.lit(version.number).alias("version"))
     return named.join(sizes, "shard")
