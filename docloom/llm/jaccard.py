@@ -11,8 +11,8 @@ node. The steps:
    the union of its members' prefix tokens.
 3. A node's overlap with a group's union bounds its overlap with every member, so
    only groups that reach the needed overlap are opened.
-4. Opened groups are verified exactly, over whole sets, in blocks of bounded size: a block
-   gives each query's number of links and edges that span its links, never all pairs.
+4. Opened groups are verified exactly, over whole sets, in blocks of a group and a bounded
+   number of queries: a block gives each query's number of links and edges that span its links, never all pairs.
 5. Components come from the edges by label propagation.
 
 No bucket is capped and nothing is approximate but for 64-bit hashes (128 bits for equal
@@ -35,6 +35,8 @@ from docloom.llm.common import quoted, written
 from docloom.llm.shingles import mix, shingle_sets
 
 GROUP_SIZE = 256
+#: Queries of one task's block; they are read one by one, only the group's members are held.
+BLOCK_QUERIES = 4096
 
 
 def prefix_need(n, percent: int):
@@ -96,49 +98,49 @@ def least_shared(percent: int) -> Column:
 def verify(blocks: DataFrame, percent: int) -> DataFrame:
     """Rows (grp, chunk, query, node, copies, toks), all of a block together -> (src, dst, links)."""
 
-    def block(members: list, queries: list) -> Iterator[tuple[int, int, int]]:
+    def prepare(members: list) -> tuple:
         ids = np.array([m[0] for m in members])
         copies = np.array([m[1] for m in members])
         sizes = np.array([len(m[2]) for m in members])
         vocabulary, where = np.unique(np.concatenate([m[2] for m in members]), return_inverse=True)
         holder = np.repeat(np.arange(len(members)), sizes)[np.argsort(where, kind="stable")]
         begins = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(vocabulary)))])
-        label = np.arange(len(members))
-        for node, _, toks in queries:
-            at = np.searchsorted(vocabulary, toks)
-            at[at == len(vocabulary)] = 0
-            at = at[vocabulary[at] == toks]
-            counts = begins[at + 1] - begins[at]
-            flat = np.repeat(begins[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else np.zeros(0, np.int64)
-            overlap = np.bincount(holder[flat], minlength=len(members))
-            linked = np.flatnonzero((100 * overlap >= percent * (len(toks) + sizes - overlap)) & (ids != node))
-            if len(linked):
-                yield int(node), int(ids[linked[0]]), int(copies[linked].sum())
-                labels = np.unique(label[linked])
-                for other in labels[1:]:  # what one query links is connected
-                    yield int(ids[labels[0]]), int(ids[other]), 0
-                if len(labels) > 1:
-                    label[np.isin(label, labels)] = labels[0]
+        return ids, copies, sizes, vocabulary, holder, begins, np.arange(len(members))
+
+    def answer(group: tuple, node: int, toks: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """The query's first link with its number of links, and edges that join what it links."""
+        ids, copies, sizes, vocabulary, holder, begins, label = group
+        at = np.searchsorted(vocabulary, toks)
+        at[at == len(vocabulary)] = 0
+        at = at[vocabulary[at] == toks]
+        counts = begins[at + 1] - begins[at]
+        flat = np.repeat(begins[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        overlap = np.bincount(holder[flat], minlength=len(ids))
+        linked = np.flatnonzero((100 * overlap >= percent * (len(toks) + sizes - overlap)) & (ids != node))
+        if len(linked):
+            yield node, int(ids[linked[0]]), int(copies[linked].sum())
+            labels = np.unique(label[linked])
+            for other in labels[1:]:
+                yield int(ids[labels[0]]), int(ids[other]), 0
+            if len(labels) > 1:
+                label[np.isin(label, labels)] = labels[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, queries = None, [], []
-
-        def close() -> pa.RecordBatch:
-            found = list(block(members, queries)) if members and queries else []
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["src", "dst", "links"])
-
+        key, members, group = None, [], None  # of a block the members come first
         for batch in batches:
-            toks = batch.column("toks")
+            toks, found = batch.column("toks"), []
             offsets, values = toks.offsets.to_numpy(), toks.values.to_numpy(zero_copy_only=False)
             columns = [batch.column(c).to_pylist() for c in ("grp", "chunk", "query", "node", "copies")]
             for i, (grp, chunk, query, node, copies) in enumerate(zip(*columns, strict=True)):
                 if (grp, chunk) != key:
-                    if key is not None:
-                        yield close()
-                    key, members, queries = (grp, chunk), [], []
-                (queries if query else members).append((node, copies, values[offsets[i] : offsets[i + 1]].copy()))
-        if key is not None:
-            yield close()
+                    key, members, group = (grp, chunk), [], None
+                mine = values[offsets[i] : offsets[i + 1]]
+                if not query:
+                    members.append((node, copies, mine.copy()))
+                    continue
+                group = group or prepare(members)
+                found.extend(answer(group, node, mine))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["src", "dst", "links"])
 
     return blocks.mapInArrow(run, "src long, dst long, links long")
 
@@ -182,13 +184,13 @@ def link_edges(sketches: DataFrame, documents: DataFrame, classes: DataFrame, wo
         prefix.join(matrix, "token").groupBy("node", "n", "grp").agg(F.count(F.lit(1)).alias("have")).filter(F.col("have") >= least_shared(percent)).select("node", "grp")
     )
     opened = written(opened, "opened")
-    chunks = opened.groupBy("grp").agg(F.count(F.lit(1)).alias("queries"), F.ceil(F.count(F.lit(1)) / group_size).cast("int").alias("parts"))
+    chunks = opened.groupBy("grp").agg(F.count(F.lit(1)).alias("queries"), F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("parts"))
     chunks = written(chunks.filter("queries > 1"), "chunks")  # alone in its group's queries: only its own member
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     asked = opened.join(chunks, "grp").select("grp", part.alias("chunk"), F.lit(True).alias("query"), "node")
     held = members.join(chunks, "grp").select("grp", F.explode(F.expr("sequence(0, parts - 1)")).alias("chunk"), F.lit(False).alias("query"), "node")
     blocks = asked.union(held).join(sets, "node").select("grp", "chunk", "query", "node", "copies", "toks")
-    ordered = blocks.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk")
+    ordered = blocks.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "query")
     return written(verify(ordered, percent), "links")
 
 
