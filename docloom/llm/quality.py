@@ -28,6 +28,7 @@ MIN_DOCS = 10
 MAX_PERCENT = 10
 MIN_LEFT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
+WORD_COUNTS = ("n_words", "word_chars", "n_repeat_words")
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "kept")
 
 
@@ -151,27 +152,25 @@ def assess(
     left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("o.over"), line_key(x)))
     cleaned = F.when(F.col("o.over").isNull(), text).otherwise(F.array_join(left, "\n"))
     whole = F.coalesce(text, F.lit(""))
-    in_words = let(blank_words(whole), lambda w: F.struct(*[v.alias(k) for k, v in word_stats(w).items()]))
-    # plain columns, so that each is worked out once however often it is used below
+
+    def verdict(s: Column) -> Column:
+        left_words = F.when(cleaned.eqNullSafe(text), s["n_words"]).otherwise(count_blank_words(cleaned))
+        failed = (s["n_words"] < min_words) | (100 * s["n_repeat_words"] > max_repeat_percent * s["n_words"])
+        both = F.struct(left_words.alias("left"), failed.alias("failed"))
+        kept = lambda v: ~v["failed"] & (100 * v["left"] >= min_left_percent * s["n_words"])
+        return let(both, lambda v: F.struct(*[s[k].alias(k) for k in WORD_COUNTS], v["left"].alias("n_words_left"), v["failed"].alias("base_failed"), kept(v).alias("kept")))
+
+    # one expression for all that hangs on the words: a filter on the verdict, pushed
+    # below this select, then works it out once and not once for each mention
+    in_words = let(let(blank_words(whole), lambda w: F.struct(*[v.alias(k) for k, v in word_stats(w).items()])), verdict)
     rows = rows.select(
         *[F.col(f"d.{c}") for c in quoted(docs)],
         in_words.alias("__dl_words"),
         *[v.alias(f"__dl_{k}") for k, v in base_stats(whole).items()],
         cleaned.alias("__dl_cleaned"),
     )
-    values = {k: F.col("__dl_words")[k] if k in ("n_words", "word_chars", "n_repeat_words") else F.col(f"__dl_{k}") for k in ADDED[:5]}
-    n_words, cleaned = values["n_words"], F.col("__dl_cleaned")
-    left_words = F.when(cleaned.eqNullSafe(F.col("text")), n_words).otherwise(count_blank_words(cleaned))
-    failed = (n_words < min_words) | (100 * values["n_repeat_words"] > max_repeat_percent * n_words)
-    rows = rows.select("*", left_words.alias("n_words_left"), failed.alias("base_failed"))
-    kept = ~F.col("base_failed") & (100 * F.col("n_words_left") >= min_left_percent * n_words)
-    return rows.select(
-        *[cleaned.alias("text") if c == "`text`" else F.col(c) for c in quoted(docs)],
-        *[v.alias(k) for k, v in values.items()],
-        "base_failed",
-        "n_words_left",
-        kept.alias("kept"),
-    )
+    value = lambda k: F.col(f"__dl_{k}") if k in ("n_symbols", "n_dup_lines") else F.col("__dl_words")[k]
+    return rows.select(*[F.col("__dl_cleaned").alias("text") if c == "`text`" else F.col(c) for c in quoted(docs)], *[value(k).alias(k) for k in ADDED])
 
 
 def keep_good(documents: DataFrame, **rules) -> DataFrame:
