@@ -77,14 +77,13 @@ def stream(key: str, value: Column, attempt: Column) -> Column:
 def masked(value: Column, numbers: Column, keep: Column) -> Column:
     """Digits to digits and letters to letters of their script and case, where keep(place) is not set."""
 
-    def char(c: Column, i: Column) -> Column:
-        n = numbers[i]
+    def char(c: Column, n: Column, kept: Column) -> Column:
         pick = lambda alphabet: F.substring(F.lit(alphabet), n % len(alphabet) + 1, 1)
         letters = "abcdefghijklmnopqrstuvwxyz"
         cyrillic = "абвгдежзийклмнопрстуфхцчшщыьэюя"
         greek = "αβγδεζηθικλμνξοπρστυφχψω"
         return (
-            F.when(F.array_contains(keep, i), c)
+            F.when(kept, c)
             .when(c.rlike("[0-9]"), pick("0123456789"))
             .when(c.rlike(r"\p{IsLatin}") & (F.upper(c) == c), F.upper(pick(letters)))
             .when(c.rlike(r"\p{IsLatin}"), pick(letters))
@@ -96,7 +95,9 @@ def masked(value: Column, numbers: Column, keep: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(value, ""), char), "")
+    # both lists are worked out once, not once for each character
+    every = lambda n: let(keep, lambda k: F.transform(F.split(value, ""), lambda c, i: char(c, n[i], F.array_contains(k, i))))
+    return F.array_join(let(numbers, every), "")
 
 
 def luhn_sum(digits: Column) -> Column:
