@@ -52,12 +52,12 @@ def chunk_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.chunk_uuid(F.col("doc_id"), F.lit(0)).alias("chunk_id"))
 
 
-@query()
+@query("SELECT p_partkey, CAST(CAST('0x' || md5(p_name) AS UHUGEINT) % 2147483647 AS BIGINT) AS sparse_index FROM part")
 def hash_modulo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.hash_modulo(F.col("p_name"), 2**31 - 1).alias("sparse_index"))
 
 
-@query()
+@query("SELECT o_orderkey, 'CAPA-EMB-' || upper(substr(sha1(o_custkey || ':CAPA:' || o_orderpriority), 1, 10)) AS ref FROM orders")
 def synthetic_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", X.synthetic_ref("CAPA", F.col("o_custkey").cast("string"), F.col("o_orderpriority")).alias("ref"))
 
