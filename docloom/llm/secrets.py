@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are tokens of 16 characters or more that mix character classes, and values of
-16 characters or more that are assigned to a name such as ``token`` or ``password``. Each has
+Candidates are tokens of 16 characters or more that mix letters and digits, and those of any
+make that are assigned to a name such as ``token`` or ``password`` or begin as known keys do. Each has
 features of its length, its character transitions, how much of it dictionary words
 cover, the path it stands in and the words next to it. A random forest trained on labelled
 findings tells secrets from other tokens. Candidate search, features and scoring are DataFrame
@@ -38,7 +38,10 @@ DICTIONARY = (
     "key account service client server config index table image button header footer content page file path function return class string number object error "
     "message request response license apache public version general info http https www com org net lorem ipsum hello world abc xyz foo bar baz placeholder insert here"
 ).split()
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: The end of a text before a value that is given to such a name: NAME=, "name": ', <name>, Bearer, --name.
+NAMED = rf"(?i)(?:(?:{KEYWORDS})[\w.-]{{0,30}}[\"'\])]{{0,2}}\s*(?::=|=>|==?|:|>)\s*[\"'`]?|(?:bearer|basic|-(?:{KEYWORDS}))\s+[\"']?)$"
+PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live|sk-|glpat-|AIza|eyJ)"
 FEATURES = (
     "length transition_rate class_count digit_share upper_share hex_only vowel_share longest_letters dictionary_share "
     "after_keyword assigned quoted harmless_near path_test path_like known_prefix distinct_share"
@@ -46,7 +49,7 @@ FEATURES = (
 
 
 def mixed(token: Column) -> Column:
-    """Letters and digits: plain words and plain numbers are no candidates."""
+    """Letters and digits: plain words and plain numbers are candidates only by their name or prefix."""
     return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
 
 
@@ -56,17 +59,19 @@ def findings(documents: DataFrame, path_col: str = "source") -> DataFrame:
     rows = documents.select("doc_id", path.alias("path"), "text").filter(F.col("text").rlike(CANDIDATE))
     tokens = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     between = F.split("text", CANDIDATE, -1)
+    # a long name is a token itself, so what stands before a token takes in the token before it
+    near = lambda i: F.concat(F.coalesce(F.get("tokens", i - 2), F.lit("")), F.element_at("between", i))
     placed = F.transform(
         F.sequence(F.lit(1), F.size("tokens")),
         lambda i: F.struct(
             i.alias("at"),
             F.element_at("tokens", i).alias("candidate"),
-            F.substring_index(F.substring(F.element_at("between", i), -CONTEXT, CONTEXT), "\n", -1).alias("before"),
+            F.substring_index(F.substring(near(i), -CONTEXT, CONTEXT), "\n", -1).alias("before"),
             F.substring_index(F.substring(F.element_at("between", i + 1), 1, CONTEXT), "\n", 1).alias("after"),
         ),
     )
     rows = rows.select("doc_id", "path", tokens.alias("tokens"), between.alias("between"))
-    found = F.filter(placed, lambda x: mixed(x["candidate"]))
+    found = F.filter(placed, lambda x: mixed(x["candidate"]) | x["candidate"].rlike(PREFIX) | x["before"].rlike(NAMED))
     return rows.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.at", "f.before", "f.candidate", "f.after")
 
 
@@ -88,13 +93,13 @@ def with_features(rows: DataFrame) -> DataFrame:
         "vowel_share": share("[aeiouAEIOU]"),
         "longest_letters": F.array_max(F.transform(F.split(c, "[^A-Za-z]+"), lambda x: F.length(x))).cast("double"),
         "dictionary_share": (size - F.length(words)) / size,
-        "after_keyword": yes(before.rlike(rf"(?i)(?:{KEYWORDS})\W{{0,6}}$")),
+        "after_keyword": yes(before.rlike(rf"(?i)(?:{KEYWORDS})\W{{0,6}}$") | before.rlike(NAMED)),
         "assigned": yes(before.rlike(r"[=:]\s*[\"']?$")),
         "quoted": yes(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "harmless_near": yes(before.rlike(rf"(?i)(?<![a-z])(?:{HARMLESS})\W{{0,6}}$")),
         "path_test": yes(path.rlike(r"(?i)(?:^|[/._-])(?:tests?|examples?|docs?|fixtures?|samples?)(?:$|[/._-])")),
         "path_like": yes(c.rlike("/[a-z]+/|^[a-z]+(?:[/_-][a-z0-9]+)+$") | before.rlike(r"(?:://|\./|@)\S*$")),
-        "known_prefix": yes(c.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live|sk-|glpat-|AIza|eyJ)")),
+        "known_prefix": yes(c.rlike(PREFIX)),
         "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / size,
     }
     return rows.select("*", *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in features.items()])
