@@ -4,11 +4,15 @@ Entities (e-mail, phone, IP address, card number, IBAN, person) are found by one
 distinct entity gets a surrogate from a keyed SHA-256 of its normal form, so that the
 same entity has the same surrogate in every document and run. Digits become
 digits, letters letters of the same script and case; separators, country codes, top-level domains and
-octet widths stay; a card number that passes the Luhn test still does. Given names go to
+octet widths stay, and so do the zeros or the one before an area code; a card number that passes the Luhn test still does. Given names go to
 another given name of the same gender and script by a keyed cycle through the list; family names
 are replaced apart from given names, so that "Ms Roth" and "Anna Roth" stay one family.
 A surrogate that equals another one or any entity of the corpus is drawn again, until all are distinct.
 
+Phone numbers are found with a country code after "+", with an area code in brackets, with a leading zero
+(9 to 13 digits), and without one in groups of 3-3-4 or 3-2-2-2. Local numbers without an area code and
+nine digits in threes stay in the text: they can't be told from other numbers.
+
 Defined cases: null texts stay null, texts without entities come back as they are. Rows are judged
 one by one, so repeated rows come back repeated; an entity's letter case carries over. Empty
 tables give empty results. Other columns pass through; those named like the added ones are replaced.
@@ -38,11 +42,20 @@ GIVEN = {
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NAME = r"\p{Lu}[\p{L}'’-]+"
+# Where a phone number without "+" may start and end: not inside longer numbers.
+_START, _END = r"(?<![\w+])(?<!\d[.,/-])", r"(?!\w|[./-]\d)"
+PHONES = (
+    r"(?<![\w+])\+\d{1,3}[ ./-]?(?:\(\d{1,4}\)[ ./-]?)?\d{1,4}(?:[ ./-]?\d{2,4}){1,4}(?!\w)",
+    rf"(?<![\w+(])\((?:0|\d{{2,5}})\)[ ./-]?\d(?:[ ./-]?\d){{5,9}}{_END}",
+    rf"{_START}(?!\d\d?[./-]\d\d?[./-]\d{{4}}(?!\d))0(?=0?[1-9])\d(?:[ ./-]?\d){{7,11}}{_END}",
+    rf"{_START}(?:1[ .-])?\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_END}",
+    rf"{_START}[6-9]\d\d(?:[ .-]\d\d){{3}}{_END}",
+)
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
     "ip": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)",
+    "phone": "|".join(PHONES),
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
     "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.? (?:(?:{_GIVEN}) )?{NAME}|(?:{_GIVEN}) {NAME})",
@@ -122,6 +135,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     domain = F.regexp_extract(norm, "@.*$", 0)
     plain = lambda value, keep: masked(value, stream(key, F.concat(kind, F.lit(":"), value), attempt), keep)
     places = lambda first, last: F.sequence(first, last)
+    prefix = F.length(F.regexp_extract(norm, r"^\+\d{1,3}(?=\D)|^\+\d|^\(?00?|^1(?=[ .-])", 0))
     top = F.length(F.regexp_extract(domain, r"\.[a-z]+$", 0))
     # the domain by itself, so that addresses at one domain stay at one domain
     domain_out = masked(domain, stream(key, F.concat(F.lit("domain:"), domain), F.lit(0)), places(F.length(domain) - top, F.length(domain)))
@@ -130,7 +144,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return (
         F.when(kind == "email", F.concat(plain(F.regexp_extract(norm, "^[^@]*", 0), none), domain_out))
         .when(kind == "ip", let(numbers, lambda n: F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: octet(o, n[i]).cast("string")), ".")))
-        .when(kind == "phone", plain(norm, places(F.lit(0), F.length(F.regexp_extract(norm, r"^\+\d{1,3}(?=\D)|^\+\d", 0)) - 1)))
+        .when(kind == "phone", plain(norm, F.when(prefix > 0, places(F.lit(0), prefix - 1)).otherwise(none)))
         .when(kind == "iban", plain(norm, places(F.lit(0), F.lit(1))))
         .when(kind == "card", with_luhn(plain(norm, none), norm))
         .otherwise(plain(norm, none))

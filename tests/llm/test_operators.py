@@ -274,6 +274,19 @@ def test_surrogates(spark):
     assert pii.pseudonymise(docs, key="other").filter("doc_id = 2").first().text != two.text
 
 
+def test_national_phone_numbers(spark):
+    numbers = "(555) 123-4567|555-123-4567|1-555-123-4567|0171 1234567|06 12 34 56 78|030/1234567|(0171) 1234567|0044 20 7946 0958|612 34 56 78|0612345678|+49 171/1234567".split("|")
+    others = "on 05.06.2021 10:30|05-06-2021|ISBN 0-306-40615-2|10.1.22|1 234 567 890|4.0 or 555-1234"
+    rows = [doc(i, f"Tel.{n}, or call {n}.") for i, n in enumerate(numbers)] + [doc(100 + i, t) for i, t in enumerate(others.split("|"))]
+    found = {r.doc_id: r for r in pii.pseudonymise(documents(spark, rows)).collect()}
+    for i, n in enumerate(numbers):
+        one = re.fullmatch(r"Tel\.(.*), or call (.*)\.", found[i].text)
+        assert found[i].entity_types == ["phone"] and found[i].n_entities == 2 and one[1] == one[2] != n
+        assert re.sub(r"\d", "9", one[1]) == re.sub(r"\d", "9", n) and n not in found[i].text
+        assert one[1].lstrip("(").startswith("0") or not n.lstrip("(").startswith("0")
+    assert all(found[100 + i].text == t and not found[100 + i].n_entities for i, t in enumerate(others.split("|")))
+
+
 def test_surrogates_stay_distinct(spark):
     """All one-letter family names: drawn again until no two share a surrogate and none is real."""
     names = [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(6) for c in range(6) for d in range(6)]
