@@ -16,7 +16,7 @@ from docloom.session import table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines over the limit are cut from the others."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, max_docs=quality.MAX_DOCS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ text count as one document, so a group of copies does not make its own lines
 and in more than ``max_percent`` per cent of its host's documents; such lines are
 removed, and a document left with less than ``min_left_percent`` of its words is
 depleted and rejected. So at most 100 / max_percent times the mean number of lines
-of a document can be over the limit per host: what is joined back is that small.
+of a document can be over the limit per host, and they are joined back as one array a host.
+With ``max_docs``, a line in so many documents of its host is over the limit whatever its share,
+as a licence line of a large host is. Such lines grow with the corpus, so they are
+joined by host and line, and each document gets its own.
 
 Defined cases. Null or wordless texts have no words and fail the base rule. A null
 host is a host of its own. Repeated rows are judged each by their own text; the
@@ -26,6 +29,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 10
 MAX_PERCENT = 10
+#: Documents of one host that make a line common whatever its share; the registered query, which its SQL binds to the share, does not set it.
+MAX_DOCS = 1000
 MIN_LEFT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 WORD_COUNTS = ("n_words", "word_chars", "n_repeat_words")
@@ -106,12 +111,17 @@ def word_stats(words: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(documents: DataFrame, host_col: str, min_docs: int, max_percent: int) -> DataFrame:
-    """Per host: the hashes of its lines over the limit."""
+def document_lines(documents: DataFrame, host_col: str) -> DataFrame:
+    """host, doc (hash of the text) and keys, the hashes of its distinct lines."""
     host = F.col("`" + host_col.replace("`", "``") + "`")
     keys = F.transform(lines_of(F.col("text")), line_key)
+    return documents.select(host.alias("host"), F.xxhash64("text").alias("doc"), F.array_distinct(keys).alias("keys"))
+
+
+def frequent_lines(documents: DataFrame, host_col: str, min_docs: int, max_percent: int, max_docs: int | None = None) -> DataFrame:
+    """Per host: the hashes of its lines over the limit, a row each."""
     seen = (
-        documents.select(host.alias("host"), F.xxhash64("text").alias("doc"), F.array_distinct(keys).alias("keys"))
+        document_lines(documents, host_col)
         # a null key stands for the document itself, so that one pass counts documents too
         .select("host", "doc", F.explode(F.concat("keys", F.array(F.lit(None).cast("long")))).alias("line"))
         .distinct()
@@ -121,13 +131,10 @@ def frequent_lines(documents: DataFrame, host_col: str, min_docs: int, max_perce
     )
     counts = written(seen, "line-counts")
     totals = counts.filter(F.col("line").isNull()).select(F.col("host").alias("of"), F.col("docs").alias("total"))
-    return (
-        counts.filter(F.col("line").isNotNull())
-        .join(totals, F.col("host").eqNullSafe(F.col("of")))
-        .filter(F.col("docs") * 100 > F.col("total") * max_percent)
-        .groupBy("host")
-        .agg(F.collect_set("line").alias("over"))
-    )
+    over = F.col("docs") * 100 > F.col("total") * max_percent
+    if max_docs is not None:
+        over = over | (F.col("docs") >= max_docs)
+    return counts.filter(F.col("line").isNotNull()).join(totals, F.col("host").eqNullSafe(F.col("of"))).filter(over).select("host", "line")
 
 
 def assess(
@@ -138,17 +145,28 @@ def assess(
     min_left_percent: int = MIN_LEFT_PERCENT,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
+    max_docs: int | None = None,
 ) -> DataFrame:
     """The documents' columns with ``text`` rid of frequent lines, and the verdict's columns.
 
     ``text`` is unchanged where no line is over the limit; counts are those of the text
     as it came, n_words_left is counted after the removal.
     """
-    over = written(frequent_lines(documents, host_col, min_docs, max_percent), "frequent-lines")
+    lines = frequent_lines(documents, host_col, min_docs, max_percent, max_docs)
+    if max_docs is None:
+        held, by = lines, ["host"]
+    else:
+        each = document_lines(documents, host_col).select("host", "doc", F.explode("keys").alias("line")).alias("e")
+        same = F.col("e.host").eqNullSafe(F.col("f.host")) & (F.col("e.line") == F.col("f.line"))
+        held, by = each.join(written(lines, "over-limit").alias("f"), same, "left_semi"), ["host", "doc"]
+    over = written(held.groupBy(*by).agg(F.collect_set("line").alias("over")), "frequent-lines")
     docs = without(documents, *ADDED)
     host = F.col("d.`" + host_col.replace("`", "``") + "`")
     text = F.col("d.text")
-    rows = docs.alias("d").join(over.alias("o"), host.eqNullSafe(F.col("o.host")), "left")
+    theirs = host.eqNullSafe(F.col("o.host"))
+    if max_docs is not None:
+        theirs = theirs & (F.xxhash64("d.text") == F.col("o.doc"))
+    rows = docs.alias("d").join(over.alias("o"), theirs, "left")
     left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("o.over"), line_key(x)))
     cleaned = F.when(F.col("o.over").isNull(), text).otherwise(F.array_join(left, "\n"))
     whole = F.coalesce(text, F.lit(""))

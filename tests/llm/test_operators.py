@@ -182,6 +182,20 @@ def test_depletion_rejects_without_base_failure(spark):
     assert not found[99].base_failed and not found[99].kept and all(found[i].kept for i in range(12))
 
 
+def test_common_lines_of_a_large_host_go(spark):
+    """A line in 1,000 of 11,000 documents is under the share and over the absolute limit."""
+    import corpus_pipeline
+
+    spam = "Subscribe to our newsletter " + prose(41, 40, 9000).replace("\n", " ")
+    own = [prose(7000 + i, 60, 9000) for i in range(20)]
+    rows = [doc(i, f"{spam}\n{own[i] if i < 20 else f'only {i} here'}", "host") for i in range(1000)] + [doc(2000 + i, f"w{i}", "host") for i in range(10_000)]
+    rows += [doc(5, f"{spam}\n{own[5]}", None), doc(99999, f"{spam}\none line of its own here, with a few more words in it", "host")]
+    kept = {(r.doc_id, r.source): r.text for r in corpus_pipeline.quality_rules(spark, documents(spark, rows), "").collect()}
+    assert kept == {(i, "host"): t for i, t in enumerate(own)} | {(5, None): f"{spam}\n{own[5]}"}
+    # the share by itself, as the registered query has it, leaves the line and its documents
+    assert quality.assess(documents(spark, rows)).filter("doc_id = 99999").first().kept
+
+
 def test_colliding_windows_take_the_exact_way(spark):
     words = F.split(F.lit("a b c d a b c e"), " ")
     starts = quality.repeat_starts(quality.word_windows(words))
