@@ -17,8 +17,6 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 LEAVES = ("paragraph", "heading", "codeBlock")
 
 
-
-
 def _rows(**fields) -> ArrayType:
     return ArrayType(StructType([StructField(k, t()) for k, t in fields.items()]))
 
@@ -29,20 +27,26 @@ NODE = _rows(path=StringType, text=StringType)
 
 
 def parse(raw: str | None) -> dict:
-    """The tree, or an empty one where the text is null or no JSON object."""
+    """The tree, or an empty one where the text is null, no JSON object or nested too deep for the JSON reader."""
     try:
         tree = json.loads(raw or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return {}
     return tree if isinstance(tree, dict) else {}
 
 
+def kids(node: dict) -> list[tuple[int, dict]]:
+    content = node.get("content")
+    return [(i, c) for i, c in enumerate(content) if isinstance(c, dict)] if isinstance(content, list) else []
+
+
 def walk(node: dict, path: tuple = ()) -> Iterator[tuple[tuple, dict]]:
-    """Every node with its path, in document order."""
-    yield path, node
-    for i, child in enumerate(node.get("content") or []):
-        if isinstance(child, dict):
-            yield from walk(child, (*path, i))
+    """Every node with its path, in document order; without recursion, so depth costs no stack."""
+    todo = [(path, node)]
+    while todo:
+        at, now = todo.pop()
+        yield at, now
+        todo.extend(((*at, i), c) for i, c in reversed(kids(now)))
 
 
 def inner_text(node: dict) -> str:
@@ -82,10 +86,10 @@ def patched(tree: dict, patches: dict[str, str]) -> dict:
 
 
 def pruned(node: dict) -> dict:
-    """Without empty text nodes and without the paragraphs that this leaves empty."""
-    if "content" in node:
-        kids = [pruned(c) for c in node["content"] if isinstance(c, dict)]
-        node["content"] = [c for c in kids if not (c.get("type") == "text" and not c.get("text")) and not (c.get("type") == "paragraph" and not c.get("content"))]
+    """Without empty text nodes and without the paragraphs that this leaves empty, innermost first."""
+    for _, n in reversed(list(walk(node))):
+        if "content" in n:
+            n["content"] = [c for _, c in kids(n) if not (c.get("type") == "text" and not c.get("text")) and not (c.get("type") == "paragraph" and not c.get("content"))]
     return node
 
 

@@ -1,4 +1,6 @@
 import json
+import os
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from docloom.streaming import jobs
 
 
 def feed(spark, small, tmp_path, parts=5):
-    events = table(spark, small, "events").repartitionByRange(parts, "ts")
+    """Events in parts that arrive in the order of their time, one file a trigger."""
+    events = table(spark, small, "events").repartitionByRange(parts, "ts").sortWithinPartitions("ts")
     events.write.parquet(f"{tmp_path}/in")
+    for age, part in enumerate(sorted(Path(f"{tmp_path}/in").glob("part-*"))):  # a file source reads the oldest file first
+        os.utime(part, (1_600_000_000 + 100 * age,) * 2)
     return events, jobs.read_events(spark, f"{tmp_path}/in", events.schema.simpleString()[7:-1].replace(":", " "), 1)
 
 
@@ -37,6 +42,19 @@ def test_tumbling_windows_equal_batch_up_to_the_watermark(spark, small, tmp_path
     assert got <= want or all(w >= newest or (w, t, n) in want for w, t, n in got)
 
 
+def test_late_events_are_dropped(spark, tmp_path):
+    """An event older than the watermark of what came before changes no window."""
+    rows = [[(1, "2024-01-01 00:05:00", "a")], [(2, "2024-01-01 03:00:00", "a")], [(4, "2024-01-01 03:10:00", "a")], [(3, "2024-01-01 00:06:00", "a")], [(5, "2024-01-01 09:00:00", "a")]]
+    for age, part in enumerate(rows):
+        spark.createDataFrame(part, "event_id long, ts string, event_type string").selectExpr("event_id", "cast(ts as timestamp) ts", "event_type").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for f in Path(f"{tmp_path}/in").glob("part-*"):
+            if f.stat().st_mtime > 1_700_000_000:
+                os.utime(f, (1_600_000_000 + 100 * age,) * 2)
+    stream = jobs.read_events(spark, f"{tmp_path}/in", "event_id long, ts timestamp, event_type string", 1)
+    got = {(r.window_start.hour, r.n) for r in collect_stream(spark, jobs.tumbling(stream, ["event_type"]), tmp_path, "late").collect()}
+    assert got == {(0, 1), (3, 2)}
+
+
 def test_stream_deduplicates(spark, small, tmp_path):
     events, _ = feed(spark, small, tmp_path)
     twice = events.union(events)

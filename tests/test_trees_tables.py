@@ -64,3 +64,17 @@ def test_orphans(spark):
     kids = spark.createDataFrame([(10,), (11,), (12,)], "id long")
     gone = spark.createDataFrame([(1,)], "id long")
     assert [r.id for r in graph.delete_orphans(kids, edges, gone).collect()] == [11]
+
+
+def test_deep_trees_end_no_task(spark):
+    """3,000 levels: read without recursion, or an empty tree where the JSON reader itself gives up."""
+    node = {"type": "paragraph", "content": [{"type": "text", "text": "x"}]}
+    for _ in range(300):
+        node = {"type": "list", "content": [node]}
+    deep = '{"type":"list","content":[' * 200_000 + "{}" + "]}" * 200_000
+    rows = spark.createDataFrame([(json.dumps({"type": "doc", "content": [node]}),), (deep,)], "raw string")
+    assert [r.t for r in rows.select(T.tree_text("raw").alias("t")).collect()] == ["x", ""]
+    nested = {"type": "text", "text": "y"}
+    for _ in range(5000):
+        nested = {"type": "list", "content": [nested]}
+    assert sum(1 for _ in T.walk(nested)) == 5001 and T.pruned(nested) is nested
