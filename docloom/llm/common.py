@@ -2,54 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import forget, scratch, shared_dir, written  # noqa: F401  the operators take them from here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word of the quality, mixing and similarity operators: what stands between ASCII white space.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (local tests) a local folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("spark.docloom.local.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-docloom-", dir="/tmp")
-        spark.conf.set("spark.docloom.local.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back.
-
-    A lost executor then costs no recomputation, and the files' size lets Spark
-    decide by itself, under autoBroadcastJoinThreshold, whether to broadcast.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that nothing will read again."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once, however often body names it."""
     return F.transform(F.array(value), body)[0]
