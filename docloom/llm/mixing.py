@@ -4,15 +4,22 @@ Tokens (words between ASCII white space) are summed per source; targets share
 ``budget_percent`` of all tokens by weight, stop at ``max_epochs`` times their source and
 pass the excess on by weight until none is above. A source's rate is target / size; each
 document is emitted floor(rate) times and once more if its hash-seeded coin falls
-below the fraction of the rate.
+below its source's mark.
+
+The coin is one of COINS values. With the mark at the fraction of the rate the copies would be
+independent draws, and the words taken would stray from the target by as much as a source has few or
+unequal documents. So the mark is set where the words of the coins below it come nearest to the
+words that the fraction asks for: words are summed by source and coin value in the same pass that
+sums the sources. A source's taken words then differ from its target by at most half of the words
+on one coin value, which is a document or two, or one COINS-th of a large source.
 
 The excess rule has a closed form: there is one level L with sum(min(cap, L * weight)) equal
 to the budget; sources are filled in the order of cap / weight. It is worked out over the
 table of sources (one row each), never over documents.
 
 Defined cases. A null source is a source of its own, the last in order. Null texts
-have size 0. Documents of equal doc_id (or null) share a coin, so reruns and
-repeated rows agree. All sizes 0: targets 0, and such documents are taken at rate 0.
+have size 0; very long ones are counted whole. Documents of equal doc_id share a coin, those without one
+if their texts are equal, so reruns and repeated rows agree. All sizes 0: targets 0, and such documents are taken at rate 0.
 Empty tables give empty results. Other columns pass through; columns named like the
 added ones are replaced.
 """
@@ -28,13 +35,14 @@ WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
 MAX_EPOCHS = 2
 SEED = "mix-1"
+COINS = 65536
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
-def coin(key: Column, seed: str) -> Column:
-    """A number in [0, 1) from the document's id and the seed: 32 bits of an MD5."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{seed}")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def coin(key: Column, text: Column, seed: str) -> Column:
+    """0 to COINS - 1 from the document's id (its text where that is null) and the seed: 16 bits of an MD5."""
+    named = F.coalesce(key.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(named, F.lit(f"|{seed}"))), 1, 4), 16, 10).cast("int")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -60,20 +68,35 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_
     return filled.select("source", "source_size", "weight", target.alias("target"))
 
 
+def marks(words: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, coin, words) and targets -> source, mark: coins below the mark give one copy more."""
+    fraction = F.coalesce(F.col("t.target") / F.col("t.source_size"), F.lit(0.0))
+    wanted = F.col("t.target") - F.floor(fraction) * F.col("t.source_size")
+    below = F.sum("w.words").over(Window.partitionBy("w.source").orderBy("w.coin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w.words")
+    # a source has at most COINS rows here, and its window no documents
+    rows = words.alias("w").join(targets.alias("t"), F.col("w.source").eqNullSafe(F.col("t.source")))
+    rows = rows.select(F.col("w.source").alias("source"), F.col("w.coin").alias("coin"), wanted.alias("wanted"), (below + F.col("w.words") / 2).alias("middle"))
+    return rows.filter("middle <= wanted and wanted > 0").groupBy("source").agg((F.max("coin") + 1).alias("mark"))
+
+
 def rates(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The documents' columns with size, source_size, target, copies and taken."""
-    sized = documents.select(F.col("source"), count_blank_words(F.col("text")).alias("size"))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    toss = lambda d="": coin(F.col(f"{d}doc_id"), F.col(f"{d}text"), seed)
+    sized = documents.select("source", toss().alias("coin"), count_blank_words(F.col("text")).alias("size"))
+    words = written(sized.groupBy("source", "coin").agg(F.sum("size").alias("words")), "coin-words")
+    sizes = words.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = written(source_targets(sizes, weights, budget_percent, max_epochs), "targets")
+    both = targets.alias("t").join(marks(words, targets).alias("m"), F.col("t.source").eqNullSafe(F.col("m.source")), "left")
+    both = written(both.select("t.source", "t.source_size", "t.target", F.coalesce("m.mark", F.lit(0)).alias("mark")), "marks")
     docs = without(documents, *ADDED)
-    rows = docs.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    rows = docs.alias("d").join(both.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     rate = F.coalesce(F.col("t.target") / F.col("t.source_size"), F.lit(0.0))
     rows = rows.select(
         *[F.col(f"d.{c}") for c in quoted(docs)],
         count_blank_words(F.col("d.text")).alias("size"),
         F.col("t.source_size").alias("source_size"),
         F.col("t.target").alias("target"),
-        (F.floor(rate) + F.when(coin(F.col("d.doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long").alias("copies"),
+        (F.floor(rate) + F.when(toss("d.") < F.col("t.mark"), 1).otherwise(0)).cast("long").alias("copies"),
     )
     return rows.select("*", (F.col("size") * F.col("copies")).alias("taken"))
 

@@ -54,7 +54,7 @@ FROM s
 """
 
 OP7 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len({BLANK_WORDS % 'text'}), 0) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, coalesce(len({BLANK_WORDS % 'text'}), 0) AS size FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
              source_size * 2 AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
@@ -63,12 +63,15 @@ f AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source
       FROM r),
 m AS (SELECT max(level) AS final FROM f WHERE level * weight <= cap),
 t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(CAST(cap AS DOUBLE), coalesce(final * weight, cap)) AS target FROM f, m),
-x AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix-1'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS coin
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+x AS (SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) || '|mix-1'), 1, 4) AS BIGINT) AS coin
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT source, coin, sum(size) AS words, any_value(target - floor(rate) * source_size) AS wanted FROM x GROUP BY source, coin),
+e AS (SELECT source, coin, wanted, sum(words) OVER (PARTITION BY source ORDER BY coin) - words + words / 2 AS middle FROM c),
+k AS (SELECT source, max(coin) + 1 AS mark FROM e WHERE middle <= wanted AND wanted > 0 GROUP BY source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM x
+       CAST(size * (floor(rate) + CASE WHEN coin < coalesce(mark, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM x LEFT JOIN k ON x.source IS NOT DISTINCT FROM k.source
 """
 
 OP10 = f"""
