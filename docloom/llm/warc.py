@@ -13,7 +13,8 @@ is a response and the others are revisit records without a payload.
 Defined cases: null html is an empty payload, null url has no target header. A null
 page_id never is the one that others revisit unless all are null; then all are responses.
 Repeated rows of the smallest page_id are all responses. Columns but
-page_id, url and html aren't archived. Empty tables give no archives and an empty result.
+page_id, url and html aren't archived, whatever their names. A very long page is one record, held by one
+task as it is written and read. Empty tables give no archives and an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 GZIP_LEVEL = 6
+#: Tasks that read archives back; more archives than these share tasks.
+MAX_READ_TASKS = 50_000
 DATE = "1970-01-01T00:00:00Z"  # the tables hold no capture time; a fixed date keeps reruns equal
 
 
@@ -267,5 +270,7 @@ def read_archives(archives: DataFrame, root: str, payload: bool = True, batch_by
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payload else "")
-    # each archive is a task's work: they are dealt out by path
-    return archives.select("path").repartition(F.col("path")).mapInArrow(run, kinds)
+    # each archive is a task's work: paths are dealt out one by one, into as many tasks as there are
+    # archives (a plain repartition by path would be joined into one task, as paths have few bytes)
+    tasks = max(1, min(archives.count(), MAX_READ_TASKS))
+    return archives.select("path").repartition(tasks).mapInArrow(run, kinds)
