@@ -29,7 +29,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.shard(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
-    return sharding.shard_rows(store).select("doc_id", "shard", "shard_bytes", "tier", "version")
+    return sharding.shard_rows(store).select("doc_id", "shard", "shard_bytes", "run", "tier", "version")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,30 @@
 """Size-tiered compaction of immutable Parquet shards under a versioned manifest.
 
-A store is a folder of Spark's file system: ``data/<run>/part-*`` holds shards that are
-never changed, ``manifest/v<N>.json`` lists the shards of version N. A writer adds
-files first and then commits version N + 1 by renaming a finished file to a name that
-must not exist yet: readers see all of a commit or nothing, and of two writers one
-fails and can try again. Files that a failed job leaves are in no manifest.
+A store is a folder of Spark's file system. Each arrival is a run: a folder ``data/<run>`` of
+shards (``part-*`` files) that are never changed. ``manifest/v<N>.json`` lists the runs of version N
+with their sizes: a few dozen lines at any size of the corpus, as there are at most ``fanout`` runs a
+tier and tiers grow by powers of ``fanout``. A writer adds files first and then commits version
+N + 1 by renaming a finished file to a name that must not exist yet: readers see all of a
+commit or nothing. Of two writers one fails and commits again upon the new version; a merge whose runs
+another one has merged gives up its files. Files of a failed job are in no manifest. The rename must be atomic
+and refuse existing names, as those of HDFS and local disks do; on object stores that can't, put the manifest
+folder (``manifest_root``) on a file system that can.
 
 append: one run of small shards, as many as the input has partitions.
-compact: shards are put in tiers by size (tier i: below ``target_bytes / fanout**i``); a
-tier with ``fanout`` shards or more is rewritten into files of about ``target_bytes``, by one
-job without a shuffle: Spark packs the small files of a tier into read partitions of that
-size. Repeats until no tier below the target is full. Only file names and sizes pass through
-the driver, never rows. Old shards stay readable for older versions until vacuum().
-
-Defined cases: rows, with nulls, repeats and extra columns, come back as they went in;
-an empty input commits a version that has its schema and no rows.
+compact: runs are put in tiers by size (tier i: up to ``base_bytes * fanout**i``); a tier with ``fanout``
+runs is merged into one run of files of about ``target_bytes``, by one job without a shuffle, which joins the
+input's read partitions. Repeats until no tier is full. Only folder names and sizes pass through the
+driver, never rows or lists of files. Old runs stay readable for older versions until vacuum().
+
+Defined cases: rows, with nulls, repeats, very long texts and extra columns of any name, come back as they went
+in; an empty input commits a version that has its schema and no rows. shard_rows replaces columns
+that are named like those it adds.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -27,155 +32,199 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import written
+from docloom.llm.common import without
 
 TARGET_BYTES = 128 << 20
+BASE_BYTES = 64 << 20
 FANOUT = 4
+#: Runs that one bulk load arrives in.
+ARRIVALS = 8
+ADDED = ("shard", "shard_bytes", "run", "tier", "version")
+_ARRIVAL = "__dl_arrival"
 
 
 @dataclass(frozen=True)
-class Shard:
+class Run:
     path: str
     bytes: int
+    files: int
 
 
 @dataclass(frozen=True)
 class Version:
     number: int
     schema: str
-    shards: tuple[Shard, ...]
+    runs: tuple[Run, ...]
 
 
 class ManifestConflict(RuntimeError):
-    """Another writer has committed the version first."""
+    """Another writer has committed first, and this change doesn't fit its version."""
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
-        self.spark, self.root, self.target_bytes, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, base_bytes: int = BASE_BYTES, manifest_root: str | None = None):
+        self.spark, self.root, self.target_bytes, self.fanout, self.base_bytes = spark, root.rstrip("/"), target_bytes, fanout, base_bytes
+        self.manifests = (manifest_root or f"{self.root}/manifest").rstrip("/")
         self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
 
-    def _path(self, name: str):
-        return self._hadoop.Path(f"{self.root}/{name}" if name else self.root)
+    def _at(self, name: str):
+        path = self._hadoop.Path(name)
+        return path.getFileSystem(self._conf), path
 
     # manifests
 
     def latest(self) -> Version | None:
-        folder = self._path("manifest")
-        if not self._fs.exists(folder):
+        fs, folder = self._at(self.manifests)
+        if not fs.exists(folder):
             return None
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
         numbers = [int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")]
         return self.version(max(numbers)) if numbers else None
 
     def version(self, number: int) -> Version:
-        stream = self._fs.open(self._path(f"manifest/v{number:08d}.json"))
+        fs, path = self._at(f"{self.manifests}/v{number:08d}.json")
+        stream = fs.open(path)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        found = json.loads(text)
-        return Version(found["version"], found["schema"], tuple(Shard(**s) for s in found["shards"]))
-
-    def _commit(self, before: Version | None, schema: str, shards: tuple[Shard, ...]) -> Version:
-        number = before.number + 1 if before else 1
-        body = json.dumps({"version": number, "schema": schema, "shards": [vars(s) for s in shards]})
-        draft = self._path(f"manifest/.draft-{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
+        return Version(found["version"], found["schema"], tuple(Run(**r) for r in found["runs"]))
+
+    def _put(self, version: Version) -> None:
+        """Write a version under its name, or raise ManifestConflict if there is one."""
+        body = json.dumps({"version": version.number, "schema": version.schema, "runs": [vars(r) for r in version.runs]})
+        fs, draft = self._at(f"{self.manifests}/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
         try:
             out.write(bytearray(body.encode()))
         finally:
             out.close()
-        name = self._path(f"manifest/v{number:08d}.json")
-        context = self._hadoop.FileContext.getFileContext(name.toUri(), self.spark._jsc.hadoopConfiguration())
+        _, name = self._at(f"{self.manifests}/v{version.number:08d}.json")
+        context = self._hadoop.FileContext.getFileContext(name.toUri(), self._conf)
         none = self.spark._jvm.java.lang.reflect.Array.newInstance(self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
         try:
             context.rename(context.makeQualified(draft), context.makeQualified(name), none)  # fails if the name exists
         except Exception as e:
-            self._fs.delete(draft, False)
-            if self._fs.exists(name):
-                raise ManifestConflict(f"version {number} exists") from e
+            fs.delete(draft, False)
+            if fs.exists(name):
+                raise ManifestConflict(f"version {version.number} exists") from e
             raise
-        return Version(number, schema, shards)
-
-    # shards
 
-    def _written(self, df: DataFrame) -> tuple[Shard, ...]:
-        run = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{run}")
-        files = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._path(run))]
-        return tuple(Shard(f"{run}/{name}", size) for name, size in sorted(files) if name.startswith("part-"))
+    def commit(self, schema: str, add: tuple[Run, ...], remove: tuple[Run, ...] = ()) -> Version:
+        """The newest version with runs added and removed; upon a conflict, once more on what is newest then."""
+        while True:
+            now = self.latest()
+            if now and _plain(now.schema) != _plain(schema):
+                raise ValueError("arrivals have another schema than the store")
+            runs = now.runs if now else ()
+            if not set(remove) <= set(runs):
+                raise ManifestConflict("a run to be merged is not in the newest version")
+            new = Version(now.number + 1 if now else 1, now.schema if now else schema, tuple(r for r in runs if r not in remove) + add)
+            try:
+                self._put(new)
+                return new
+            except ManifestConflict:
+                continue  # some writer has made progress
+
+    # runs
+
+    def _run(self, path: str) -> tuple[Run, ...]:
+        """The run in a folder, none if it has no shards; sizes are summed by the file system."""
+        fs, folder = self._at(f"{self.root}/{path}")
+        if not fs.exists(folder):
+            return ()
+        found = [s.getLen() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+        return (Run(path, sum(found), len(found)),) if found else ()
 
     def append(self, arrivals: DataFrame) -> Version:
         """Add one run of shards; the schema must be that of the store."""
-        before = self.latest()
+        now = self.latest()
         schema = arrivals.schema.json()
-        if before and _plain(before.schema) != _plain(schema):
+        if now and _plain(now.schema) != _plain(schema):
             raise ValueError("arrivals have another schema than the store")
-        return self._commit(before, before.schema if before else schema, (before.shards if before else ()) + self._written(arrivals))
+        path = f"data/{uuid.uuid4().hex}"
+        arrivals.write.parquet(f"{self.root}/{path}")
+        return self.commit(schema, self._run(path))
+
+    def load(self, rows: DataFrame, arrivals: int = ARRIVALS) -> Version:
+        """A bulk load: rows are dealt into arrivals by one job, each committed by itself and compacted as it comes."""
+        schema, path = rows.schema.json(), f"data/{uuid.uuid4().hex}"
+        dealt = rows.withColumn(_ARRIVAL, F.pmod(F.monotonically_increasing_id(), F.lit(arrivals)).cast("int"))
+        dealt.write.partitionBy(_ARRIVAL).parquet(f"{self.root}/{path}")
+        now = None
+        for i in range(arrivals):
+            run = self._run(f"{path}/{_ARRIVAL}={i}")
+            if run:
+                now = self.commit(schema, run)
+                now = self.compact()
+        return now or self.commit(schema, ())
 
     def tier(self, size: int) -> int:
-        """0: of target size; i: smaller than target_bytes / fanout**(i - 1), down to a floor."""
-        i, limit = 0, self.target_bytes
-        while size < limit and i < 16:
-            i, limit = i + 1, limit / self.fanout
+        """0: up to base_bytes; i: up to base_bytes * fanout**i."""
+        i, limit = 0, self.base_bytes
+        while size > limit:
+            i, limit = i + 1, limit * self.fanout
         return i
 
     def compact(self) -> Version | None:
-        """Merge full tiers until none is left; one commit for each merge."""
-        now = self.latest()
-        while now:
-            tiers: dict[int, list[Shard]] = {}
-            for shard in now.shards:
-                tiers.setdefault(self.tier(shard.bytes), []).append(shard)
-            full = [t for t, shards in tiers.items() if t and len(shards) >= self.fanout and self._shrinks(shards)]
+        """Merge full tiers, the smallest first, until none is left; one commit for each merge."""
+        while now := self.latest():
+            tiers: dict[int, list[Run]] = {}
+            for run in now.runs:
+                tiers.setdefault(self.tier(run.bytes), []).append(run)
+            full = [t for t, runs in tiers.items() if len(runs) >= self.fanout]
             if not full:
                 return now
-            merged = tiers[max(full)]  # the smallest shards first
-            made = self._written(self._packed(now, merged))
-            gone = set(merged)
-            now = self._commit(now, now.schema, tuple(s for s in now.shards if s not in gone) + made)
-        return now
-
-    def _shrinks(self, shards: list[Shard]) -> bool:
-        return self._parts(shards) < len(shards)
-
-    def _parts(self, shards: list[Shard]) -> int:
-        return max(1, -(-sum(s.bytes for s in shards) // self.target_bytes))
-
-    def _packed(self, version: Version, shards: list[Shard]) -> DataFrame:
-        """The shards' rows in about total / target partitions, each a pack of whole small files."""
-        session = self.spark.newSession()  # its own settings; same executors
-        for key in ("spark.sql.session.timeZone", "spark.sql.parquet.compression.codec"):
-            session.conf.set(key, self.spark.conf.get(key))
-        session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target_bytes))
-        session.conf.set("spark.sql.files.openCostInBytes", "0")
-        session.conf.set("spark.sql.files.minPartitionNum", "1")
-        rows = session.read.schema(T.StructType.fromJson(json.loads(version.schema))).parquet(*[f"{self.root}/{s.path}" for s in shards])
-        return rows.coalesce(self._parts(shards))
+            merged = tuple(tiers[min(full)][: self.fanout])
+            path = f"data/{uuid.uuid4().hex}"
+            parts = max(1, -(-sum(r.bytes for r in merged) // self.target_bytes))
+            self._read(now.schema, merged).coalesce(parts).write.parquet(f"{self.root}/{path}")
+            try:
+                self.commit(now.schema, self._run(path), merged)
+            except ManifestConflict:  # another compaction was first
+                fs, folder = self._at(f"{self.root}/{path}")
+                fs.delete(folder, True)
+        return None
+
+    def _read(self, schema: str, runs: tuple[Run, ...]) -> DataFrame:
+        kind = T.StructType.fromJson(json.loads(schema))
+        if not runs:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*[f"{self.root}/{r.path}" for r in runs])
 
     def read(self, number: int | None = None) -> DataFrame:
         version = self.version(number) if number else self.latest()
         if version is None:
-            raise FileNotFoundError(f"no version in {self.root}")
-        schema = T.StructType.fromJson(json.loads(version.schema))
-        if not version.shards:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in version.shards])
-
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the last ``keep`` versions list; their number."""
+            raise FileNotFoundError(f"no version in {self.manifests}")
+        return self._read(version.schema, version.runs)
+
+    def vacuum(self, keep: int = 1, orphan_hours: float = 168) -> int:
+        """Delete runs that older versions list and none of the last ``keep`` does, and with them those versions.
+
+        A folder that no version lists may belong to a writer that hasn't committed yet: it goes only
+        when it is older than ``orphan_hours``. The number of folders deleted.
+        """
         now = self.latest()
         if now is None:
             return 0
-        live = {s.path for n in range(max(1, now.number - keep + 1), now.number + 1) for s in self.version(n).shards}
-        gone = 0
-        for run in self._fs.listStatus(self._path("data")):
-            for file in self._fs.listStatus(run.getPath()):
-                name = f"data/{run.getPath().getName()}/{file.getPath().getName()}"
-                if name not in live and file.getPath().getName().startswith("part-"):
-                    gone += bool(self._fs.delete(file.getPath(), False))
+        fs, folder = self._at(self.manifests)
+        numbers = sorted(int(s.getPath().getName()[1:-5]) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        old = [n for n in numbers if n <= now.number - keep]
+        live = {r.path for n in numbers if n not in old for r in self.version(n).runs}
+        dead = {r.path for n in old for r in self.version(n).runs} - live
+        for n in old:  # first the versions, so that none lists runs that are gone
+            fs.delete(self._at(f"{self.manifests}/v{n:08d}.json")[1], False)
+        gone, horizon = 0, (time.time() - orphan_hours * 3600) * 1000
+        for path in dead:
+            data, target = self._at(f"{self.root}/{path}")
+            gone += bool(data.delete(target, True))
+        data, top = self._at(f"{self.root}/data")
+        for found in data.listStatus(top):
+            name = f"data/{found.getPath().getName()}"
+            used = any(r == name or r.startswith(f"{name}/") for r in live)
+            if not used and found.getModificationTime() < horizon:
+                gone += bool(data.delete(found.getPath(), True))
         return gone
 
 
@@ -183,19 +232,24 @@ def _plain(schema: str) -> list:
     return [(f.name, f.dataType.simpleString()) for f in T.StructType.fromJson(json.loads(schema)).fields]
 
 
-def shard(documents: DataFrame, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> ShardStore:
-    """Append the documents as one run of small shards and compact the store."""
+def shard(documents: DataFrame, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, arrivals: int = ARRIVALS) -> ShardStore:
+    """Load the documents as arrivals of small shards, compacted as they come."""
     store = ShardStore(documents.sparkSession, root, target_bytes, fanout)
-    store.append(documents)
-    store.compact()
+    store.load(documents, arrivals)
     return store
 
 
 def shard_rows(store: ShardStore) -> DataFrame:
-    """The store's rows with shard (file name), shard_bytes, tier and version."""
+    """The store's rows with shard (the file, below the root), shard_bytes, run, tier and version."""
     version = store.latest()
     rows = store.read()
-    sizes = store.spark.createDataFrame([(s.path.rpartition("/")[2], s.bytes, store.tier(s.bytes)) for s in version.shards], "shard string, shard_bytes long, tier int")
-    sizes = written(sizes, "shard-sizes")  # as a table it has a known size, so that rows stay where they are
-    named = rows.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("shard"), F.lit(version.number).alias("version"))
-    return named.join(sizes, "shard")
+    if not version.runs:
+        added = [F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit("").alias("run"), F.lit(0).alias("tier")]
+    else:
+        # a run is one of a few dozen: its tier is a constant for each
+        of = F.create_map(*[F.lit(x) for r in version.runs for x in (r.path, store.tier(r.bytes))])
+        path = F.col("_metadata.file_path")
+        run = F.regexp_extract(path, rf"/(data/[0-9a-f]{{32}}(?:/{_ARRIVAL}=\d+)?)/[^/]*$", 1)
+        added = [F.concat_ws("/", run, F.element_at(F.split(path, "/"), -1)).alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), run.alias("run"), of[run].alias("tier")]
+    kept = without(rows, *ADDED).columns
+    return rows.select(*["`" + c.replace("`", "``") + "`" for c in kept], *added, F.lit(version.number).alias("version"))

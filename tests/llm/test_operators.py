@@ -29,6 +29,19 @@ def test_small_blocks_give_the_same_hits(spark):
     assert key(decontaminate.contamination(documents(spark), bench)) == key(decontaminate.contamination(documents(spark), bench, block_rows=40))
 
 
+def test_long_documents_take_time_in_proportion(spark):
+    """200,000 words with hits all over: one row, words counted as planted."""
+    bench = spark.createDataFrame([(1, prose(1002, 13))], "item_id long, text string")
+    item = prose(1002, 13).replace("\n", " ")
+    text = " ".join(prose(10_000 + k, 87).replace("\n", " ") + " " + item for k in range(2000))
+    docs = documents(spark, [doc(1, text)])
+    found = decontaminate.contamination(docs, bench).first()
+    n = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", item.lower()))
+    assert found.n_hit == 2000 * n and len(found.spans) == 2000
+    cut = decontaminate.decontaminate(docs, bench, remove="spans").first().text
+    assert cut.split() == " ".join(prose(10_000 + k, 87) for k in range(2000)).split()
+
+
 def test_removal_of_documents_and_spans(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m")], "item_id long, text string")
     rows = [doc(1, "Start, a b c d e f g h; i j k l M -- end."), doc(2, "clean text"), doc(None, None), doc(1, "other text of the same id")]
@@ -44,34 +57,73 @@ def test_removal_of_documents_and_spans(spark):
 
 
 def test_store_appends_compacts_and_reads_back(spark):
-    store = sharding.ShardStore(spark, scratch(spark, "t"), target_bytes=200_000, fanout=3)
+    store = sharding.ShardStore(spark, scratch(spark, "t"), target_bytes=200_000, fanout=3, base_bytes=1_000_000)
     docs = documents(spark)
-    for part in range(4):
+    for _ in range(4):
         store.append(docs.repartition(3))
-    before, runs = sorted(map(repr, store.read().collect())), len(store.latest().shards)
-    assert store.latest().number == 4 and runs == 12 and len(before) == 4 * docs.count()
+    before, runs = sorted(map(repr, store.read().collect())), store.latest().runs
+    assert store.latest().number == 4 and len(runs) == 4 and {r.files for r in runs} == {3} and len(before) == 4 * docs.count()
     done = store.compact()
-    assert len(done.shards) < runs and sorted(map(repr, store.read().collect())) == before
+    assert done.number == 5 and len(done.runs) == 2 and sorted(map(repr, store.read().collect())) == before
     assert sorted(map(repr, store.read(2).collect())) == sorted([*map(repr, docs.collect())] * 2)  # older versions stay readable
-    assert store.vacuum() > 0 and sorted(map(repr, store.read().collect())) == before
-    tiers = defaultdict(int)
-    for s in done.shards:
-        tiers[store.tier(s.bytes)] += 1
-    assert all(t == 0 or n < 3 or store._parts([s for s in done.shards if store.tier(s.bytes) == t]) >= n for t, n in tiers.items())
+    merged = next(r for r in done.runs if r not in runs)
+    assert merged.files == max(1, -(-sum(r.bytes for r in runs[:3]) // 200_000))
 
 
-def test_second_writer_of_a_version_fails(spark):
+def test_load_arrives_in_runs_that_are_merged_by_size(spark):
+    """Eight arrivals, fanout two: merges of merges, and every row is in one shard."""
+    docs = documents(spark)
+    store = sharding.ShardStore(spark, scratch(spark, "t"), fanout=2, base_bytes=1)
+    seen = []
+    store.compact = lambda f=store.compact: (seen.append(len(store.latest().runs)), f())[1]
+    store.load(docs.repartition(2), arrivals=8)
+    assert len(seen) == 8 and store.latest().number > 8
+    sizes = [store.tier(r.bytes) for r in store.latest().runs]
+    assert all(sizes.count(t) < 2 for t in sizes)
+    rows = sharding.shard_rows(store)
+    assert sorted(map(repr, rows.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    by_shard = {r.shard: r.shard_bytes for r in rows.select("shard", "shard_bytes").distinct().collect()}
+    assert sum(by_shard.values()) == sum(r.bytes for r in store.latest().runs)
+
+
+def test_shard_rows_of_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a", "s", 7, "v", 2), (None, None, "t", None, "w", 3)], "doc_id long, text string, shard string, Tier int, version string, run int")
+    store = sharding.shard(rows, scratch(spark, "t"))
+    found = sharding.shard_rows(store)
+    assert found.columns == ["doc_id", "text", "shard", "shard_bytes", "run", "tier", "version"]
+    assert sorted((r.doc_id or 0, r.text, "/part-" in r.shard) for r in found.collect()) == [(0, None, True), (1, "a", True)]
+    assert sorted(map(repr, store.read().collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_second_writer_commits_upon_the_first(spark):
     root = scratch(spark, "t")
-    a, b = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
-    first = a.append(documents(spark))
+    a, b = sharding.ShardStore(spark, root, fanout=2), sharding.ShardStore(spark, root, fanout=2)
     a.append(documents(spark))
+    first = a.latest()
+    b.append(documents(spark))
+    with pytest.raises(sharding.ManifestConflict):  # a name is given once
+        b._put(first)
+    both = a.latest().runs
+    late = b.latest  # a merge that began before another one ended
+    a.compact()
     with pytest.raises(sharding.ManifestConflict):
-        b._commit(first, first.schema, first.shards)
-    assert a.latest().number == 2
+        b.commit(first.schema, (), both)
+    assert late().number == 3 and len(late().runs) == 1
     with pytest.raises(ValueError):
         a.append(documents(spark).select("doc_id"))
 
 
+def test_vacuum_spares_uncommitted_runs(spark):
+    store = sharding.ShardStore(spark, scratch(spark, "t"), fanout=2)
+    store.append(documents(spark))
+    store.append(documents(spark))
+    documents(spark).write.parquet(f"{store.root}/data/{'0' * 32}")  # of a writer that has not committed yet
+    before = sorted(map(repr, store.compact() and store.read().collect()))
+    assert store.vacuum() == 2 and sorted(map(repr, store.read().collect())) == before
+    store.commit(store.latest().schema, store._run(f"data/{'0' * 32}"))
+    assert store.read().count() == 3 * documents(spark).count()
+
+
 # 3
 
 
