@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import quoted, written
+from docloom.llm.common import forget, quoted, written
 from docloom.llm.shingles import mix, shingle_sets
 
 GROUP_SIZE = 256
-#: Queries of one task's block; they are read one by one, only the group's members are held.
-BLOCK_QUERIES = 4096
+#: Tokens of one group's members, which a task holds; a longer document is a group of its own.
+GROUP_TOKENS = 4_000_000
+#: Queries of one task's block, and their tokens; they are read one by one, only the group's members are held.
+BLOCK_QUERIES = 512
+BLOCK_TOKENS = 16_000_000
 
 
 def prefix_need(n, percent: int):
@@ -155,9 +158,11 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("to"))
         new = written(low.join(jump, "low").select("node", F.least("low", "to").alias("label"), "old"), "labels")
         done = new.filter("label <> old").isEmpty()
-        labels = new.select("node", "label")
+        forget(labels)
+        labels = new
         if done:
-            return labels
+            forget(both)
+            return labels.select("node", "label")
 
 
 def link_edges(sketches: DataFrame, documents: DataFrame, classes: DataFrame, words: int, percent: int, group_size: int) -> DataFrame:
@@ -169,7 +174,7 @@ def link_edges(sketches: DataFrame, documents: DataFrame, classes: DataFrame, wo
 
     common = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     groups = prefix.join(common, "token").groupBy("node", "n").agg(F.max(F.struct("held", "token"))["token"].alias("lead"))
-    sizes = groups.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / group_size).alias("parts"))
+    sizes = groups.groupBy("lead").agg(F.ceil(F.greatest(F.count(F.lit(1)) / group_size, F.sum("n") / GROUP_TOKENS)).alias("parts"))
     members = written(
         groups.join(sizes, "lead").select("node", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("grp")), "groups"
     )
@@ -181,10 +186,10 @@ def link_edges(sketches: DataFrame, documents: DataFrame, classes: DataFrame, wo
 
     matrix = prefix.join(members, "node").select("token", "grp").distinct()
     opened = (
-        prefix.join(matrix, "token").groupBy("node", "n", "grp").agg(F.count(F.lit(1)).alias("have")).filter(F.col("have") >= least_shared(percent)).select("node", "grp")
+        prefix.join(matrix, "token").groupBy("node", "n", "grp").agg(F.count(F.lit(1)).alias("have")).filter(F.col("have") >= least_shared(percent)).select("node", "n", "grp")
     )
     opened = written(opened, "opened")
-    chunks = opened.groupBy("grp").agg(F.count(F.lit(1)).alias("queries"), F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("parts"))
+    chunks = opened.groupBy("grp").agg(F.count(F.lit(1)).alias("queries"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_QUERIES, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts"))
     chunks = written(chunks.filter("queries > 1"), "chunks")  # alone in its group's queries: only its own member
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     asked = opened.join(chunks, "grp").select("grp", part.alias("chunk"), F.lit(True).alias("query"), "node")
@@ -195,10 +200,11 @@ def link_edges(sketches: DataFrame, documents: DataFrame, classes: DataFrame, wo
 
 
 def link_documents(documents: DataFrame, words: int = 5, percent: int = 80, group_size: int = GROUP_SIZE) -> DataFrame:
-    """One row per document row: doc_id, text_key, n_shingles, component_id, n_links.
+    """One row per document row: doc_id, text_key, n_shingles, component_id, n_links, component.
 
     Two documents link when 100 * |A and B| >= percent * |A or B|; n_links counts the
-    other documents (rows) that a document links with.
+    other documents (rows) that a document links with. component tells components apart whose smallest
+    doc_ids are equal; null for an empty set.
     """
     sketches = written(sketch(documents, words, percent), "sketches")
     some = sketches.filter("n > 0")
@@ -209,30 +215,34 @@ def link_documents(documents: DataFrame, words: int = 5, percent: int = 80, grou
     links = edges.groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
     linked = written(labels.join(links, "node", "left").join(classes.select("node", "first"), "node"), "linked")
     smallest = linked.groupBy("label").agg(F.min("first").alias("smallest"))
-    known = linked.join(smallest, "label").select("node", "smallest", "links")
+    known = linked.join(smallest, "label").select("node", "label", "smallest", "links")
     nodes = classes.join(known, "node", "left").select(
         "node",
         F.coalesce("smallest", "first").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("label", "node").alias("component"),
     )
-    empty = sketches.filter("n = 0").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.join(nodes, "node").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links").union(empty)
+    empty = sketches.filter("n = 0").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
+    return some.join(nodes, "node").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", "component").union(empty)
 
 
 def keep_one(documents: DataFrame, **settings) -> DataFrame:
     """One document of each component, in the columns they came with: that of the smallest doc_id.
 
-    Documents without an id stay, as none of them can be told from another. Repeated
-    rows of one doc_id in a component are one document: the row of the smallest text hash stays.
+    Documents without an id stay, as none of them can be told from another, and so do those with an empty set. Repeated
+    rows of one doc_id in a component are one document: one row of the smallest text hash stays. Rows of
+    one doc_id in two components are two documents, and both stay.
     """
     found = link_documents(documents, **settings)
-    keep = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct(), "kept")
-    best = keep.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
-    best = written(best.union(keep.filter("doc_id is null").select("doc_id", "text_key")), "kept")
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "component", "text_key")
+    keep = written(keep.groupBy("doc_id", "component", F.when(F.col("component").isNull() | F.col("doc_id").isNull(), F.col("text_key")).alias("own")).agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows")), "kept")
+    best = written(keep.select("doc_id", "text_key").distinct(), "kept")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("k.text_key"))
     kept = documents.alias("d").join(best.alias("k"), same, "left_semi").select(*[F.col(f"d.{c}") for c in quoted(documents)])
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
+    again = written(keep.filter("rows > 1 and doc_id is not null").select("doc_id", "text_key").distinct(), "repeated")
+    if again.isEmpty():
         return kept
-    again = written(repeated.select("doc_id"), "repeated")
-    return kept.join(again, "doc_id", "left_anti").union(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*quoted(documents)))
+    # only the few rows that may repeat are compared with each other
+    same = (F.col("d.doc_id") == F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_key"))
+    once = kept.alias("d").join(again.alias("k"), same).select("d.*", F.col("k.text_key").alias("__dl_key")).dropDuplicates(["doc_id", "__dl_key"]).drop("__dl_key")
+    return kept.alias("d").join(again.alias("k"), same, "left_anti").unionByName(once)
