@@ -8,7 +8,13 @@ shared. Runs of neighbouring shared chunks of ``min_run_bytes`` or more are repe
 passages: the first document (smallest doc_id) keeps them, the others lose them.
 A single shared chunk is never acted on, so a digest collision does no harm.
 
-Defined cases: null and empty texts have no chunks. Repeated rows (same doc_id, same text) are
+A chunk that holds more than one HOT-th of all chunk rows is joined through a broadcast table, which has
+fewer than HOT rows at any size of the corpus; the others are joined by a shuffle, in which no key
+then has more than a HOT-th of the rows.
+
+Defined cases: null and empty texts have no chunks. Very long texts are cut whole; their chunks leave a
+task in batches of BATCH_ROWS. Repeats within one document are not this operator's: a passage
+counts once a document, and ties between documents go to the smallest doc_id. Repeated rows (same doc_id, same text) are
 one document here; equal texts under different doc_ids are repeats of one another. Rows without a doc_id
 take part as document "null" of their text. Empty tables give empty results. Only doc_id and text
 are read; remove_repeats passes other columns through.
@@ -34,6 +40,8 @@ MAX_BYTES = 512
 #: The shortest run that counts as a repeated passage: what is left of some 50 words
 #: when the hash's warm-up and the chunks over the passage's ends are taken off.
 MIN_RUN_BYTES = 80
+BATCH_ROWS = 65_536
+HOT = 1000
 _PAD = 32
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)
 
@@ -93,19 +101,26 @@ def chunk_table(documents: DataFrame, mask_bits: int = MASK_BITS, min_bytes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, seqs, starts, ends, digests = [], [], [], [], []
-            for e, d in chunks_of(batch.column("text"), mask_bits, min_bytes, max_bytes):
-                counts.append(len(e))
-                seqs.append(np.arange(len(e)))
-                starts.append(np.array([0, *e[:-1]][: len(e)], np.int64))
-                ends.append(np.array(e, np.int64))
-                digests.append(np.array(d, np.uint64).view(np.int64))
-            row = pa.array(np.repeat(np.arange(len(counts)), counts))
-            whole = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(kind))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(row), batch.column("text_key").take(row), whole(seqs, np.int32), whole(starts, np.int32), whole(ends, np.int32), whole(digests, np.int64)],
-                ["doc_id", "text_key", "seq", "start", "end", "digest"],
-            )
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
+            rows, found, size = [], [], 0
+
+            def flush(rows: list, found: list) -> pa.RecordBatch:
+                row = pa.array(np.repeat(np.array(rows, np.int64), [len(e) for e, _ in found]))
+                whole = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(kind))
+                seqs = whole([np.arange(len(e)) for e, _ in found], np.int32)
+                starts = whole([np.array([0, *e[:-1]][: len(e)], np.int64) for e, _ in found], np.int32)
+                ends = whole([np.array(e, np.int64) for e, _ in found], np.int32)
+                digests = whole([np.array(d, np.uint64).view(np.int64) for _, d in found], np.int64)
+                return pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), seqs, starts, ends, digests], ["doc_id", "text_key", "seq", "start", "end", "digest"])
+
+            for i, (e, d) in enumerate(chunks_of(batch.column("text"), mask_bits, min_bytes, max_bytes)):
+                rows.append(i)
+                found.append((e, d))
+                size += len(e)
+                if size >= BATCH_ROWS:
+                    yield flush(rows, found)
+                    rows, found, size = [], [], 0
+            yield flush(rows, found)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, seq int, start int, end int, digest long")
@@ -120,8 +135,15 @@ def repeated_passages(documents: DataFrame, min_run_bytes: int = MIN_RUN_BYTES,
     """
     chunks = chunk_table(documents, **chunking)
     owner = F.struct("doc_id", "text_key")
-    shared = chunks.groupBy("digest").agg(F.min(owner).alias("first"), F.max(owner).alias("last")).filter("first <> last").select("digest", "first")
-    found = written(chunks.join(shared, "digest").distinct(), "shared-chunks")
+    shared = chunks.groupBy("digest").agg(F.min(owner).alias("first"), F.max(owner).alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = written(shared.filter("first <> last").select("digest", "first", "n"), "shared-digests")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(shared.filter(F.col("n") * HOT > total).select("digest", F.col("first").alias("hot_first")))  # fewer than HOT rows
+    cold = shared.filter(F.col("n") * HOT <= total).select(F.col("digest").alias("key"), F.col("first").alias("cold_first"))
+    # rows of hot chunks are done; they pass the shuffle under keys of their own, spread over all tasks
+    marked = chunks.join(hot, "digest", "left").withColumn("key", F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.xxhash64("text_key", "seq")))
+    rows = marked.join(cold, "key", "left").withColumn("first", F.coalesce("hot_first", "cold_first")).filter("first is not null")
+    found = written(rows.select(*chunks.columns, "first").distinct(), "shared-chunks")
     one = Window.partitionBy("doc_id", "text_key").orderBy("seq")
     runs = found.withColumn("run", F.col("seq") - F.row_number().over(one))
     lost = ~owner.eqNullSafe(F.col("first"))

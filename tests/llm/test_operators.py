@@ -211,6 +211,16 @@ def test_repeated_passages_against_brute_force(spark):
     assert all(cleaned[i] == texts[i] for i in firsts - {x.doc_id for x in found if x.removed_bytes})
 
 
+def test_hot_chunks_take_the_broadcast_way(spark, monkeypatch):
+    passage = prose(71, 90)
+    docs = documents(spark, [doc(i, f"{prose(4000 + i, 40)}\n{passage}\n{prose(6000 + i, 20)}") for i in range(30)])
+    found = lambda: sorted(map(repr, substring_dedup.repeated_passages(docs).collect()))
+    plain = found()
+    monkeypatch.setattr(substring_dedup, "HOT", 10**9)  # every shared chunk is hot
+    monkeypatch.setattr(substring_dedup, "BATCH_ROWS", 5)
+    assert found() == plain and len(plain) >= 30
+
+
 # 5
 
 
@@ -441,6 +451,15 @@ def test_components_against_brute_force(spark, words, percent, group):
     assert sorted((x.doc_id, x.n_shingles, x.component_id, x.n_links) for x in found) == brute_components(rows, words, percent)
 
 
+def test_keep_one_of_a_component_not_of_an_id(spark):
+    """Two unrelated texts under one id are two documents; near copies and equal rows under one id are one."""
+    base, other = prose(71, 80), prose(72, 80)
+    rows = [doc(1, base), doc(1, other), doc(1, base), doc(1, base + " more"), doc(2, base), doc(3, None), doc(3, None)]
+    kept = jaccard.keep_one(documents(spark, rows), words=5, percent=80).collect()
+    texts = [(r.doc_id, r.text) for r in kept]
+    assert len(texts) == 3 and (1, other) in texts and (3, None) in texts and {t for i, t in texts if i == 1} - {other} < {base, base + " more"}
+
+
 def test_keep_one(spark):
     rows = [*fixtures.document_rows(), doc(None, prose(5, 300)), doc(None, None)]
     docs = documents(spark, rows)
