@@ -1,11 +1,17 @@
 """Main-text extraction from HTML by two-pass block rules.
 
-Pass 1 decides blocks by where they stand (page furniture, article), by link density, by
-length and by stop-word density. Pass 2 lets each short block that pass 1 left open inherit
+Elements that are page furniture by their tag, role or class words are taken off as markup. Of the other
+blocks pass 1 decides by link density (bad above MAX_LINK_DENSITY), length (shorter than MIN_WORDS stays
+open) and stop-word density (good from MIN_STOP_DENSITY on); a long block of few stop words, such as a table or a list, is
+good within an article element and bad outside one. Pass 2 lets each open block inherit
 the label of the nearest decided block of its region. The per-page helper reads tags
 with one regular expression; Spark deals pages to tasks, and blocks come back as a column.
 
-Defined cases: null or empty html has no blocks and the text is empty. Unclosed tags, comments,
+Class words count by themselves: those of layout ("layout has-sidebar", "nav-wrapper") say nothing of what is
+inside, a header within an article is part of it, and a main element is never furniture.
+
+Defined cases: null or empty html has no blocks and the text is empty. Quotes count only after an equals sign, so a stray
+one ends with its tag. Time grows with the page's length, not with its depth. Very long pages are read whole. Unclosed tags, comments,
 scripts and truncated pages are read to the end of the page. Repeated rows and null
 keys pass through row by row. Other columns stay; those named text and n_chars are replaced.
 """
@@ -15,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,15 +57,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 AGAIN = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "p": "", "tr": "table", "td": "table tr", "th": "table tr", "option": "select"}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id attributes that mark page furniture.
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|"
-    r"cookies?|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|"
-    r"related\w*|recommend\w*|comments?|commentlist|replies|respond|disqus\w*|widget\w*|toolbar|pagination|pager|copyright|legal|hidden)(?=$|[\s_-])"
+HINT = re.compile(
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|"
+    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|"
+    r"related\w*|recommend\w*|comments?|commentlist|replies|respond|disqus\w*|widget\w*|toolbar|pagination|pager|copyright|legal|hidden"
 )
+#: Words that make a class name one of layout: it tells of a page's parts, not what an element is.
+LAYOUT = frozenset("has have no not with without is are show hide js layout wrapper wrap container page outer inner row grid site main content body".split())
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)[_-]?(?:body|content|text)(?=$|[\s_-])")
+ATTRS = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*"""  # a quote without "=" before it is a character like others
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<skip>{SKIP})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:/>|>.*?(?:</(?P=skip)\s*>|\Z)|\Z)|"
-    r"<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<skip>{SKIP})\b(?>{ATTRS})(?:(?<=/)>|>.*?(?:</(?P=skip)\s*>|\Z)|\Z)|"
+    rf"<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?>{ATTRS}))(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -69,9 +79,18 @@ MAX_LINK_DENSITY = 0.5
 SCHEMA = "array<struct<text:string,label:string,words:int,stop_density:double,link_density:double,region:string,rule:string>>"
 
 
+def hinted(names: str, in_article: bool) -> bool:
+    """Whether class and id names mark page furniture."""
+    for name in names.split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if LAYOUT.isdisjoint(words) and any(HINT.fullmatch(w) and not (in_article and w in ("header", "masthead")) for w in words):
+            return True
+    return False
+
+
 def region_of(tag: str, attrs: str, outer: str) -> str:
     """The region an element opens: boilerplate, article, or that around it."""
-    if outer == "boilerplate":
+    if outer == "boilerplate" and tag != "main":
         return outer
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTR.finditer(attrs)} if attrs.strip() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
@@ -79,10 +98,12 @@ def region_of(tag: str, attrs: str, outer: str) -> str:
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     if tag in FURNITURE or role in ROLES or hidden or (tag == "header" and outer != "article"):
         return "boilerplate"
-    if tag in ("article", "main") or role == "main" or found.get("itemprop") == "articleBody" or ARTICLE.search(names):
+    if tag == "main" or role == "main":
         return "article"
-    if tag not in ("html", "body") and HINTS.search(names):
+    if tag not in ("html", "body") and hinted(names, outer == "article"):
         return "boilerplate"
+    if tag == "article" or found.get("itemprop") == "articleBody" or ARTICLE.search(names):
+        return "article"
     return outer
 
 
@@ -92,6 +113,7 @@ def blocks_of(page: str) -> list[dict]:
     stack: list[tuple[str, str]] = []  # (tag, region)
     parts: list[str] = []
     linked = 0
+    opened: Counter[str] = Counter()  # open elements by tag, so that no token searches the stack in vain
 
     def flush() -> None:
         nonlocal linked
@@ -107,6 +129,7 @@ def blocks_of(page: str) -> list[dict]:
     def close(at: int) -> None:
         if any(t in BLOCKS for t, _ in stack[at:]):
             flush()
+        opened.subtract(t for t, _ in stack[at:])
         del stack[at:]
 
     for m in TOKEN.finditer(page):
@@ -114,14 +137,14 @@ def blocks_of(page: str) -> list[dict]:
         if text is not None:
             text = html.unescape(text) if m["cdata"] is None else text
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked += len(" ".join(text.split()))
             continue
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
         if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if opened[tag] else None
             if at is not None:
                 close(at)
             elif tag in BLOCKS:
@@ -135,7 +158,7 @@ def blocks_of(page: str) -> list[dict]:
             continue
         if tag in BLOCKS:
             flush()
-            for kind in {"p", tag} & AGAIN.keys():  # a block ends an open paragraph; an item ends the item before
+            for kind in (k for k in {"p", tag} & AGAIN.keys() if opened[k]):  # a block ends an open paragraph; an item ends the item before
                 walls = AGAIN[kind].split() or ["td", "th", "li", "div", "section", "article", "blockquote", "body", "main", "aside", "nav", "footer", "header", "form"]
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == kind:
@@ -143,6 +166,7 @@ def blocks_of(page: str) -> list[dict]:
                         break
                     if stack[i][0] in walls:
                         break
+        opened[tag] += 1
         stack.append((tag, region_of(tag, m["attrs"], stack[-1][1] if stack else "page")))
     flush()
     return out
@@ -155,9 +179,9 @@ def first_pass(b: dict) -> tuple[str, str]:
         return "bad", "links"
     if b["words"] < MIN_WORDS:
         return "", "short"
-    if b["region"] == "article":
-        return "good", "article"
-    return ("good", "stop words") if b["stop_density"] >= MIN_STOP_DENSITY else ("bad", "stop words")
+    if b["stop_density"] >= MIN_STOP_DENSITY:
+        return "good", "stop words"
+    return ("good", "article") if b["region"] == "article" else ("bad", "few stop words")
 
 
 def classify(blocks: list[dict]) -> list[dict]:
