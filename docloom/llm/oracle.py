@@ -38,7 +38,7 @@ dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP
 totals AS (SELECT source, count(DISTINCT coalesce('t' || raw, 'n')) AS total FROM d GROUP BY source),
 over_limit AS (SELECT c.source, c.norm FROM
          (SELECT source, norm, count(DISTINCT raw) AS docs FROM l GROUP BY source, norm) c
-         JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE docs >= 10 AND docs * 100 > total * 10),
+         JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE docs >= 5 AND docs * 100 > total),
 gone AS (SELECT rid, sum(lw) AS lw FROM l JOIN over_limit o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY rid),
 win AS (SELECT rid, s, w[s:s + 2] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) >= 3)),
 twice AS (SELECT rid, win FROM win GROUP BY rid, win HAVING count(*) > 1),
@@ -49,7 +49,7 @@ s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
              CAST(len(w) - coalesce(gone.lw, 0) AS BIGINT) AS n_words_left
       FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_left >= 30 * n_words AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_left >= 50 * n_words AS kept
 FROM s
 """
 

@@ -12,7 +12,10 @@ With ``max_docs``, a line in so many documents of its host is over the limit wha
 as a licence line of a large host is. Such lines grow with the corpus, so they are
 joined by host and line, and each document gets its own.
 
-Defined cases. Null or wordless texts have no words and fail the base rule. A null
+Documents are counted as distinct texts, since exact copies are for deduplication to settle: counted one by
+one, ten copies of an article would make all its lines frequent and remove every copy.
+
+Defined cases. Very long texts are judged whole. Null or wordless texts have no words and fail the base rule. A null
 host is a host of its own. Repeated rows are judged each by their own text; the
 order of rows plays no part. Empty tables give empty results. Columns of the input
 pass through, except that columns with the names of the added ones are replaced.
@@ -27,11 +30,11 @@ from docloom.llm.common import ascii_lower, blank_words, count_blank_words, let,
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_DOCS = 10
-MAX_PERCENT = 10
-#: Documents of one host that make a line common whatever its share; the registered query, which its SQL binds to the share, does not set it.
+MIN_DOCS = 5
+MAX_PERCENT = 1
+#: Documents of one host that make a line common whatever its share.
 MAX_DOCS = 1000
-MIN_LEFT_PERCENT = 30
+MIN_LEFT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 WORD_COUNTS = ("n_words", "word_chars", "n_repeat_words")
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "kept")
