@@ -2,19 +2,27 @@
 
 Entities (e-mail, phone, IP address, card number, IBAN, person) are found by one pattern. Each
 distinct entity gets a surrogate from a keyed SHA-256 of its normal form, so that the
-same entity has the same surrogate in every document and run. Digits become
-digits, letters letters of the same script and case; separators, country codes, top-level domains and
-octet widths stay, and so do the zeros or the one before an area code; a card number that passes the Luhn test still does. Given names go to
-another given name of the same gender and script by a keyed cycle through the list; family names
-are replaced apart from given names, so that "Ms Roth" and "Anna Roth" stay one family.
-A surrogate that equals another one or any entity of the corpus is drawn again, until all are distinct.
+same entity has the same surrogate in every document and run, however it is written: normal forms of phone,
+card and account numbers have no separators ("+" and "00" before a country code are one), others no
+letter case. The surrogate is put into each occurrence's own separators and case. Digits become
+digits, letters letters of the same script; country codes, top-level domains and
+octet widths stay, and so do the zero or the one before an area code; a card number that passes the Luhn test still does.
+Given names go to another given name of the same gender and script by a keyed cycle through the list; family names
+are replaced apart from given names, vowels by vowels and consonants by consonants, so that "Ms Roth" and "Anna Roth" stay one family.
+A surrogate that equals another one or any entity of the corpus is drawn again, until all are distinct. Where a
+form has too few values for that (one-digit octets, names of two letters), it is widened after each
+WIDEN draws: octets take any width, others one character more.
 
 Phone numbers are found with a country code after "+", with an area code in brackets, with a leading zero
 (9 to 13 digits), and without one in groups of 3-3-4 or 3-2-2-2. Local numbers without an area code and
-nine digits in threes stay in the text: they can't be told from other numbers.
+nine digits in threes stay in the text: they can't be told from other numbers. E-mail addresses have up to 64
+characters before "@" and up to ten labels after it; what is longer is no address.
 
-Defined cases: null texts stay null, texts without entities come back as they are. Rows are judged
-one by one, so repeated rows come back repeated; an entity's letter case carries over. Empty
+The key is the caller's secret: an argument, or the setting spark.docloom.pii.key.
+
+Defined cases: null texts stay null, texts without entities come back as they are, very long texts and tokens are
+read whole. Rows are judged one by one, so repeated rows come back repeated; an entity's letter case carries over.
+Of two entities that draw one surrogate (a tie) the smaller normal form keeps it. Empty
 tables give empty results. Other columns pass through; those named like the added ones are replaced.
 """
 
@@ -26,10 +34,11 @@ import hmac
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import let, quoted, without, written
+from docloom.llm.common import forget, let, quoted, without, written
 
-KEY = "docloom-surrogates"
-MAX_ROUNDS = 50
+KEY_SETTING = "spark.docloom.pii.key"
+#: Draws of one width before a surrogate may be wider than its entity.
+WIDEN = 8
 ADDED = ("n_entities", "entity_types")
 
 # Given names by gender and script.
@@ -53,7 +62,8 @@ PHONES = (
 )
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
+    # bounded repeats: Java matches a repeated group by recursion, and a text of endless labels would end the JVM
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,10}[A-Za-z]{2,24}",
     "ip": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
     "phone": "|".join(PHONES),
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -61,6 +71,9 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.? (?:(?:{_GIVEN}) )?{NAME}|(?:{_GIVEN}) {NAME})",
 }
 ANY = "|".join(PATTERNS.values())
+# Lengths of country calling codes by their first digits.
+CALLING = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуыэюя", "greek": "αεηιουω"}
 
 
 def kind_of(entity: Column) -> Column:
@@ -87,14 +100,24 @@ def stream(key: str, value: Column, attempt: Column) -> Column:
     return let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.length(value)), lambda i: F.conv(F.substring(d, 2 * i + 1, 2), 16, 10).cast("int")))
 
 
-def masked(value: Column, numbers: Column, keep: Column) -> Column:
-    """Digits to digits and letters to letters of their script and case, where keep(place) is not set."""
+def masked(value: Column, numbers: Column, keep: Column, spoken: bool = False) -> Column:
+    """Digits to digits and letters to letters of their script and case, where keep(place) is not set.
+
+    spoken: vowels to vowels and consonants to consonants.
+    """
 
     def char(c: Column, n: Column, kept: Column) -> Column:
-        pick = lambda alphabet: F.substring(F.lit(alphabet), n % len(alphabet) + 1, 1)
         letters = "abcdefghijklmnopqrstuvwxyz"
         cyrillic = "абвгдежзийклмнопрстуфхцчшщыьэюя"
         greek = "αβγδεζηθικλμνξοπρστυφχψω"
+
+        def pick(alphabet: str) -> Column:
+            of = lambda letters: F.substring(F.lit(letters), n % len(letters) + 1, 1)
+            vowels = next((v for v in VOWELS.values() if v[0] in alphabet), "")
+            if not spoken or not vowels:
+                return of(alphabet)
+            return F.when(F.lower(c).rlike(f"[{vowels}äöüáàâéèêëíìîïóòôúùûåæøœё]"), of(vowels)).otherwise(of("".join(x for x in alphabet if x not in vowels)))
+
         return (
             F.when(kept, c)
             .when(c.rlike("[0-9]"), pick("0123456789"))
@@ -130,27 +153,46 @@ def with_luhn(card: Column, original: Column) -> Column:
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity's normal form (lower case, for persons the family name)."""
+    """The surrogate of an entity's normal form (see normal)."""
     none = F.array().cast("array<int>")
+    more = F.floor(attempt / WIDEN).cast("int")
+    wide = lambda value: F.concat(value, F.repeat(F.substring(value, -1, 1), more))
     domain = F.regexp_extract(norm, "@.*$", 0)
-    plain = lambda value, keep: masked(value, stream(key, F.concat(kind, F.lit(":"), value), attempt), keep)
+    plain = lambda value, keep, **how: masked(wide(value), stream(key, F.concat(kind, F.lit(":"), wide(value)), attempt), keep, **how)
     places = lambda first, last: F.sequence(first, last)
-    prefix = F.length(F.regexp_extract(norm, r"^\+\d{1,3}(?=\D)|^\+\d|^\(?00?|^1(?=[ .-])", 0))
+    prefix = F.length(F.regexp_extract(norm, rf"^\+(?:{CALLING})|^0|^1(?=\d{{10}}$)", 0))
     top = F.length(F.regexp_extract(domain, r"\.[a-z]+$", 0))
     # the domain by itself, so that addresses at one domain stay at one domain
     domain_out = masked(domain, stream(key, F.concat(F.lit("domain:"), domain), F.lit(0)), places(F.length(domain) - top, F.length(domain)))
     numbers = stream(key, F.concat(kind, F.lit(":"), norm), attempt)
-    octet = lambda o, n: F.when(F.length(o) == 1, n % 10).when(F.length(o) == 2, 10 + n % 90).otherwise(100 + n % 156)
+    octet = lambda o, n: F.when(more > 0, n).when(F.length(o) == 1, n % 10).when(F.length(o) == 2, 10 + n % 90).otherwise(100 + n % 156)
+    phone = plain(norm, F.when(prefix > 0, places(F.lit(0), prefix - 1)).otherwise(none))
+    # no zero after the prefix: it would read as another prefix
+    phone = let(phone, lambda p: F.concat(F.substr(p, F.lit(1), prefix), F.translate(F.substr(p, prefix + 1, F.lit(1)), "0", "5"), F.substr(p, prefix + 2)))
     return (
         F.when(kind == "email", F.concat(plain(F.regexp_extract(norm, "^[^@]*", 0), none), domain_out))
         .when(kind == "ip", let(numbers, lambda n: F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: octet(o, n[i]).cast("string")), ".")))
-        .when(kind == "phone", plain(norm, F.when(prefix > 0, places(F.lit(0), prefix - 1)).otherwise(none)))
+        .when(kind == "phone", phone)
         .when(kind == "iban", plain(norm, places(F.lit(0), F.lit(1))))
         .when(kind == "card", with_luhn(plain(norm, none), norm))
-        .otherwise(plain(norm, none))
+        .otherwise(plain(norm, none, spoken=True))
     )
 
 
+def formatted(value: Column, entity: Column) -> Column:
+    """The letters and digits of value in the places that those of entity have, its separators kept."""
+    value = F.when(entity.rlike(r"^\W*0\W*0") & value.startswith("+"), F.concat(F.lit("00"), F.substr(value, F.lit(2)))).otherwise(F.ltrim(value, F.lit("+")))
+    state = lambda out, rest: F.struct(out.alias("out"), rest.alias("rest"))
+
+    def put(acc: Column, part: Column) -> Column:
+        n = F.length(part)
+        own = state(F.concat(acc["out"], F.substr(acc["rest"], F.lit(1), n)), F.substr(acc["rest"], n + 1))
+        return F.when(part.rlike("[0-9A-Za-z]"), own).otherwise(state(F.concat(acc["out"], part), acc["rest"]))
+
+    parts = F.regexp_extract_all(entity, F.lit("[0-9A-Za-z]+|[^0-9A-Za-z]+"), F.lit(0))
+    return F.aggregate(parts, state(F.lit(""), value), put, lambda acc: F.concat(acc["out"], acc["rest"]))
+
+
 def recased(value: Column, like: Column) -> Column:
     """value in the letter case of like, character by character (the lengths are equal)."""
     a, b = F.split(value, ""), F.split(like, "")
@@ -163,15 +205,21 @@ def family(entity: Column) -> Column:
 
 
 def normal(kind: Column, entity: Column) -> Column:
-    return F.lower(F.when(kind == "person", family(entity)).otherwise(entity))
+    """One form for all ways to write an entity: the family name of a person, numbers without separators."""
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    phone = F.regexp_replace(F.concat(F.when(entity.startswith("+"), "+").otherwise(""), digits), "^00", "+")
+    form = F.when(kind == "person", family(entity)).when(kind == "phone", phone).when(kind == "card", digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+    return F.lower(form.otherwise(entity))
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm) -> the same with surrogate: distinct per kind, and none an entity itself."""
     known = written(entities.select("kind", "norm").distinct(), "entities")
-    drawn = lambda rows: rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+    # drawing is work: entities are dealt into as many tasks as a shuffle has, not as their few bytes would fill
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = lambda rows: rows.repartition(tasks, "kind", "norm").withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
     table = written(drawn(known.withColumn("attempt", F.lit(0))), "surrogates")
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round has more values to draw from than the last but WIDEN
         first = table.groupBy("kind", "surrogate").agg(F.min("norm").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         doubles = table.join(first, ["kind", "surrogate"]).filter("norm <> owner").select("kind", "norm")
         real = table.join(known.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "norm")
@@ -180,12 +228,17 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
             return table.select("kind", "norm", "surrogate")
         kept = table.join(clash, ["kind", "norm"], "left_anti")
         again = drawn(table.join(clash, ["kind", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1).drop("surrogate"))
-        table = written(kept.unionByName(again), "surrogates")
-    raise ValueError(f"surrogates still collide after {MAX_ROUNDS} rounds: an entity kind has too few values")
+        new = written(kept.unionByName(again), "surrogates")
+        forget(table)
+        forget(clash)
+        table = new
 
 
-def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(documents: DataFrame, key: str | None = None) -> DataFrame:
     """The documents' columns with surrogates in text, n_entities and entity_types."""
+    key = key or documents.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"give a key or set {KEY_SETTING}")
     docs = without(documents, *ADDED)
     # a cheap test that every text with an entity passes; the others are never shuffled
     some = F.coalesce(F.col("text").rlike(r"[0-9@]") | F.col("text").rlike(PATTERNS["person"]), F.lit(False))
@@ -199,10 +252,11 @@ def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
     table = surrogates(found, key)
     names = F.create_map(*[F.lit(x) for pair in given_cycle(key).items() for x in pair])
     last = family(F.col("entity"))
-    before = F.expr("substring(entity, 1, length(entity) - length(norm))")
+    before = F.substr(F.col("entity"), F.lit(1), F.length("entity") - F.length(last))
     given = F.transform(F.split(before, r"(?<= )"), lambda w: F.coalesce(F.concat(names[F.rtrim(w)], F.lit(" ")), w))
     person = F.concat(F.array_join(given, ""), recased(F.col("surrogate"), last))
-    value = F.when(F.col("kind") == "person", person).otherwise(recased(F.col("surrogate"), F.col("entity")))
+    number = formatted(F.col("surrogate"), F.col("entity"))
+    value = F.when(F.col("kind") == "person", person).when(F.col("kind").isin("phone", "card"), number).when(F.col("kind") == "iban", F.upper(number)).otherwise(recased(F.col("surrogate"), F.col("entity")))
     lists = (
         found.join(table, ["kind", "norm"])
         .groupBy("text_key")

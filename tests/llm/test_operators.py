@@ -367,7 +367,7 @@ def test_mix_takes_near_the_target(spark):
 def test_surrogates(spark):
     text = "Ask Anna Roth or Ms Roth: +1 (017) 555-7713, Anna.ROTH@Example.com, anna.roth@example.com, 4111 1111 1111 1111, Иван Петров, 10.1.22.255."
     docs = documents(spark, [doc(1, text), doc(2, "Mail anna.roth@example.com!"), doc(3, None), doc(4, "nothing here: 4.0"), doc(1, text)])
-    found = pii.pseudonymise(docs).collect()
+    found = pii.pseudonymise(docs, "k").collect()
     one, two = next(r for r in found if r.doc_id == 1), next(r for r in found if r.doc_id == 2)
     assert sum(r.text == one.text for r in found) == 2 and one.n_entities == 8
     m = re.fullmatch(r"Ask (\w+) (\w+) or Ms (\w+): \+1 \((\d{3})\) (\d{3})-(\d{4}), (\w+)\.([A-Z]{4})@(\w+)\.com, (\w+\.\w+@\w+\.com), (\d{4} \d{4} \d{4} \d{4}), ([А-Я][а-я]+) ([А-Я][а-я]+), (\d{2}\.\d\.\d{2}\.\d{3})\.", one.text)
@@ -383,7 +383,7 @@ def test_national_phone_numbers(spark):
     numbers = "(555) 123-4567|555-123-4567|1-555-123-4567|0171 1234567|06 12 34 56 78|030/1234567|(0171) 1234567|0044 20 7946 0958|612 34 56 78|0612345678|+49 171/1234567".split("|")
     others = "on 05.06.2021 10:30|05-06-2021|ISBN 0-306-40615-2|10.1.22|1 234 567 890|4.0 or 555-1234"
     rows = [doc(i, f"Tel.{n}, or call {n}.") for i, n in enumerate(numbers)] + [doc(100 + i, t) for i, t in enumerate(others.split("|"))]
-    found = {r.doc_id: r for r in pii.pseudonymise(documents(spark, rows)).collect()}
+    found = {r.doc_id: r for r in pii.pseudonymise(documents(spark, rows), "k").collect()}
     for i, n in enumerate(numbers):
         one = re.fullmatch(r"Tel\.(.*), or call (.*)\.", found[i].text)
         assert found[i].entity_types == ["phone"] and found[i].n_entities == 2 and one[1] == one[2] != n
@@ -395,10 +395,60 @@ def test_national_phone_numbers(spark):
 def test_surrogates_stay_distinct(spark):
     """All one-letter family names: drawn again until no two share a surrogate and none is real."""
     names = [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(6) for c in range(6) for d in range(6)]
-    table = pii.surrogates(spark.createDataFrame(names, "kind string, norm string")).collect()
+    table = pii.surrogates(spark.createDataFrame(names, "kind string, norm string"), "k").collect()
     assert len({r.surrogate for r in table}) == len(names) and not {r.surrogate for r in table} & {n for _, n in names}
 
 
+def test_small_value_spaces_are_widened(spark):
+    """All one-digit addresses and all two-letter names are real: no surrogate of their own width is left."""
+    names = [("ip", f"{a}.{b}.{c}.{d}") for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    names += [("person", a + b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    table = pii.surrogates(spark.createDataFrame(names, "kind string, norm string"), "k").collect()
+    assert len({r.surrogate for r in table}) == len(names) and not {r.surrogate for r in table} & {n for _, n in names}
+
+
+def test_one_number_in_many_forms_has_one_surrogate(spark):
+    forms = ["+49 30 1234567", "+49-30-1234567", "0049 30 1234567", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "DE44 5001 0517 5407 3249 31", "DE44500105175407324931"]
+    texts = [r.text for r in sorted(pii.pseudonymise(documents(spark, [doc(i, f"x {f} y") for i, f in enumerate(forms)]), "k").collect(), key=lambda r: r.doc_id)]
+    bare = [re.sub("[^0-9A-Z]", "", t) for t in texts]
+    assert len({b.removeprefix("00") for b in bare[:3]}) == len(set(bare[3:6])) == len(set(bare[6:])) == 1
+    assert all(re.sub("[0-9A-Z]", "9", t) == re.sub("[0-9A-Z]", "9", f"x {f} y") and f not in t for t, f in zip(texts, forms, strict=True))
+    assert texts[0].startswith("x +49 ") and texts[2].startswith("x 0049 ") and texts[6].startswith("x DE")
+
+
+def test_endless_tokens_end_no_task(spark):
+    texts = ["x@" + "a." * 20_000, "a." * 50_000 + "b", "x" * 200_000 + "@host.com", "+1 " * 30_000, "A" * 100_000, "1 " * 100_000]
+    found = pii.pseudonymise(documents(spark, [doc(i, t) for i, t in enumerate(texts)]), "k").collect()
+    assert all(r.text == texts[r.doc_id] for r in found if r.doc_id in (0, 1, 2, 4))
+    with pytest.raises(ValueError):
+        pii.pseudonymise(documents(spark))
+
+
+def brute_pseudonyms(texts, table):
+    """Plain Python over the found entities: the surrogate table applied occurrence by occurrence."""
+    out = []
+    for text in texts:
+        pos, parts = 0, []
+        for m in re.finditer(r"[a-z0-9.]+@[a-z0-9.]+[a-z]|\d+(?:\.\d+){3}", text or ""):
+            parts += [text[pos : m.start()], table[m[0]]]
+            pos = m.end()
+        out.append(None if text is None else "".join([*parts, text[pos:]]))
+    return out
+
+
+def test_query_against_brute_force(spark):
+    """Lower-case addresses and octets in random texts, replaced from the surrogate table by plain Python."""
+    r = random.Random(3)
+    pool = [f"{a}.{b}@{c}.org" for a in ("ann", "bo") for b in ("li", "ray", "oz") for c in ("acme", "b.co")] + [f"10.{i}.{i * 7 % 256}.9" for i in range(20)]
+    texts = [" ".join(r.choice([*pool, "plain", "word,", "x-y"]) for _ in range(r.randrange(0, 30))) for _ in range(60)] + [None, ""]
+    rows = pii.pseudonymise(documents(spark, [doc(i, t) for i, t in enumerate(texts)]), "k").collect()
+    entities = [("ip" if x[0] == "1" else "email", x) for x in pool if any(x in (t or "").split() for t in texts)]
+    table = {x.norm: x.surrogate for x in pii.surrogates(spark.createDataFrame(entities, "kind string, norm string"), "k").collect()}
+    want = brute_pseudonyms(texts, table)
+    assert [x.text for x in sorted(rows, key=lambda x: x.doc_id)] == want
+    assert {x.doc_id: x.n_entities for x in rows} == {i: sum(w in table for w in (t or "").split()) for i, t in enumerate(texts)}
+
+
 # 9
 
 
