@@ -33,8 +33,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.example_findings(spark))
-    found = secrets.scan(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    words = secrets.learn_dictionary(docs)
+    model = secrets.train(secrets.example_findings(spark, dictionary=words), dictionary=words)
+    found = secrets.scan(docs, model, dictionary=words)
     return found.select("doc_id", "at", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), "probability", "is_secret")
 
 

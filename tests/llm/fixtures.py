@@ -42,6 +42,9 @@ def document_rows() -> list[tuple]:
         (15, prose(15, 30000), "a"),
         (16, "дом ΑΒΓ ÄÖÜ größe Größe " * 12, None),
         (10, "x " + prose(1002, 13), "a"),
+        (20, 'api_key = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and commit f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda', "config/app.yml"),
+        (20, 'api_key = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and commit f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda', "config/app.yml"),
+        (None, "export TOKEN=ghp_Zk3vQ9xT1mB7rW5nC8yL2dH6sJ4fG0pAqEuX", None),
     ]
     texts += [(100 + i, f"{prose(200 + i, 60)}\n{spam}\n  {spam.upper()} ", "host") for i in range(14)]
     texts += [(150 + i, f"{spam}\n" * 20, "host") for i in range(2)]
