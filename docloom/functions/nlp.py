@@ -10,9 +10,13 @@ GERMAN = ["der", "die", "das", "und", "ist", "nicht", "mit", "für"]
 ENGLISH = ["the", "and", "is", "not", "with", "for", "of", "to"]
 SEVERITY = {"low": 2, "medium": 5, "high": 9, "critical": 12}
 #: Weights of keyword-bank scores: where a term stands, and how telling it is.
-ZONES = {"title": 3.2, "body": 0.7}
+ZONES = {"title": 3.2, "headings": 2.4, "procedure": 1.7, "sectioned": 1.2, "body": 0.7}
 CLASSES = {"title": 1.55, "high": 1.20, "medium": 0.72, "low": 0.38}
 NEGATIVE = -1.4
+WEAK_HIT = 0.45
+TITLE_LINES = 15
+SPECIFICITY = 50
+LETTERS = "a-z0-9äöüßéèêçñáíóú"
 #: Banks of the test tables' languages: label -> class -> terms.
 BANKS = {
     "english": {"high": ["the", "that"], "medium": ["with", "from"], "low": ["to", "in"], "negative": ["der", "les"]},
@@ -54,55 +58,89 @@ def risk_score(gaps: Column) -> Column:
     return F.least(F.lit(100), F.round(total)).cast("long")
 
 
-def _held(zone: Column, term: str) -> Column:
-    return zone.contains(f" {term} ")
+def _held_terms(c: Column, terms: list[str]) -> Column:
+    """The terms that a text holds, words for words in lower case; one pass over its words for all terms of one word."""
+    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[^{LETTERS}]+", " ")
+    single, phrases = [t for t in terms if " " not in t], [t for t in terms if " " in t]
+    held = F.array_intersect(F.array(*map(F.lit, single)) if single else F.array().cast("array<string>"), F.split(plain, " "))
+    if not phrases:
+        return held
+    return F.concat(held, F.filter(F.array(*map(F.lit, phrases)), lambda t: F.concat(F.lit(" "), plain, F.lit(" ")).contains(F.concat(F.lit(" "), t, F.lit(" ")))))
+
+
+def title_zone(c: Column) -> Column:
+    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    return F.array_join(F.slice(lines, 1, TITLE_LINES), "\n")
+
+
+def bank_score(zones: Column, bank: dict[str, list[str]]) -> Column:
+    """Zone weight times class weight of each term a zone holds, less 1.4 for each negative term of the body;
+    a single hit of a medium or low term counts WEAK_HIT of that. zones: a struct of held terms by zone."""
+    score, anywhere, strong = F.lit(0.0), [], F.lit(False)
+    for kind, weight in CLASSES.items():
+        for term in bank.get(kind, []):
+            held = {z: F.array_contains(zones[z], term) for z in ZONES}
+            for z, zone_weight in ZONES.items():
+                score = score + F.when(held[z], zone_weight * weight).otherwise(0.0)
+            seen = held["title"] | held["headings"] | held["procedure"] | held["sectioned"] | held["body"]
+            anywhere.append(F.when(seen, F.lit(term)))
+            strong = strong | (seen if kind in ("title", "high") else F.lit(False))
+    for term in bank.get("negative", []):
+        score = score + F.when(F.array_contains(zones["body"], term), NEGATIVE).otherwise(0.0)
+    hits = F.size(F.array_distinct(F.array_compact(F.array(*anywhere)))) if anywhere else F.lit(0)
+    return F.when((hits == 1) & ~strong, score * WEAK_HIT).otherwise(score)
 
 
-def bank_score(head: Column, body: Column, bank: dict[str, list[str]]) -> Column:
-    """Zone weight times class weight of each term held, less 1.4 for each negative term."""
-    zones = {"title": _spaced(head, "a-zäöüßéèêçñáíóú"), "body": _spaced(body, "a-zäöüßéèêçñáíóú")}
-    score = F.lit(0.0)
-    for zone, text in zones.items():
-        for kind, weight in CLASSES.items():
-            for term in bank.get(kind, []):
-                score = score + F.when(_held(text, term), ZONES[zone] * weight).otherwise(0.0)
-    for term in bank.get("negative", []):
-        score = score + F.when(_held(zones["body"], term), NEGATIVE).otherwise(0.0)
-    return score
+def bank_confidence(score: Column) -> Column:
+    return F.round(F.least(F.lit(0.97), 1 - F.exp(-F.greatest(score, F.lit(0.0)) / 3.2)), 3)
+
 
+def bank_zones(text: Column, terms: list[str], sections: dict[str, Column] | None = None) -> Column:
+    """The struct of terms held by zone: title lines and body, and those of detected sections where they are given."""
+    raw = {"title": title_zone(text), "headings": F.lit(""), "procedure": F.lit(""), "sectioned": F.lit("")} | (sections or {}) | {"body": text}
+    return F.struct(*[(_held_terms(raw[z], terms) if z in ("title", "body", *(sections or {})) else F.array().cast("array<string>")).alias(z) for z in ZONES])
 
-def classify_banks(docs: DataFrame, banks: dict, threshold: float = 0.46, top: int = 6) -> DataFrame:
-    """(doc_id, label, confidence, rank): banks that reach the threshold, best first.
 
-    The labels of one document are scored and sorted in its own row, so nothing is shuffled.
+def classify_banks(docs: DataFrame, banks: dict, threshold: float = 0.46, top: int = 6, specificity: dict[str, int] | None = None, sections: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, label, confidence, rank): banks that reach the threshold, best first; ties by specificity, then by score.
+
+    The labels of one document are scored and sorted in its own row, so nothing is shuffled; its zones
+    are split into words once for all terms.
     """
-    head = F.regexp_extract(F.col("text"), r"^[^\n]*", 0)
-    scored = [
-        F.struct(
-            F.round(F.least(F.lit(0.97), 1 - F.exp(-F.greatest(bank_score(head, F.col("text"), bank), F.lit(0.0)) / 3.2)), 3).alias("confidence"),
-            F.lit(-i).alias("ord"),
-            F.lit(label).alias("label"),
+    terms = sorted({t for bank in banks.values() for kind in bank.values() for t in kind})
+
+    def all_labels(zones: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(bank_score(zones, bank).alias("score"), F.lit((specificity or {}).get(label, SPECIFICITY)).alias("priority"), F.lit(-i).alias("ord"), F.lit(label).alias("label"))
+                for i, (label, bank) in enumerate(banks.items())
+            ]
         )
-        for i, (label, bank) in enumerate(banks.items())
-    ]
-    kept = F.slice(F.sort_array(F.filter(F.array(*scored), lambda x: x["confidence"] >= threshold), asc=False), 1, top)
-    rows = docs.select("doc_id", F.posexplode(kept).alias("at", "s"))
+
+    scored = F.transform(F.array(bank_zones(F.col("text"), terms, sections)), all_labels)[0]
+    ranked = F.transform("scored", lambda x: F.struct(bank_confidence(x["score"]).alias("confidence"), x["priority"].alias("priority"), x["score"].alias("score"), x["ord"].alias("ord"), x["label"].alias("label")))
+    kept = F.slice(F.sort_array(F.filter(ranked, lambda x: x["confidence"] >= threshold), asc=False), 1, top)
+    # posexplode_outer: for posexplode Spark would add a filter that scores each text once more
+    rows = docs.select("doc_id", scored.alias("scored")).select("doc_id", F.posexplode_outer(kept).alias("at", "s")).filter("s is not null")
     return rows.select("doc_id", "s.label", "s.confidence", (F.col("at") + 1).alias("rank"))
 
 
 def bank_sql() -> str:
-    """The same classification as DuckDB SQL."""
-    spaced = "' ' || regexp_replace(lower({c}), '[^a-zäöüßéèêçñáíóú]+', '  ', 'g') || ' '"
+    """The same classification as DuckDB SQL, without sections."""
+    spaced = f"' ' || regexp_replace(lower({{c}}), '[^{LETTERS}]+', ' ', 'g') || ' '"
     labels = []
     for i, (label, bank) in enumerate(BANKS.items()):
-        terms = [f"CASE WHEN contains({z}, ' {t} ') THEN {ZONES[z]} * {w}::DOUBLE ELSE 0 END" for z in ZONES for k, w in CLASSES.items() for t in bank.get(k, [])]
+        terms = [f"CASE WHEN contains({z}, ' {t} ') THEN {ZONES[z]}::DOUBLE * {w}::DOUBLE ELSE 0 END" for k, w in CLASSES.items() for t in bank.get(k, []) for z in ("title", "body")]
         terms += [f"CASE WHEN contains(body, ' {t} ') THEN {NEGATIVE}::DOUBLE ELSE 0 END" for t in bank["negative"]]
-        labels.append(f"SELECT doc_id, '{label}' AS label, {i} AS ord, {' + '.join(terms)} AS score FROM z")
+        weak = " + ".join(f"contains(body, ' {t} ')::INT" for k in ("medium", "low") for t in bank.get(k, []))
+        strong = " + ".join(f"contains(body, ' {t} ')::INT" for k in ("title", "high") for t in bank.get(k, []))
+        labels.append(f"SELECT doc_id, '{label}' AS label, {i} AS ord, ({' + '.join(terms)}) * CASE WHEN {weak} = 1 AND {strong} = 0 THEN {WEAK_HIT}::DOUBLE ELSE 1 END AS score FROM z")
     return f"""
-    WITH z AS (SELECT doc_id, {spaced.format(c="regexp_extract(text, '^[^' || chr(10) || ']*')")} AS title, {spaced.format(c='text')} AS body FROM documents),
+    WITH l AS (SELECT doc_id, text, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:{TITLE_LINES}], chr(10)) AS head FROM documents),
+    z AS (SELECT doc_id, {spaced.format(c="head")} AS title, {spaced.format(c='text')} AS body FROM l),
     s AS ({' UNION ALL '.join(labels)}),
-    c AS (SELECT doc_id, label, ord, round(least(0.97, 1 - exp(-greatest(score, 0) / 3.2)), 3) AS confidence FROM s)
-    SELECT doc_id, label, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) AS rank FROM c WHERE confidence >= 0.46
+    c AS (SELECT doc_id, label, ord, score, round(least(0.97, 1 - exp(-greatest(score, 0) / 3.2)), 3) AS confidence FROM s)
+    SELECT doc_id, label, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, score DESC, ord) AS rank FROM c WHERE confidence >= 0.46
     """
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import written
+
 #: Similarity rules of link inference: (source type, target type, threshold).
 LINK_RULES = (("sop", "deviation", 0.63), ("deviation", "capa", 0.62), ("capa", "audit", 0.62), ("audit", "decision", 0.60), ("decision", "sop", 0.64))
 
@@ -24,16 +26,18 @@ def expand(frontier: DataFrame, *steps: tuple[DataFrame, str, str]) -> DataFrame
 def quality_context(roots: DataFrame, sop_dev: DataFrame, dev_capa: DataFrame, capa_audit: DataFrame, audit_dec: DataFrame, dec_sop: DataFrame) -> DataFrame:
     """Records related to each root document, in one pass over both directions: (root, type, id).
 
-    Edges are (src, dst) from the first-named type to the second; roots is (root, id).
+    Edges are (src, dst) from the first-named type to the second; roots is (root, id). A frontier that
+    two hops or more start from is written to the shared folder, so that its own hops run once.
     """
+    capa_audit, audit_dec = written(capa_audit.distinct(), "edges"), written(audit_dec.distinct(), "edges")
     dev0 = hop(roots, sop_dev)
     dec0 = hop(roots, dec_sop, "dst", "src")
     aud0 = hop(dec0, audit_dec, "dst", "src")
-    capa0 = hop(dev0, dev_capa)
-    aud = aud0.union(hop(capa0, capa_audit)).distinct()
-    capa = capa0.union(hop(aud, capa_audit, "dst", "src")).distinct()
+    capa0 = written(hop(dev0, dev_capa), "capa")
+    aud = written(aud0.union(hop(capa0, capa_audit)).distinct(), "audits")
+    capa = written(capa0.union(hop(aud, capa_audit, "dst", "src")).distinct(), "capa")
     dev = dev0.union(hop(capa, dev_capa, "dst", "src")).distinct()
-    dec = dec0.union(hop(aud, audit_dec)).distinct()
+    dec = written(dec0.union(hop(aud, audit_dec)).distinct(), "decisions")
     sops = hop(dec, dec_sop).join(roots.select("root", "id"), ["root", "id"], "left_anti")
     kinds = {"deviation": dev, "capa": capa, "audit": aud, "decision": dec, "sop": sops}
     out = None

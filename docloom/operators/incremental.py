@@ -35,7 +35,9 @@ def enqueue(requests: DataFrame, by: str, digest: str, order: list[Column]) -> D
     w = Window.partitionBy(by).orderBy(*order)
     same = F.coalesce(F.lag(digest).over(w) == F.col(digest), F.lit(False))
     rows = requests.withColumn("__dup", same)
-    later = F.count(F.when(~F.col("__dup"), 1)).over(w.rowsBetween(1, Window.unboundedFollowing))
+    queued = F.when(~F.col("__dup"), 1)
+    # those after a row: the key's total less a running count, in one pass
+    later = F.count(queued).over(Window.partitionBy(by)) - F.count(queued).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("action", F.when(F.col("__dup"), "deduplicated").when(later > 0, "cancelled").otherwise("pending")).drop("__dup")
 
 

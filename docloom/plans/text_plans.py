@@ -23,15 +23,20 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2) AS w FROM documents),
-    g AS (SELECT w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT w, unnest(range(1, len(w))) AS i FROM t))
-    SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 5"""
+    """WITH t AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2) AS w FROM documents),
+    g AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS phrase, k AS words FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, (VALUES (2), (3)) v(k)))
+    SELECT phrase, CAST(words AS INT) AS words, count(*) AS n FROM g GROUP BY phrase, words HAVING count(*) >= 2"""
 )
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two and of three words found twice or more."""
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) > 2)
     rows = table(spark, sf_dir, "documents").select(words.alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
-    return rows.select(F.explode(pairs).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    tail = lambda k: F.slice("w", k, F.greatest(F.size("w") - k + 1, F.lit(0)))
+    pairs = F.zip_with("w", tail(2), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    threes = F.zip_with(pairs, tail(3), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    sized = lambda phrases, k: F.transform(F.array_compact(phrases), lambda p: F.struct(p.alias("phrase"), F.lit(k).alias("words")))
+    both = F.concat(sized(pairs, 2), sized(threes, 3))
+    return rows.select(F.explode(both).alias("g")).groupBy("g.phrase", "g.words").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
 @query(f"SELECT doc_id, CAST(ceil(len({_TERMS}) / 0.75) AS BIGINT) AS tokens FROM documents")
@@ -132,33 +137,39 @@ def gap_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH u AS (SELECT conv_id, turn, {_WORDS.format(c='text')} AS w FROM conversations WHERE role = 'user'),
-    l AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM u)
-    SELECT conv_id, turn, round(CASE WHEN before IS NULL OR greatest(len(w), len(before)) = 0 THEN 0 ELSE len(list_intersect(w, before)) / greatest(len(w), len(before)) END, 6) AS overlap FROM l"""
+    f"""WITH u AS (SELECT conv_id, turn, {_WORDS.format(c='text')} AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user'),
+    o AS (SELECT a.conv_id, a.turn, CASE WHEN b.w IS NULL OR greatest(len(a.w), len(b.w)) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) END AS v
+          FROM u a LEFT JOIN u b ON a.conv_id = b.conv_id AND b.r BETWEEN a.r - 3 AND a.r - 1)
+    SELECT conv_id, turn, round(max(v), 6) AS overlap FROM o GROUP BY conv_id, turn"""
 )
 def repetition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest word overlap of a user's turn with one of the three before it."""
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", X.word_set(F.col("text")).alias("w"))
-    rows = rows.withColumn("before", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")))
-    most = F.greatest(F.size("w"), F.size("before"))
-    overlap = F.when(F.col("before").isNull() | (most == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect("w", "before")) / most)
-    return rows.select("conv_id", "turn", F.round(overlap, 6).alias("overlap"))
+    before = F.collect_list("w").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1))
+    most = lambda b: F.greatest(F.size("w"), F.size(b))
+    overlaps = F.transform("before", lambda b: F.when(most(b) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("w", b)) / most(b)))
+    return rows.withColumn("before", before).select("conv_id", "turn", F.round(F.coalesce(F.array_max(overlaps), F.lit(0.0)), 6).alias("overlap"))
 
 
 @query(
-    f"""WITH b AS (SELECT item_id, {_WORDS.format(c='text')} AS w FROM benchmark)
-    SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS jaccard
-    FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.05"""
+    f"""WITH b AS (SELECT item_id, {_WORDS.format(c='text')} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents),
+    s AS (SELECT item_id, doc_id, len(list_intersect(b.w, d.w)) AS c, len(b.w) AS nb, len(d.w) AS nd FROM b, d WHERE len(b.w) > 0)
+    SELECT item_id, doc_id, round(c / (nb + nd - c), 6) AS jaccard FROM s WHERE 10 * c >= 4 * (nb + nd - c)"""
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of items whose word sets overlap, found through their words: no cross join."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.word_set(F.col("text")).alias("w"))
-    words = items.select(F.col("item_id"), F.size("w").alias("n"), F.explode("w").alias("word"))
-    left, right = words.toDF("a", "na", "word"), words.toDF("b", "nb", "word")
-    both = left.join(right, "word").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    score = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return both.filter(score >= 0.05).select("a", "b", F.round(score, 6).alias("jaccard"))
+    """Benchmark items and documents whose word sets have a Jaccard similarity of 0.4 or more.
+
+    Prefix filter: with both sets in one order, rarest words first, similar sets share a word of their first
+    n - ceil(0.4 n) + 1; so common words are never joined on.
+    """
+    from docloom.operators.search import similar_sets
+
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"), X.word_set(F.col("text")).alias("w"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("b"), X.word_set(F.col("text")).alias("w"))
+    found = similar_sets(items, docs, 40)
+    return found.select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("SELECT a.n_name AS name, b.n_name AS other, CAST(levenshtein(a.n_name, b.n_name) AS BIGINT) AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND abs(length(a.n_name) - length(b.n_name)) <= 2 AND levenshtein(a.n_name, b.n_name) <= 2")
