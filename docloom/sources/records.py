@@ -15,7 +15,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, schema: str, wrappers: tuple[str, ...] = ("results", "data", "items", "sops")) -> DataFrame:
     """JSON records: a bare list or lines, or the first list under one of the wrapper names.
 
-    The schema is given, never inferred; what does not fit it is null.
+    The schema is given, never inferred; what does not fit it is null. Each file is read whole, as a
+    response of a service is: files of lines that grow are read_json_lines' to read.
     """
     wrapped = ", ".join(f"{w} array<struct<{schema}>>" for w in wrappers)
     rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("raw"))
@@ -27,6 +28,11 @@ def read_records(spark: SparkSession, path: str, schema: str, wrappers: tuple[st
     return rows.select(F.explode(found).alias("r")).select("r.*")
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of any size, read in splits; the schema is given, what does not fit it is null."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace the partitions that df has; the others stay. Rows of a partition are gathered first."""
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
