@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from docloom.llm.common import without
 
 TARGET_BYTES = 128 << 20
-BASE_BYTES = 64 << 20
+BASE_BYTES = 1 << 20
 FANOUT = 4
 #: Runs that one bulk load arrives in.
 ARRIVALS = 8
