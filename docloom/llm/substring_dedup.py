@@ -9,7 +9,7 @@ shared. A run of neighbouring shared chunks is a repeated passage if it holds ``
 words, or if some window of ``min_words`` words around its middle chunk stands in another document too:
 the cuts seldom fall on a passage's ends, so a passage just over the limit has a run that is shorter.
 The first document (smallest doc_id) that holds a chunk keeps it, the others lose it.
-A passage is missed if no whole chunk falls inside it: at sf0.1, 6 of 2,080 documents.
+A passage can be missed, as where no whole chunk falls inside it: against all windows of sf0.1, 6 of 2,080 documents are.
 
 A chunk that holds more than one HOT-th of all chunk rows is joined through a broadcast table, which has
 fewer than HOT rows at any size of the corpus; the others are joined by a shuffle, in which no key
