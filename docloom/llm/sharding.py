@@ -14,7 +14,8 @@ append: one run of small shards, as many as the input has partitions.
 compact: runs are put in tiers by size (tier i: up to ``base_bytes * fanout**i``); a tier with ``fanout``
 runs is merged into one run of files of about ``target_bytes``, by one job without a shuffle, which joins the
 input's read partitions. Repeats until no tier is full. Only folder names and sizes pass through the
-driver, never rows or lists of files. Old runs stay readable for older versions until vacuum().
+driver, never rows or lists of files. Old runs stay readable for older versions until vacuum(); a bulk load can
+vacuum as it goes.
 
 Defined cases: rows, with nulls, repeats, very long texts and extra columns of any name, come back as they went
 in; an empty input commits a version that has its schema and no rows. shard_rows replaces columns
@@ -147,8 +148,12 @@ class ShardStore:
         arrivals.write.parquet(f"{self.root}/{path}")
         return self.commit(schema, self._run(path))
 
-    def load(self, rows: DataFrame, arrivals: int = ARRIVALS) -> Version:
-        """A bulk load: rows are dealt into arrivals by one job, each committed by itself and compacted as it comes."""
+    def load(self, rows: DataFrame, arrivals: int = ARRIVALS, keep: int | None = None) -> Version:
+        """A bulk load: rows are dealt into arrivals by one job, each committed by itself and compacted as it comes.
+
+        With ``keep``, only so many of the newest versions stay readable: runs that were merged go after each
+        merge, so that the store never holds two copies of all rows. Only for a store with one writer.
+        """
         schema, path = rows.schema.json(), f"data/{uuid.uuid4().hex}"
         dealt = rows.withColumn(_ARRIVAL, F.pmod(F.monotonically_increasing_id(), F.lit(arrivals)).cast("int"))
         dealt.write.partitionBy(_ARRIVAL).parquet(f"{self.root}/{path}")
@@ -158,6 +163,8 @@ class ShardStore:
             if run:
                 now = self.commit(schema, run)
                 now = self.compact()
+                if keep:
+                    self.vacuum(keep)
         return now or self.commit(schema, ())
 
     def tier(self, size: int) -> int:
@@ -233,9 +240,9 @@ def _plain(schema: str) -> list:
 
 
 def shard(documents: DataFrame, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, arrivals: int = ARRIVALS) -> ShardStore:
-    """Load the documents as arrivals of small shards, compacted as they come."""
+    """Load the documents into a new store as arrivals of small shards, compacted as they come; only the newest version stays."""
     store = ShardStore(documents.sparkSession, root, target_bytes, fanout)
-    store.load(documents, arrivals)
+    store.load(documents, arrivals, keep=1)
     return store
 
 
