@@ -90,7 +90,9 @@ def shared_tokens(rows: DataFrame, percent: int) -> DataFrame:
     common = rows.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("token")
     shared = written(rows.join(common, "token").distinct(), "shared-tokens")
     enough = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("have")).filter(F.col("have") >= least_shared(percent)).select("node")
-    return shared.join(enough, "node")
+    out = written(shared.join(enough, "node"), "prefix")
+    forget(shared)
+    return out
 
 
 def least_shared(percent: int) -> Column:
@@ -149,7 +151,7 @@ def verify(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(src, dst) -> (node, label): the smallest node of each component, by min-label rounds with jumps."""
+    """(src, dst) -> (node, label, old): the smallest node of each component, by min-label rounds with jumps."""
     both = written(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "edges")
     labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("label")), "labels")
     while True:
@@ -162,15 +164,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if done:
             forget(both)
-            return labels.select("node", "label")
+            return labels
 
 
 def link_edges(sketches: DataFrame, documents: DataFrame, classes: DataFrame, words: int, percent: int, group_size: int) -> DataFrame:
-    """(src, dst, links) between nodes: spanning edges, and each node's number of linked documents."""
+    """(src, dst, links) between nodes: spanning edges, and each node's number of linked documents.
+
+    Each table on the way is deleted when the next one is written: the token tables are larger than the texts.
+    """
     rows = sketches.select(F.explode("toks").alias("token"), "node", "n")
-    prefix = written(shared_tokens(rows, percent), "prefix")
+    some = shared_tokens(rows, percent)
     # of the nodes left, some shared a token only with nodes that are gone
-    prefix = written(shared_tokens(prefix.select("token", "node", "n"), percent), "prefix")
+    prefix = shared_tokens(some.select("token", "node", "n"), percent)
+    forget(some)
 
     common = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     groups = prefix.join(common, "token").groupBy("node", "n").agg(F.max(F.struct("held", "token"))["token"].alias("lead"))
@@ -178,17 +184,17 @@ def link_edges(sketches: DataFrame, documents: DataFrame, classes: DataFrame, wo
     members = written(
         groups.join(sizes, "lead").select("node", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("grp")), "groups"
     )
-    chosen = classes.join(members.select("node"), "node", "left_semi").select("node", "copies", "doc_id", "text_key")
-    texts = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("d").join(
-        chosen.alias("c"), F.col("d.text_key").eqNullSafe(F.col("c.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-    )
-    sets = written(full_sets(texts.select("c.node", "c.copies", "d.text"), words).dropDuplicates(["node"]), "sets")
-
     matrix = prefix.join(members, "node").select("token", "grp").distinct()
     opened = (
         prefix.join(matrix, "token").groupBy("node", "n", "grp").agg(F.count(F.lit(1)).alias("have")).filter(F.col("have") >= least_shared(percent)).select("node", "n", "grp")
     )
     opened = written(opened, "opened")
+    forget(prefix)
+    chosen = classes.join(members.select("node"), "node", "left_semi").select("node", "copies", "doc_id", "text_key")
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("d").join(
+        chosen.alias("c"), F.col("d.text_key").eqNullSafe(F.col("c.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
+    )
+    sets = written(full_sets(texts.select("c.node", "c.copies", "d.text"), words).dropDuplicates(["node"]), "sets")
     chunks = opened.groupBy("grp").agg(F.count(F.lit(1)).alias("queries"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_QUERIES, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts"))
     chunks = written(chunks.filter("queries > 1"), "chunks")  # alone in its group's queries: only its own member
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -196,7 +202,10 @@ def link_edges(sketches: DataFrame, documents: DataFrame, classes: DataFrame, wo
     held = members.join(chunks, "grp").select("grp", F.explode(F.expr("sequence(0, parts - 1)")).alias("chunk"), F.lit(False).alias("query"), "node")
     blocks = asked.union(held).join(sets, "node").select("grp", "chunk", "query", "node", "copies", "toks")
     ordered = blocks.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "query")
-    return written(verify(ordered, percent), "links")
+    links = written(verify(ordered, percent), "links")
+    for done in (members, sets, opened, chunks):
+        forget(done)
+    return links
 
 
 def link_documents(documents: DataFrame, words: int = 5, percent: int = 80, group_size: int = GROUP_SIZE) -> DataFrame:
@@ -206,6 +215,11 @@ def link_documents(documents: DataFrame, words: int = 5, percent: int = 80, grou
     other documents (rows) that a document links with. component tells components apart whose smallest
     doc_ids are equal; null for an empty set.
     """
+    return link_tables(documents, words, percent, group_size)[0]
+
+
+def link_tables(documents: DataFrame, words: int, percent: int, group_size: int = GROUP_SIZE) -> tuple[DataFrame, list[DataFrame]]:
+    """link_documents's result and the scratch tables that it reads."""
     sketches = written(sketch(documents, words, percent), "sketches")
     some = sketches.filter("n > 0")
     classes = some.groupBy("node", "sig", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -213,7 +227,9 @@ def link_documents(documents: DataFrame, words: int = 5, percent: int = 80, grou
     edges = link_edges(some, documents, classes, words, percent, group_size)
     labels = components(edges)
     links = edges.groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
-    linked = written(labels.join(links, "node", "left").join(classes.select("node", "first"), "node"), "linked")
+    linked = written(labels.select("node", "label").join(links, "node", "left").join(classes.select("node", "first"), "node"), "linked")
+    forget(edges)
+    forget(labels)
     smallest = linked.groupBy("label").agg(F.min("first").alias("smallest"))
     known = linked.join(smallest, "label").select("node", "label", "smallest", "links")
     nodes = classes.join(known, "node", "left").select(
@@ -223,7 +239,8 @@ def link_documents(documents: DataFrame, words: int = 5, percent: int = 80, grou
         F.coalesce("label", "node").alias("component"),
     )
     empty = sketches.filter("n = 0").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
-    return some.join(nodes, "node").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", "component").union(empty)
+    found = some.join(nodes, "node").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", "component").union(empty)
+    return found, [sketches, classes, linked]
 
 
 def keep_one(documents: DataFrame, **settings) -> DataFrame:
@@ -233,13 +250,16 @@ def keep_one(documents: DataFrame, **settings) -> DataFrame:
     rows of one doc_id in a component are one document: one row of the smallest text hash stays. Rows of
     one doc_id in two components are two documents, and both stay.
     """
-    found = link_documents(documents, **settings)
+    found, tables = link_tables(documents, **settings)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "component", "text_key")
     keep = written(keep.groupBy("doc_id", "component", F.when(F.col("component").isNull() | F.col("doc_id").isNull(), F.col("text_key")).alias("own")).agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows")), "kept")
+    for done in tables:
+        forget(done)
     best = written(keep.select("doc_id", "text_key").distinct(), "kept")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("k.text_key"))
     kept = documents.alias("d").join(best.alias("k"), same, "left_semi").select(*[F.col(f"d.{c}") for c in quoted(documents)])
     again = written(keep.filter("rows > 1 and doc_id is not null").select("doc_id", "text_key").distinct(), "repeated")
+    forget(keep)
     if again.isEmpty():
         return kept
     # only the few rows that may repeat are compared with each other
