@@ -98,4 +98,18 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLES = {"op9_warc_zip": OP9, "op10_jaccard": OP10, "op1_decontamination": OP1, "op5_quality": OP5, "op7_mixing": OP7}
+TERMS = f"regexp_extract_all({LOWER % "coalesce(text, '')"}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS t FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM d WHERE len(t) > 0),
+p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+q AS (SELECT DISTINCT iid, item_id, term FROM (SELECT iid, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS iid, item_id, {TERMS} AS t FROM benchmark))),
+s AS (SELECT iid, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) <= 50
+"""
+
+ORACLES = {"op13_ranked_search": OP13, "op9_warc_zip": OP9, "op10_jaccard": OP10, "op1_decontamination": OP1, "op5_quality": OP5, "op7_mixing": OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, html_text, jaccard, mixing, pii, quality, secrets, sharding, substring_dedup, warc
+from docloom.llm import decontaminate, html_text, jaccard, mixing, pii, quality, ranked_search, secrets, sharding, substring_dedup, token_counts, warc, whitening
 from docloom.llm.common import scratch
 from docloom.llm.oracle import ORACLES
 from docloom.session import table
@@ -75,6 +75,21 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_surrogates": op8_pii_surrogates,
         "op9_warc_zip": op9_warc_zip,
         "op10_jaccard": op10_jaccard,
+        "op11_whitening": op11_whitening,
+        "op12_token_counts": op12_token_counts,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon größe naïve дом".split()
@@ -54,7 +55,23 @@ def document_rows() -> list[tuple]:
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, text_key string, kept boolean, target double"
 
 
-def write(spark, path, documents=None, benchmark=None, pages=None) -> str:
+def embedding_rows() -> list[tuple]:
+    """vec_id, embedding, label and columns whose names the results use; 20 dimensions, of which the last repeats the first."""
+    r = random.Random(3)
+    rows: list[tuple] = []
+    for i in range(120):
+        v = [round(r.gauss(0, 1 + d / 7), 4) for d in range(19)]
+        rows.append((i, [*v, v[0]], 1, 5, "clash"))
+    rows += [(200 + i, rows[7][1], 1, 5, "clash") for i in range(60)]
+    rows += [(300, None, 1, 5, "c"), (301, [], 1, 5, "c"), (302, [1.0] * 19 + [None], 1, 5, "c"), (303, [1.0] * 19 + [math.nan], 1, 5, "c"), (304, [1.0] * 19 + [math.inf], 1, 5, "c"), (305, [1.0, 2.0], 1, 5, "c")]
+    return [*rows, (7, rows[7][1], 1, 5, "c"), (None, rows[8][1], None, None, None)]
+
+
+EMBEDDINGS = "vec_id long, embedding array<float>, n int, component int, whitened string"
+
+
+def write(spark, path, documents=None, benchmark=None, pages=None, embeddings=None) -> str:
+    spark.createDataFrame(embedding_rows() if embeddings is None else embeddings, EMBEDDINGS).write.parquet(f"{path}/embeddings.parquet")
     spark.createDataFrame(document_rows() if documents is None else documents, DOCUMENTS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(benchmark_rows() if benchmark is None else benchmark, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(page_rows() if pages is None else pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")

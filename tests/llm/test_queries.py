@@ -20,7 +20,7 @@ def test_edge_cases_equal_oracle(spark, tmp_path, name):
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables(spark, tmp_path, name):
-    path = fixtures.write(spark, tmp_path, documents=[], benchmark=[], pages=[])
+    path = fixtures.write(spark, tmp_path, documents=[], benchmark=[], pages=[], embeddings=[])
     assert queries.queries()[name](spark, path).count() == 0
 
 
