@@ -22,9 +22,15 @@ NUMBERED = r"^(\d+(?:\.\d+)*)[.)]?\s+([A-Z][A-Za-z0-9 /&()_\-,]{2,130})$"
 HASHED = r"^#{1,6}\s+(.{2,130})$"
 CAPITALS = r"^([A-Z][A-Z0-9 /&()_\-]{3,130})$"
 COLON = r"^([A-Z][A-Za-z0-9 /&()_\-]{2,90}):$"
+LINE_BREAK = r"\r\n|\n|\r"
 HEADING = "struct<line:int,title:string,level:int,label:string,confidence:double>"
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def _best(title: Column, labels: dict[str, list[str]]) -> Column:
     """The best (score, -order, label) of a cleaned title."""
     words = F.array_distinct(F.regexp_extract_all(title, F.lit("[a-z0-9]+"), F.lit(0)))
@@ -49,7 +55,7 @@ def classify_title(title: Column, labels: dict[str, list[str]] = TITLES) -> Colu
 
 def heading_of(line: Column, at: Column, labels: dict[str, list[str]] = TITLES) -> Column:
     """The heading that a line is, or null: up to 160 characters, no sentence of over six words, and numbered, upper case or of a known label."""
-    s = F.trim(line)
+    s = strip(line)
     numbered, hashed, capitals, colon = s.rlike(NUMBERED), s.rlike(HASHED), s.rlike(CAPITALS), s.rlike(COLON)
     raw = F.when(numbered, F.regexp_extract(s, NUMBERED, 2)).when(hashed, F.regexp_extract(s, HASHED, 1)).when(capitals, s).when(colon, F.regexp_extract(s, COLON, 1))
     title = F.regexp_replace(raw, r"^[ :.\-]+|[ :.\-]+$", "")
@@ -66,15 +72,24 @@ def heading_of(line: Column, at: Column, labels: dict[str, list[str]] = TITLES)
 
 
 def headings(text: Column, labels: dict[str, list[str]] = TITLES) -> Column:
-    """A text's headings in order, less those on the line after an equal one."""
-    found = F.array_compact(F.transform(F.split(text, "\n"), lambda line, i: heading_of(line, i, labels)))
-    last = lambda acc: F.element_at(acc, -1)
+    """A text's headings in order, less those on the line after a kept equal one.
+
+    Equal headings on neighbouring lines are a run, of which every other one is kept: runs begin where a heading isn't equal to that on
+    the line before, so one pass finds them and none copies the list for each heading.
+    """
+    found = F.array_compact(F.transform(F.split(text, LINE_BREAK), lambda line, i: heading_of(line, i, labels)))
 
-    def keep(acc: Column, x: Column) -> Column:
-        again = (F.size(acc) > 0) & (x["line"] - last(acc)["line"] <= 1) & (normalize_key(x["title"]) == normalize_key(last(acc)["title"]))
-        return F.when(again, acc).otherwise(F.concat(acc, F.array(x).cast(f"array<{HEADING}>")))
+    def runs(rows: Column) -> Column:
+        # (heading, key, line before, key before), the last two null for the first
+        keyed = F.transform(rows, lambda x: F.struct(x.alias("h"), normalize_key(x["title"]).alias("key")))
+        before = F.concat(F.array(F.lit(None).cast(f"struct<h:{HEADING},key:string>")), F.slice(keyed, 1, F.greatest(F.size(keyed) - 1, F.lit(0))))
+        begins = F.filter(
+            F.transform(F.arrays_zip(keyed.alias("now"), before.alias("last")), lambda z, i: F.when((z["now"]["key"] == z["last"]["key"]) & (z["now"]["h"]["line"] - z["last"]["h"]["line"] <= 1), None).otherwise(i)), lambda i: i.isNotNull()
+        )
+        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(rows)))
+        return F.flatten(F.zip_with(begins, ends, lambda a, e: F.filter(F.slice(rows, a + 1, e - a), lambda x, k: k % 2 == 0)))
 
-    return F.aggregate(found, F.array().cast(f"array<{HEADING}>"), keep)
+    return F.transform(F.array(found), lambda rows: F.when(F.size(rows) > 1, runs(rows)).otherwise(rows))[0]
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: dict[str, list[str]] = TITLES) -> DataFrame:
@@ -82,12 +97,12 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     A text without headings is one section named Document, general, at .40.
     """
-    rows = docs.select(F.col(id_col), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"), headings(F.coalesce(F.col(text_col), F.lit("")), labels).alias("h"))
+    rows = docs.select(F.col(id_col), F.split(F.coalesce(F.col(text_col), F.lit("")), LINE_BREAK).alias("lines"), headings(F.coalesce(F.col(text_col), F.lit("")), labels).alias("h"))
     whole = F.array(F.struct(F.lit(0).alias("line"), F.lit("Document").alias("title"), F.lit(1).alias("level"), F.lit("general").alias("label"), F.lit(0.40).alias("confidence"))).cast(f"array<{HEADING}>")
     rows = rows.withColumn("h", F.when(F.size("h") > 0, F.col("h")).otherwise(whole))
     ends = F.concat(F.transform(F.slice("h", 2, F.size("h")), lambda x: x["line"] - 1), F.array(F.size("lines") - 1))
     placed = F.zip_with("h", ends, lambda x, e: F.struct(x.alias("h"), e.alias("end_line")))
     out = rows.select(id_col, "lines", F.explode_outer(placed).alias("s"))
     start, end = F.col("s.h.line"), F.col("s.end_line")
-    content = F.trim(F.array_join(F.slice("lines", start + 1, end - start + 1), "\n"))
+    content = strip(F.array_join(F.slice("lines", start + 1, end - start + 1), "\n"))
     return out.select(id_col, "s.h.title", "s.h.label", "s.h.level", start.alias("start_line"), end.alias("end_line"), "s.h.confidence", content.alias("content"))

@@ -141,8 +141,11 @@ def html_to_text(c: Column) -> Column:
 def window_chunks(c: Column, size: int = 1200, overlap: int = 200) -> Column:
     """Sliding character windows; a text no longer than size is one chunk as it is, blanks go."""
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.length(c) - 1, F.lit(step))
-    kept = F.filter(starts, lambda i: (i == 0) | (i + overlap < F.length(c)))
     strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    windows = F.filter(F.transform(kept, lambda i: strip(F.substring(c, i + 1, size))), lambda x: x != "")
+    # the text is cut into pieces of a step once; a window is made of its piece and the next ones. Where no more than the overlap is left, the window before had it all.
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    rest = lambda all_, i: F.array_join(F.slice(all_, i + 1, -(-size // step)), "")
+    window = lambda t, i: F.when((i == 0) | (F.length(t) > overlap), strip(F.substring(t, 1, size))).otherwise("")
+    made = lambda all_: F.transform(all_, lambda x, i: window(rest(all_, i), i))
+    windows = F.filter(F.flatten(F.transform(F.array(pieces), made)), lambda x: x != "")
     return F.when(F.length(c) <= size, F.array(c)).otherwise(windows)

@@ -26,13 +26,18 @@ SECTION = _rows(name=StringType, level=IntegerType, text=StringType)
 NODE = _rows(path=StringType, text=StringType)
 
 
-def parse(raw: str | None) -> dict:
-    """The tree, or an empty one where the text is null, no JSON object or nested too deep for the JSON reader."""
+def readable(raw: str | None) -> dict | None:
+    """The tree; null where the text is null, no JSON object or nested too deep for the JSON reader."""
     try:
         tree = json.loads(raw or "")
     except (ValueError, RecursionError):
-        return {}
-    return tree if isinstance(tree, dict) else {}
+        return None
+    return tree if isinstance(tree, dict) else None
+
+
+def parse(raw: str | None) -> dict:
+    """The tree, or an empty one where there is none that can be read."""
+    return readable(raw) or {}
 
 
 def kids(node: dict) -> list[tuple[int, dict]]:
@@ -122,6 +127,15 @@ def text_nodes(trees: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def apply_patches(trees: pd.Series, patches: pd.Series) -> pd.Series:
-    """Patches are an array of (path, text) structs."""
-    done = lambda t, p: json.dumps(pruned(patched(parse(t), {x["path"]: x["text"] for x in (p if p is not None else [])})), ensure_ascii=False)
+    """Patches are an array of (path, text) structs. A tree that can't be read comes back as it is."""
+
+    def done(raw: str | None, given) -> str | None:
+        tree = readable(raw)
+        if tree is None:
+            return raw
+        try:
+            return json.dumps(pruned(patched(tree, {x["path"]: x["text"] for x in (given if given is not None else [])})), ensure_ascii=False)
+        except RecursionError:
+            return raw
+
     return pd.Series([done(t, p) for t, p in zip(trees, patches, strict=True)])

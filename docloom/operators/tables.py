@@ -53,19 +53,25 @@ def guard_transition(requests: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def version_key(version: Column) -> Column:
-    """Sort key of version labels: V2.1 above Rev. 02 above plain numbers, then the numbers."""
+    """Sort key of version labels: V2.1 above Rev. 02 above plain numbers, then the numbers, of any length."""
     text = F.upper(F.trim(version))
     kind = F.when(text.rlike(r"^V\d"), 3).when(text.rlike(r"^REV"), 2).when(text.rlike(r"^\d"), 1).otherwise(0)
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), _number_key)
     return F.struct(kind.alias("kind"), numbers.alias("numbers"))
 
 
+def _number_key(digits: Column) -> Column:
+    """Orders digits as numbers: without leading zeros the longer is the greater, and equally long ones compare as texts."""
+    plain = F.regexp_replace(digits, "^0+", "")
+    return F.struct(F.length(plain).alias("size"), plain.alias("digits"))
+
+
 def canonical_version(version: Column) -> Column:
     """V2.1, Rev. 02 or a plain number; others as they are."""
     text = F.trim(version)
     rev = F.regexp_extract(text, r"(?i)^rev(?:ision)?\.?\s*(\d+)$", 1)
     v = F.regexp_extract(text, r"(?i)^v(?:ersion)?\.?\s*(\d+(?:\.\d+)*)$", 1)
-    return F.when(rev != "", F.format_string("Rev. %02d", rev.try_cast("int"))).when(v != "", F.concat(F.lit("V"), v)).otherwise(text)
+    return F.when(rev != "", F.concat(F.lit("Rev. "), F.when(F.length(F.regexp_replace(rev, "^0+", "")) < 2, F.lpad(F.regexp_replace(rev, "^0+", ""), 2, "0")).otherwise(F.regexp_replace(rev, "^0+", "")))).when(v != "", F.concat(F.lit("V"), v)).otherwise(text)
 
 
 def merge_lists(rows: DataFrame, by: str, lists: list[str], order: str) -> DataFrame:

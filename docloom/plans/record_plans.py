@@ -258,11 +258,14 @@ def guarded_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.guard_transition(rows, rules).select("o_orderkey", "verdict", "new_status")
 
 
-@query("SELECT user_id, array_to_string(list_distinct(list(event_type ORDER BY ts, event_id)), ',') IS NOT NULL AS any_type, count(DISTINCT event_type) AS n FROM events GROUP BY user_id")
+@query(
+    """WITH f AS (SELECT user_id, event_type, min(struct_pack(ts := ts, id := event_id)) AS first FROM events GROUP BY user_id, event_type)
+    SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS types, count(*) AS n FROM f GROUP BY user_id"""
+)
 def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of list columns per key, in the order of first sight."""
     rows = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("o"), F.array("event_type").alias("types"))
-    return B.merge_lists(rows, "user_id", ["types"], "o").select("user_id", F.lit(True).alias("any_type"), F.size("types").cast("long").alias("n"))
+    return B.merge_lists(rows, "user_id", ["types"], "o").select("user_id", F.array_join("types", ",").alias("types"), F.size("types").cast("long").alias("n"))
 
 
 
