@@ -69,7 +69,7 @@ def _held_terms(c: Column, terms: list[str]) -> Column:
 
 
 def title_zone(c: Column) -> Column:
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.slice(lines, 1, TITLE_LINES), "\n")
 
 

@@ -43,7 +43,7 @@ def strip_markdown(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines without blanks at their ends; a last line break makes no line."""
-    return F.transform(F.split(F.regexp_replace(c, r"\r\n?", "\n").try_cast("string"), "\n"), F.rtrim)
+    return F.transform(F.split(F.regexp_replace(c, r"\r\n?", "\n").try_cast("string"), "\n"), lambda x: F.rtrim(x))
 
 
 def first_match(c: Column, patterns: list[str], cut: int = 200) -> Column:
