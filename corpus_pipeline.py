@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller writes it as
 Parquet and reads it again as the next stage's docs. All but the last return the
 columns of documents; the last returns them with the shard each row is in.
+
+Defined cases, stage by stage: a null, empty or blank text has no words, so the quality rules reject its row, and an empty table
+gives empty tables throughout. Repeated rows are one document after near_duplicates, as are equal texts; a null doc_id or source is a value like others.
+Very long texts are rows like others (a decontamination candidate carries some of the words, not the text). Columns that
+operators add take clashing names out of the way and are gone at a stage's end, except for the shard's at the last.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontaminate, jaccard, mixing, quality, sharding
-from docloom.llm.common import scratch, written
+from docloom.llm.common import forget, scratch, written
 from docloom.session import table
 
 
@@ -52,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards of the corpus. A stage's table is deleted once the next one is written, the last one's once the store has it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        forget(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    forget(docs)
+    return out
