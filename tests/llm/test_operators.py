@@ -366,6 +366,45 @@ def test_densities_decide_without_an_article_element(spark, small):
     assert counts["stop words"] > 5 * counts.get("article", 0)
 
 
+def good_text(page):
+    return "\n".join(b["text"] for b in html_text.labelled(page) if b["label"] == "good")
+
+
+LONG = " ".join(f"{PROSE} {i}." for i in range(6))
+CHINESE = "这是一篇关于城市历史的文章，它讲述了河边的老街和那里的人们。"
+POLISH = "Miasto nad rzeką powstało przed wiekami, gdy kupcy szukali tu schronienia przed zimą."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><form id="aspnetForm"><div><nav><a href="/">Home</a></nav><h1>{h}</h1><p>{t}</p></div></form><form><input><label>Mail</label></form></body>',
+        '<article class="post comments-open"><h1>{h}</h1><p>{t}</p></article><div class="comments"><p>{c}</p></div>',
+        '<div class="post comment-enabled"><h1>{h}</h1><p>{t}</p></div>',
+        '<div class="entry-content social-ready"><h1>{h}</h1><p>{t}</p></div>',
+        '<aside><p>{c}</p><article><h1>{h}</h1><p>{t}</p></article>',
+        '<div class="promo"><h1>{h}</h1><p>{t}</p><p>{t}</p></div>',
+        '<article><aside class="related"><article><p>{c}</p></article></aside><h1>{h}</h1><p>{t}</p></article>',
+        '<form class="search"><input><label>{c}</label></form><h1>{h}</h1><p>{t}</p>',
+        '<body class="menu-open"><div id="comments-closed"><h1>{h}</h1><p>{t}</p></div></body>',
+    ],
+)
+def test_markup_does_not_empty_articles(page):
+    got = good_text(page.format(h="A head", t=LONG, c="A reader says that this is one of the texts of the kind that he has read in the week")).split("\n")
+    assert got == (["A head", LONG, LONG] if "promo" in page else ["A head", LONG])
+
+
+@pytest.mark.parametrize("text", [CHINESE, POLISH])
+def test_other_languages_outside_an_article_element(text):
+    page = f'<nav><a href="/">x</a></nav><div><h1>A</h1><p>{text}</p><p>{text}</p></div><div class="sidebar"><p>{text}</p></div><footer>{text}</footer>'
+    assert good_text(page) == f"A\n{text}\n{text}"
+
+
+def test_pages_of_short_paragraphs_or_of_none():
+    assert good_text("<div><h1>A head</h1><p>One.</p><p>Two of it.</p><ul><li><a href=x>Link</a></li></ul></div><footer><p>By me</p></footer>") == "A head\nOne.\nTwo of it."
+    assert good_text('<nav><a href="/">Home</a></nav><div class="cookie-notice"><p>We use cookies on this site, as all of the others do.</p></div><form><label>Mail</label><input></form><footer>By me</footer>') == ""
+
+
 def test_deep_and_long_pages():
     assert text_of("<div>" * 100_000 + f"<p>{PROSE}</p>" + "</b>" * 100_000 + "</div>" * 100_000) == PROSE
     assert text_of(f"<p>{PROSE}</p>" * 20_000).count("\n") == 19_999
