@@ -1,14 +1,15 @@
 """Surrogates for personal data: keyed, consistent and distinct, in DataFrame expressions only.
 
-Entities (e-mail, phone, IP address, card number, IBAN, person) are found by one pattern. Each
+Entities (e-mail, phone, IP address, card number, IBAN, social security number, person) are found by one pattern. Each
 distinct entity gets a surrogate from a keyed SHA-256 of its normal form, so that the
 same entity has the same surrogate in every document and run, however it is written: normal forms of phone,
 card and account numbers have no separators ("+" and "00" before a country code are one), others no
 letter case. The surrogate is put into each occurrence's own separators and case. Digits become
 digits, letters letters of the same script; country codes, top-level domains and
 octet widths stay, and so do the zero or the one before an area code; a card number that passes the Luhn test still does.
-Given names go to another given name of the same gender and script by a keyed cycle through the list; family names
-are replaced apart from given names, vowels by vowels and consonants by consonants, so that "Ms Roth" and "Anna Roth" stay one family.
+A person is a title or a listed given name and the run of capitalised names and particles after it ("Dr. Wolfgang Schmidt", "John von Neumann", "MARIA GARCIA");
+every name of the run is replaced. Listed given names go to another one of the same gender and script by a keyed cycle through the list, other given names
+to made-up ones; family names are replaced apart from given names, vowels by vowels and consonants by consonants, so that "Ms Roth" and "Anna Roth" stay one family.
 A surrogate that equals another one or any entity of the corpus is drawn again, until all are distinct. Where a
 form has too few values for that (one-digit octets, names of two letters), it is widened after each
 WIDEN draws: octets take any width, others one character more.
@@ -16,7 +17,9 @@ WIDEN draws: octets take any width, others one character more.
 Phone numbers are found with a country code after "+", with an area code in brackets, with a leading zero
 (9 to 13 digits), and without one in groups of 3-3-4 or 3-2-2-2. Local numbers without an area code and
 nine digits in threes stay in the text: they can't be told from other numbers. E-mail addresses have up to 64
-characters before "@" and up to ten labels after it; what is longer is no address.
+characters before "@" and up to ten labels after it; what is longer is no address. Of two capitalised words after a name the second
+counts as a name too, so a noun that follows a German name without a comma is replaced with it. Names without a title whose
+given name isn't listed stay in the text: telling them from other capitalised words needs a model of the language. Of an IPv6 address each spelling is an entity of its own.
 
 The key is the caller's secret: an argument, or the setting spark.docloom.pii.key.
 
@@ -43,14 +46,18 @@ ADDED = ("n_entities", "entity_types")
 
 # Given names by gender and script.
 GIVEN = {
-    ("f", "latin"): "Anna Maria Laura Julia Sophie Emma Clara Lucia Elena Marta Carmen Ines Camille Chloe Manon Alice Emily Sarah Jessica Karen Linda Susan Nancy Lisa Sandra Helga Ingrid Ursula Monika Petra".split(),
-    ("m", "latin"): "John Peter Paul Michael Thomas David James Robert William Richard Hans Klaus Jürgen Stefan Andreas Carlos Miguel Jose Luis Javier Pablo Pierre Jean Jacques Louis Antoine Marc Kevin Brian Steven".split(),
+    ("f", "latin"): "Anna Maria Laura Julia Sophie Emma Clara Lucia Elena Marta Carmen Ines Camille Chloe Manon Alice Emily Sarah Jessica Karen Linda Susan Nancy Lisa Sandra Helga Ingrid Ursula Monika Petra Mary Jennifer Elizabeth Barbara Margaret Patricia Sabine Claudia Isabel Pilar Marie Nathalie Priya Fatima Mei".split(),
+    ("m", "latin"): "John Peter Paul Michael Thomas David James Robert William Richard Hans Klaus Jürgen Stefan Andreas Carlos Miguel Jose Luis Javier Pablo Pierre Jean Jacques Louis Antoine Marc Kevin Brian Steven Charles Joseph Daniel George Edward Wolfgang Matthias Francisco Antonio François Philippe Rahul Ahmed Mohammed Wei".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия".split(),
     ("m", "cyrillic"): "Иван Пётр Алексей Дмитрий Сергей Андрей Николай Михаил Владимир Олег".split(),
 }
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NAME = r"\p{Lu}[\p{L}'’-]+"
+# A name that follows another one; words in capitals alone do so only where the name before is in capitals.
+NEXT = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}[\p{L}'’-]*"
+LOUD = r"\p{Lu}{2}[\p{Lu}'’-]*"
+PARTICLES = "von|van|de|del|della|der|den|di|da|dos|du|la|le|zu|zur|bin|al|el"
 # Where a phone number without "+" may start and end: not inside longer numbers.
 _START, _END = r"(?<![\w+])(?<!\d[.,/-])", r"(?!\w|[./-]\d)"
 PHONES = (
@@ -61,14 +68,19 @@ PHONES = (
     rf"{_START}[6-9]\d\d(?:[ .-]\d\d){{3}}{_END}",
 )
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_UPPER_GIVEN = "|".join(n.upper() for names in GIVEN.values() for n in names)
+_RUN = rf"(?: (?:{PARTICLES})){{0,3}} {NEXT}(?![\p{{L}}'’-])"
+HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     # bounded repeats: Java matches a repeated group by recursion, and a text of endless labels would end the JVM
     "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,10}[A-Za-z]{2,24}",
+    "ip6": rf"(?<![\w:.])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}})(?![\w:])",
     "ip": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
+    "national": r"(?<![\w.,/-])\d{3}-\d{2}-\d{4}(?![\w/-]|\.\d)",
     "phone": "|".join(PHONES),
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
-    "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.? (?:(?:{_GIVEN}) )?{NAME}|(?:{_GIVEN}) {NAME})",
+    "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.? (?:(?:{PARTICLES}) ){{0,3}}(?:(?:{_GIVEN}) ){{0,3}}{NAME}(?:{_RUN}){{0,2}}|(?:(?:{_GIVEN}) ){{1,3}}(?:(?:{PARTICLES}) ){{0,3}}{NAME}(?:{_RUN}){{0,2}}|(?:(?:{_UPPER_GIVEN}) ){{1,3}}{LOUD})(?![\p{{L}}])",
 }
 ANY = "|".join(PATTERNS.values())
 # Lengths of country calling codes by their first digits.
@@ -78,7 +90,7 @@ VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуыэюя", "greek": "αεηι
 
 def kind_of(entity: Column) -> Column:
     found = F.lit("person")
-    for name in ("card", "iban", "phone", "ip", "email"):
+    for name in ("card", "iban", "phone", "national", "ip", "ip6", "email"):
         found = F.when(entity.rlike(rf"\A(?:{PATTERNS[name]})\z"), name).otherwise(found)
     return found
 
@@ -172,6 +184,8 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return (
         F.when(kind == "email", F.concat(plain(F.regexp_extract(norm, "^[^@]*", 0), none), domain_out))
         .when(kind == "ip", let(numbers, lambda n: F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: octet(o, n[i]).cast("string")), ".")))
+        .when(kind == "ip6", let(numbers, lambda n: F.array_join(F.transform(F.split(wide_hex(norm, more), ""), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(F.get(n, i) % 16)))), "")))
+        .when(kind == "national", plain(norm, none))
         .when(kind == "phone", phone)
         .when(kind == "iban", plain(norm, places(F.lit(0), F.lit(1))))
         .when(kind == "card", with_luhn(plain(norm, none), norm))
@@ -179,6 +193,11 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     )
 
 
+def wide_hex(address: Column, more: Column) -> Column:
+    """Groups of more digits, up to four, so that there are values left."""
+    return F.array_join(F.transform(F.split(address, ":"), lambda g: F.when(g == "", g).otherwise(F.rpad(g, F.least(F.lit(4), F.length(g) + more), F.lit("0")))), ":")
+
+
 def formatted(value: Column, entity: Column) -> Column:
     """The letters and digits of value in the places that those of entity have, its separators kept."""
     value = F.when(entity.rlike(r"^\W*0\W*0") & value.startswith("+"), F.concat(F.lit("00"), F.substr(value, F.lit(2)))).otherwise(F.ltrim(value, F.lit("+")))
@@ -208,10 +227,15 @@ def normal(kind: Column, entity: Column) -> Column:
     """One form for all ways to write an entity: the family name of a person, numbers without separators."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
     phone = F.regexp_replace(F.concat(F.when(entity.startswith("+"), "+").otherwise(""), digits), "^00", "+")
-    form = F.when(kind == "person", family(entity)).when(kind == "phone", phone).when(kind == "card", digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+    form = F.when(kind == "person", family(entity)).when(kind == "phone", phone).when(kind.isin("card", "national"), digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
     return F.lower(form.otherwise(entity))
 
 
+def identity(text: Column) -> Column:
+    """128 bits that tell texts apart."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm) -> the same with surrogate: distinct per kind, and none an entity itself."""
     known = written(entities.select("kind", "norm").distinct(), "entities")
@@ -242,34 +266,43 @@ def pseudonymise(documents: DataFrame, key: str | None = None) -> DataFrame:
     docs = without(documents, *ADDED)
     # a cheap test that every text with an entity passes; the others are never shuffled
     some = F.coalesce(F.col("text").rlike(r"[0-9@]") | F.col("text").rlike(PATTERNS["person"]), F.lit(False))
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").filter(some).select(
+    found = docs.select("doc_id", identity(F.col("text")).alias("text_key"), "text").filter(some).select(
         "doc_id", "text_key", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("entities")
     )
     # equal rows need one replacement list
     found = found.filter(F.size("entities") > 0).select("text_key", F.posexplode("entities").alias("at", "entity")).distinct()
-    found = found.withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", normal(F.col("kind"), F.col("entity")))
-    found = written(found, "found-entities")
-    table = surrogates(found, key)
-    names = F.create_map(*[F.lit(x) for pair in given_cycle(key).items() for x in pair])
-    last = family(F.col("entity"))
-    before = F.substr(F.col("entity"), F.lit(1), F.length("entity") - F.length(last))
-    given = F.transform(F.split(before, r"(?<= )"), lambda w: F.coalesce(F.concat(names[F.rtrim(w)], F.lit(" ")), w))
-    person = F.concat(F.array_join(given, ""), recased(F.col("surrogate"), last))
-    number = formatted(F.col("surrogate"), F.col("entity"))
-    value = F.when(F.col("kind") == "person", person).when(F.col("kind").isin("phone", "card"), number).when(F.col("kind") == "iban", F.upper(number)).otherwise(recased(F.col("surrogate"), F.col("entity")))
-    lists = (
-        found.join(table, ["kind", "norm"])
-        .groupBy("text_key")
-        .agg(F.sort_array(F.collect_list(F.struct("at", value.alias("value"), "kind"))).alias("values"))
-    )
+    found = found.withColumn("kind", kind_of(F.col("entity")))
+    # a person is as many pieces as it has words; of those only names that aren't listed are looked up
+    words = F.regexp_extract_all("entity", F.lit(r"[^ ]+ ?"), F.lit(0))
+    pieces = F.when(F.col("kind") == "person", words).otherwise(F.array("entity"))
+    found = found.select("text_key", "at", F.col("kind").alias("of"), F.size(pieces).alias("n"), F.posexplode(pieces).alias("sub", "piece"))
+    word = F.rtrim("piece")
+    names = F.create_map(*[F.lit(x) for a, b in given_cycle(key).items() for x in (a.lower(), b.lower())])
+    listed = names[F.lower(word)]
+    fixed = word.rlike(rf"\A(?:(?:{TITLES})\.?|{PARTICLES})\z")
+    is_last = F.col("sub") == F.col("n") - 1
+    kind = F.when(F.col("of") != "person", F.col("of")).when(is_last, "person").when(~fixed & listed.isNull(), "given")
+    capital = F.concat(F.upper(F.substring(listed, 1, 1)), F.substr(listed, F.lit(2)))
+    own = F.when(fixed, word).otherwise(F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(listed)).otherwise(capital))
+    found = found.withColumn("kind", kind).withColumn("own", F.concat(own, F.when(F.col("piece").endswith(" "), " ").otherwise("")))
+    found = written(found.withColumn("norm", normal(F.col("kind"), word)), "found-entities")
+    asked = found.filter(F.col("kind").isNotNull())
+    table = surrogates(asked, key)
+    number = formatted(F.col("surrogate"), F.col("piece"))
+    spelled = F.concat(recased(F.col("surrogate"), word), F.when(F.col("piece").endswith(" "), " ").otherwise(""))
+    value = F.when(F.col("kind").isin("phone", "card", "national"), number).when(F.col("kind") == "iban", F.upper(number)).when(F.col("kind").isin("person", "given"), spelled).otherwise(recased(F.col("surrogate"), F.col("piece")))
+    put = asked.join(table, ["kind", "norm"]).select("text_key", "at", "sub", value.alias("value"), F.col("of").alias("kind"))
+    plain = found.filter(F.col("kind").isNull()).select("text_key", "at", "sub", F.col("own").alias("value"), F.col("of").alias("kind"))
+    lists = put.unionByName(plain).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("at", "sub", "value", "kind"))).alias("values"))
     lists = written(lists, "replacements")
-    rows = docs.filter(some).alias("d").join(lists.alias("l"), F.xxhash64("d.text") == F.col("l.text_key"), "left")
+    rows = docs.filter(some).alias("d").join(lists.alias("l"), identity(F.col("d.text")) == F.col("l.text_key"), "left")
     parts = F.split(F.col("d.text"), ANY, -1)
-    text = F.array_join(F.zip_with(parts, F.col("l.values"), lambda p, v: F.concat(F.coalesce(p, F.lit("")), F.coalesce(v["value"], F.lit("")))), "")
+    before = lambda v, ps: F.when(v["sub"] == 0, F.get(ps, v["at"])).otherwise(F.lit(""))
+    text = let(parts, lambda ps: F.concat(F.array_join(F.transform("l.values", lambda v: F.concat(before(v, ps), v["value"])), ""), F.element_at(ps, -1)))
     none = F.array().cast("array<string>")
     replaced = rows.select(
         *[F.when(F.col("l.values").isNull(), F.col("d.text")).otherwise(text).alias("text") if c == "`text`" else F.col(f"d.{c}") for c in quoted(docs)],
-        F.when(F.col("l.values").isNull(), 0).otherwise(F.size("l.values")).cast("long").alias("n_entities"),
+        F.when(F.col("l.values").isNull(), 0).otherwise(F.size(F.filter("l.values", lambda v: v["sub"] == 0))).cast("long").alias("n_entities"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform("l.values", lambda v: v["kind"]))), none).alias("entity_types"),
     )
     return replaced.unionAll(docs.filter(~some).select("*", F.lit(0).cast("long").alias("n_entities"), none.alias("entity_types")))

@@ -475,6 +475,23 @@ def test_surrogates(spark):
     assert pii.pseudonymise(docs, key="other").filter("doc_id = 2").first().text != two.text
 
 
+def test_whole_names_go(spark):
+    texts = {
+        "Mr. Rahul Sharma came.": ["Rahul", "Sharma"], "by Dr. Wolfgang Schmidt, and": ["Wolfgang", "Schmidt"], "Anna Maria Roth": ["Anna", "Maria", "Roth"], "John von Neumann said": ["John", "Neumann"],
+        "MARIA GARCIA": ["MARIA", "GARCIA"], "Mary Jones, Rahul Sharma": ["Mary", "Jones", "Rahul", "Sharma"], "Mrs Xenia Ypsil-Zeta": ["Xenia", "Ypsil", "Zeta"], "Carmen García López": ["Carmen", "García", "López"],
+        "Prof. O'Brien": ["O'Brien"], "Frau von der Leyen": ["Leyen"], "ip 2001:db8:0:1:1:1:1:1 or fe80::1ff:fe23:4567:890a.": ["db8", "fe23"], "id 123-45-6789.": ["6789", "123-45"],
+    }
+    keep = ["It was 10:30:00 on a Monday, Mr and Ms.", "a::b C++ std::vector", "no 12-34-5678 or 1123-45-67890"]
+    rows = [doc(i, t) for i, t in enumerate([*texts, *keep])]
+    found = {r.doc_id: r for r in pii.pseudonymise(documents(spark, rows), "k").collect()}
+    for i, (t, gone) in enumerate(texts.items()):
+        assert not [g for g in gone if g.lower() in found[i].text.lower()], (t, found[i].text)
+        assert re.sub(r"\w", "x", found[i].text).count(" ") == t.count(" ") and found[i].n_entities == (2 if " or " in t or "Mary" in t else 1)
+    assert [found[len(texts) + i].text for i in range(len(keep))] == keep
+    assert found[3].text.split()[1] == "von" and found[4].text.isupper() and found[9].text.startswith("Frau von der ")
+    assert found[0].text.split()[2] == found[5].text.split()[3]  # one family in two texts
+
+
 def test_national_phone_numbers(spark):
     numbers = "(555) 123-4567|555-123-4567|1-555-123-4567|0171 1234567|06 12 34 56 78|030/1234567|(0171) 1234567|0044 20 7946 0958|612 34 56 78|0612345678|+49 171/1234567".split("|")
     others = "on 05.06.2021 10:30|05-06-2021|ISBN 0-306-40615-2|10.1.22|1 234 567 890|4.0 or 555-1234"
