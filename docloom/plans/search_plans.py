@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.operators import retrieval as R
 from docloom.operators import search as S
 from docloom.operators import vectors as I
 from docloom.plans.registry import query
@@ -137,6 +138,47 @@ def router_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "s.section", "s.hits", (F.col("at") + 1).alias("rank"))
 
 
+_SECTIONS = f"""
+d AS (SELECT doc_id AS id, coalesce(source, '') AS section, lang, {_TERMS} AS terms FROM documents),
+n AS (SELECT section, count(*) AS n_docs, avg(len(terms)) AS mean FROM d GROUP BY section),
+tf AS (SELECT id, section, len(terms) AS dl, term, count(*) AS tf FROM (SELECT id, section, terms, unnest(terms) AS term FROM d) GROUP BY ALL),
+df AS (SELECT section, term, ln(n_docs - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN n USING (section) GROUP BY section, term, n_docs),
+m AS (SELECT section, avg(raw) AS low FROM df GROUP BY section),
+idf AS (SELECT section, term, CASE WHEN raw < 0 THEN 0.25 * low ELSE raw END AS idf FROM df JOIN m USING (section)),
+u AS (SELECT conv_id * 1000 + turn AS question, {_TERMS} AS terms FROM conversations WHERE role = 'user'),
+q AS (SELECT question, term, count(*) AS qn FROM (SELECT question, unnest(terms) AS term FROM u) GROUP BY ALL),
+hit AS (SELECT question, id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM q JOIN tf USING (term) JOIN idf USING (section, term) JOIN n USING (section) GROUP BY question, id),
+a AS (SELECT question, section, d.id, lang, round(coalesce(score, 0), 6) AS score FROM u CROSS JOIN d LEFT JOIN hit USING (question, id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY question, section ORDER BY score DESC, id DESC) AS rank FROM a QUALIFY row_number() OVER (PARTITION BY question, section ORDER BY score DESC, id DESC) <= 20)"""
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question"), "text")
+
+
+@query(f"WITH {_SECTIONS} SELECT question, section, id, score, CAST(rank AS INTEGER) AS rank FROM k")
+def section_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every section for every user's turn, padded to 20."""
+    return R.search(R.build(table(spark, sf_dir, "documents")), _questions(spark, sf_dir), 20).withColumn("section", F.coalesce("section", F.lit("")))
+
+
+@query(
+    f"""WITH {_SECTIONS},
+    f AS (SELECT question, section, id, lang, round(0.3 * CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM k WINDOW w AS (PARTITION BY question, section)),
+    t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY question, section ORDER BY score DESC, id DESC) <= 10),
+    o AS (SELECT *, row_number() OVER (PARTITION BY question, section, lang ORDER BY score DESC, id DESC) AS nth FROM t WHERE id % 5 <> 0),
+    r AS (SELECT * FROM o WHERE nth <= 4)
+    SELECT question, section, id, score, CAST(row_number() OVER (PARTITION BY question, section ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY question, section ORDER BY score DESC, id DESC) <= 8"""
+)
+def federated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's turn in every section: ranked, scaled, only allowed ids after that, at most four of a language and eight in all."""
+    docs = table(spark, sf_dir, "documents")
+    ranked = R.fused(R.search(R.build(docs), _questions(spark, sf_dir), 20))
+    allow = docs.filter("doc_id % 5 <> 0").select(F.col("source").alias("section"), F.col("doc_id").alias("id"))
+    found = R.by_section(R.allowed(ranked, allow), docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("origin")), 10, 4, 8)
+    return found.select("question", "section", "id", "score", "rank")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks ranked by BM25, capped per source and packed into a context."""
     docs = table(spark, sf_dir, "documents")
