@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import remove_path
+
 REINDEX = ("created", "updated", "linked", "imported")
 
 
@@ -44,7 +46,8 @@ def merge_latest(spark: SparkSession, root: str, key: str, at: str, tie: str):
     """A foreachBatch function that keeps the newest event per key in versions of a Parquet table.
 
     Version N + 1 is the newest of version N and the batch, written under the batch's id, so a
-    replayed batch writes the same version again; events older than what is applied change nothing.
+    replayed batch writes the same version again; events older than what is applied change nothing. Only the
+    last two versions are kept, as a replay reads the one before. Each batch rewrites the table: for many keys use ``lifecycle``, whose state is keyed.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -53,6 +56,8 @@ def merge_latest(spark: SparkSession, root: str, key: str, at: str, tie: str):
             before = spark.read.schema(batch.schema).parquet(f"{root}/v{batch_id - 1}")
         rows = batch if before is None else before.unionByName(batch)
         newest(rows, key, at, tie).write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        if batch_id > 1:
+            remove_path(spark, f"{root}/v{batch_id - 2}")
 
     return apply
 
