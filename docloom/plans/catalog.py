@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.plans import evidence_plans, match_plans, record_plans, relational_plans, search_plans, streaming_plans, structure_plans, text_plans, tree_plans  # noqa: F401  they register their queries
+from docloom.plans import answer_plans, evidence_plans, match_plans, record_plans, relational_plans, search_plans, streaming_plans, structure_plans, text_plans, tree_plans  # noqa: F401  they register their queries
 from docloom.plans.registry import ORACLES, QUERIES, Query
 from docloom.plans.search_plans import flagship  # noqa: F401
 
