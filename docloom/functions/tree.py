@@ -8,6 +8,7 @@ turns a tree into flat columns; what follows is DataFrame work.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,6 +126,66 @@ def text_nodes(trees: pd.Series) -> pd.Series:
     return trees.map(lambda t: [{"path": ".".join(map(str, p)), "text": n.get("text") or ""} for p, n in walk(parse(t)) if n.get("type") == "text"])
 
 
+#: Nodes that a rewrite in plain text leaves in place, and how much of a rewrite is taken over.
+PRESERVED = ("table", "bulletList", "orderedList", "heading")
+MAX_LINES, MAX_LINE = 120, 1200
+
+
+def fingerprints(tree: dict) -> list[list[int]]:
+    """For each table the number of cells of each of its rows."""
+    tables = [[len(kids(r)) for _, r in kids(n) if r.get("type") == "tableRow"] for _, n in walk(tree) if n.get("type") == "table"]
+    return [t for t in tables if t]
+
+
+def merged(raw: str | None, text: str | None, append: bool) -> str | None:
+    """A tree with a text's lines as paragraphs: after all that is there, or in its place but for tables, lists and headings if there are tables. A tree that can't be read comes back as it is."""
+    tree = readable(raw)
+    if tree is None:
+        return raw
+    lines = [x.strip() for x in re.split(r"[\r\n]+", text or "") if x.strip()][:MAX_LINES]
+    new = [{"type": "paragraph", "content": [{"type": "text", "text": x[:MAX_LINE]}]} for x in lines]
+    old = [n for _, n in kids(tree)]
+    if not append:
+        old = [n for n in old if n.get("type") in PRESERVED] if any(n.get("type") == "table" for _, n in walk(tree)) else []
+    try:
+        return json.dumps(pruned({"type": "doc", "content": old + new}) if old or new else {"type": "doc", "content": [{"type": "paragraph"}]}, ensure_ascii=False)
+    except RecursionError:
+        return raw
+
+
+def structure_fault(before: str | None, after: str | None) -> str | None:
+    """Why a patched tree isn't taken: its tables changed, or under half of its blocks or 40 % of its texts are left; null if it is."""
+    old, new = parse(before), parse(after)
+    count = lambda t: sum(n.get("type") == "text" for _, n in walk(t))
+    if fingerprints(old) != fingerprints(new):
+        return "tables"
+    blocks, texts = len(old.get("content") or []), count(old)
+    if blocks and len(new.get("content") or []) < max(1, blocks // 2):
+        return "blocks"
+    return "texts" if texts and count(new) < max(1, int(texts * 0.4)) else None
+
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def table_fingerprints(trees: pd.Series) -> pd.Series:
+    return trees.map(lambda t: fingerprints(parse(t)))
+
+
+@F.pandas_udf(IntegerType())
+def text_node_count(trees: pd.Series) -> pd.Series:
+    return trees.map(lambda t: sum(n.get("type") == "text" for _, n in walk(parse(t))))
+
+
+@F.pandas_udf(StringType())
+def merge_text(trees: pd.Series, texts: pd.Series, append: pd.Series) -> pd.Series:
+    """Trees with a plain text taken over; append is a boolean column."""
+    return pd.Series([merged(t, x, bool(a)) for t, x, a in zip(trees, texts, append, strict=True)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def structure_faults(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([structure_fault(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def apply_patches(trees: pd.Series, patches: pd.Series) -> pd.Series:
     """Patches are an array of (path, text) structs. A tree that can't be read comes back as it is."""

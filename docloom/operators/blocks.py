@@ -215,6 +215,51 @@ def nested(placed: DataFrame) -> DataFrame:
     return sections.groupBy("row", "id").agg(F.array_sort(F.collect_list(one)).alias("sections"))
 
 
+def _quoted(c: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(c.alias("t")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _node(kind: str, content: Column, attrs: Column | None = None) -> Column:
+    head = F.lit(f'{{"type":"{kind}"') if attrs is None else F.concat(F.lit(f'{{"type":"{kind}","attrs":'), attrs)
+    return F.concat(head, F.lit(',"content":['), content, F.lit("]}"))
+
+
+def _leaf(c: Column, bold: bool = False) -> Column:
+    """A text node; none for an empty text."""
+    marks = ',"marks":[{"type":"bold"}]' if bold else ""
+    return F.when(c != "", F.concat(F.lit('{"type":"text","text":'), _quoted(c), F.lit(marks + "}"))).otherwise("")
+
+
+def _paragraph(c: Column) -> Column:
+    """Lines with hard breaks between them."""
+    return _node("paragraph", F.array_join(F.transform(F.split(c, "\n"), lambda x: _leaf(x)), ',{"type":"hardBreak"},'))
+
+
+def block_node() -> Column:
+    """The JSON of a block row's node."""
+    items = F.array_join(F.transform("items", lambda x: _node("listItem", _paragraph(x))), ",")
+    headers = L.header_rows(F.col("cells"))
+    row = lambda r, head: _node("tableRow", F.array_join(F.transform(r, lambda c: F.when(head, _node("tableHeader", _paragraph(c))).otherwise(_node("tableCell", _paragraph(c)))), ","))
+    table = F.transform(F.array(headers), lambda n: _node("table", F.array_join(F.transform("cells", lambda r, i: row(r, i < n)), ",")))[0]
+    level = F.concat(F.lit('{"level":'), F.greatest(F.lit(1), F.least(F.lit(3), F.col("level"))).cast("string"), F.lit("}"))
+    return (
+        F.when(F.col("type").endswith("heading"), _node("heading", _leaf(F.col("text")), level))
+        .when(F.col("type") == "bullet_list", _node("bulletList", items))
+        .when(F.col("type") == "numbered_list", _node("orderedList", items))
+        .when(F.col("type") == "table", table)
+        .when(F.col("type") == "two_column_row", _node("paragraph", F.concat_ws(",", F.nullif(_leaf(F.concat("left", F.lit(": ")), True), F.lit("")), F.nullif(_leaf(F.col("right")), F.lit("")))))
+        .otherwise(_paragraph(F.col("text")))
+    )
+
+
+def trees(blocks: DataFrame) -> DataFrame:
+    """(row, id, tree): each document's blocks as one tree in JSON, made from the blocks' own nodes without recursion."""
+    got = blocks.select("row", "id", "block", block_node().alias("n")).groupBy("row", "id").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("ns"))
+    return got.select("row", "id", _node("doc", F.array_join(F.transform("ns", lambda x: x["n"]), ",")).alias("tree"))
+
+
 def header_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, chunk, title, section_type, chunk_type, start_line, end_line, content): a chunk begins at each line that a section's word opens.
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import lines as L
+from docloom.functions import tree as J
 from docloom.operators import blocks as B
+from docloom.operators import metadata as M
 from docloom.plans.registry import query
 from docloom.session import table
 
@@ -119,3 +121,30 @@ def plain_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts.filter(F.size("ts") > 1).select("c_nationkey", lines.alias("lines")).filter(L.looks_like_table(F.col("lines"))).withColumn("rows", L.table_of(F.col("lines")))
     cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";")
     return rows.select("c_nationkey", F.size("rows").cast("long").alias("n_rows"), L.header_rows(F.col("rows")).alias("n_headers"), F.md5(cells).alias("cells_md5"))
+
+
+@query(
+    f"""WITH {_BLOCKS} SELECT doc_id, md5(string_agg(CASE kind WHEN 'paragraph' THEN replace(text, chr(10), '') WHEN 'pair' THEN {_PAIR_TEXT} ELSE text END, chr(10) ORDER BY block)) AS text_md5 FROM b GROUP BY rid, doc_id"""
+)
+def block_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's blocks as one tree, read back as text."""
+    trees = B.trees(B.blocks_of_lines(_documents(spark, sf_dir)))
+    return trees.select(F.col("id").alias("doc_id"), F.md5(J.tree_text("tree")).alias("text_md5"))
+
+
+@query(
+    """SELECT doc_id, 'SOP-QA-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS number, CASE doc_id % 3 WHEN 0 THEN '2.' || (doc_id % 7) WHEN 1 THEN 'V' || (doc_id % 9) ELSE '4.' || (doc_id % 5) END AS version,
+      CASE doc_id % 3 WHEN 0 THEN 'label' WHEN 1 THEN 'table' ELSE 'near number' END AS version_from, '2024-03-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') AS effective_date, lower(source) AS status, CASE WHEN doc_id % 3 = 0 THEN 'on ' || source END AS title FROM documents"""
+)
+def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, version with the rung it came from, date, status and title of whole texts with a head made of their columns."""
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    number = F.concat(F.lit("SOP-QA-"), F.lpad((n % 1000).cast("string"), 3, "0"))
+    head = (
+        F.when(n % 3 == 0, F.concat(F.lit("Title: "), number, F.lit(" - on "), "source", F.lit("\nVersion: 2."), n % 7))
+        .when(n % 3 == 1, F.concat(F.lit("| Change | Version | Date |\n|---|---|---|\n| a | V99 | 2020-01-01 |\n| b | V"), n % 9, F.lit(" | 02.01.2020 |\n")))
+        .otherwise(F.concat(F.lit("a line\nRevision: 4."), n % 5, F.lit(" of it")))
+    )
+    text = F.concat(number, F.lit("\n"), head, F.lit("\nEffective date: "), 1 + n % 28, F.lit(". März 2024\nStatus: "), F.upper("source"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    found = M.metadata(docs.select("doc_id", text.alias("text")))
+    return found.select(F.col("id").alias("doc_id"), "number", "version", "version_from", "effective_date", "status", F.when(F.col("id") % 3 == 0, F.col("title")).alias("title"))
