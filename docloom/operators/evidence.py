@@ -13,11 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import phrases as P
+from docloom.functions.nlp import risk_score
 from docloom.functions.structure import headings
+from docloom.functions.style import filtered_words, timing_mentions
 from docloom.functions.text import confidence_from_score
 
 # Weights and thresholds of the scores, and the ladder of responsibility categories.
@@ -221,3 +223,95 @@ def focus_areas(gaps: Column, most: int = 5) -> Column:
     rank = lambda g: F.when(g["severity"] == "critical", 4).when(g["severity"] == "high", 3).when(g["severity"] == "low", 1).otherwise(2)
     keyed = F.transform(gaps, lambda g, i: F.struct((-rank(g)).alias("r"), (-F.round(g["confidence"], 3)).alias("c"), i.alias("i"), g["message"].alias("m")))
     return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda x: x["m"])
+
+
+def key_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 60) -> DataFrame:
+    """(row, id, phrase, n, rank): each document's phrases of two and three words that it holds twice or more, the most frequent first, of equals the one that stands first, pairs before triples.
+
+    Phrases are counted by (row, phrase) before a document's own are ranked.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), filtered_words(F.col(text_col)).alias("w"))
+
+    def run(n: int) -> Column:
+        last = lambda w: F.greatest(F.size(w) - n + 1, F.lit(0))
+        return P.let(F.col("w"), lambda w: F.transform(F.slice(w, 1, last(w)), lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.concat_ws(" ", x, *[w[i + k] for k in range(1, n)]).alias("phrase"))))
+
+    runs = rows.select("row", "id", F.explode(F.concat(run(2), run(3))).alias("p")).select("row", "id", "p.*")
+    counted = runs.groupBy("row", "id", "n", "phrase").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("at")).filter("count > 1")
+    order = Window.partitionBy("row").orderBy(F.desc("count"), "n", "at")
+    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("row", "id", "phrase", "count", "rank")
+
+
+# What a document of a kind must hold, what in a text calls for what else, and how grave each gap is.
+REQUIRED = ["purpose", "scope", "responsibilities", "procedure", "records", "approval", "revision_history"]
+GRAVE_SECTIONS = ["purpose", "scope", "procedure", "responsibilities"]
+GRAVE_ROLES = ["Approver", "Owner", "QA", "IT"]
+GRAVE_FLOWS = ["incident_flow", "capa_flow", "access_control_flow"]
+TIMED_FLOWS = ["incident_flow", "capa_flow", "approval_flow", "review_flow", "backup_restore_flow"]
+#: group, code, severity, confidence, words of which one must be there, words of which none may be
+CALLS = [
+    ("missing_controls", "capa_effectiveness", "high", 0.84, ["capa", "corrective action", "preventive action"], ["effectiveness", "verify effectiveness", "effectiveness check"]),
+    ("missing_controls", "access_control", "high", 0.82, ["access", "user", "privilege", "password"], ["periodic review", "access review", "mfa", "least privilege", "rbac"]),
+    ("missing_controls", "backup_restore_testing", "high", 0.80, ["backup", "restore", "recovery"], ["restore test", "test restore", "backup verification", "verify backup"]),
+]
+TIMED_WORDS = ["approve", "review", "incident", "deviation", "capa", "escalate", "audit", "periodic", "backup", "restore"]
+RISK_WORDS = ["incident", "deviation", "critical", "overdue", "failure", "nonconformance", "security event", "capa", "restore failure"]
+GAP = "array<struct<group:string,code:string,severity:string,confidence:double>>"
+
+
+def _gap(condition: Column, group: str, code: Column | str, severity: Column | str, confidence: Column | float) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.when(condition, F.struct(F.lit(group).alias("group"), lit(code).alias("code"), lit(severity).alias("severity"), lit(confidence).cast("double").alias("confidence")))
+
+
+def gap_list(text: Column, labels: Column, title: Column, version: Column, flows: Column, missing_roles: Column, has_approver: Column, n_sections: Column, required: list[str] = REQUIRED, approval: list[str] = (), escalation: list[str] = (), controls: list[str] = ()) -> Column:
+    """The gaps of a document, group by group: what it must have and lacks.
+
+    labels: its sections' labels; flows: array of (flow, status, missing_core, required, has_timing); approval, escalation, controls: words that show these.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    named = [*TIMED_WORDS, *RISK_WORDS, *approval, *escalation, *controls, "policy", "policy statement", *[w for c in CALLS for w in [*c[4], *c[5]]]]
+
+    def listed(held: Column) -> Column:
+        any_of = lambda words: F.arrays_overlap(held, F.array(*map(F.lit, words)).cast("array<string>")) if words else F.lit(False)
+        has = lambda label: F.array_contains(labels, label)
+        sections = [_gap(~has(r) & ~(any_of(["policy", "policy statement"]) if r == "policy" else F.lit(False)), "missing_information", r, "high" if r in GRAVE_SECTIONS else "medium", 0.80 if r in GRAVE_SECTIONS else 0.68) for r in required]
+        blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+        timing = F.size(timing_mentions(text)) > 0
+        few = F.size(F.array_intersect(held, F.array(*map(F.lit, controls)).cast("array<string>"))) < 2 if controls else F.lit(True)
+        single = [
+            *sections,
+            _gap(blank(title), "missing_information", "title", "medium", 0.65),
+            _gap(blank(version), "missing_information", "version_or_revision", "medium", 0.70),
+            _gap(~has("approval") & ~any_of(approval) & ~has_approver, "missing_approvals", "approval_authority", "high", 0.82),
+            _gap(any_of(TIMED_WORDS) & ~timing, "missing_timing", "timing", "high", 0.82),
+            _gap(any_of(RISK_WORDS) & ~any_of(escalation), "missing_escalation_logic", "escalation", "high", 0.78),
+            _gap(few, "missing_controls", "controls", "medium", 0.62),
+            *[_gap(any_of(call) & ~any_of(relief), group, code, severity, sure) for group, code, severity, sure, call, relief in CALLS],
+            _gap(n_sections < 3, "structure_gaps", "sectioning", "medium", 0.70),
+        ]
+        detected = lambda f: f["status"] == "detected"
+        stage = lambda group, f, s, severity, sure: F.struct(F.lit(group).alias("group"), F.concat(f["flow"], F.lit(":"), s).alias("code"), severity.alias("severity"), sure.cast("double").alias("confidence"))
+        none = F.array().cast(GAP)
+        approvals = F.flatten(F.transform(F.filter(flows, lambda f: detected(f) & (f["flow"] == "approval_flow")), lambda f: F.transform(f["missing_core"], lambda s: stage("missing_approvals", f, s, F.lit("medium"), F.lit(0.66)))))
+        untimed = F.transform(F.filter(flows, lambda f: detected(f) & ~f["has_timing"] & f["flow"].isin(TIMED_FLOWS)), lambda f: _gap(F.lit(True), "missing_timing", f["flow"], "medium", 0.64))
+        roles = F.transform(missing_roles, lambda r: _gap(F.lit(True), "role_gaps", r, F.when(r.isin(GRAVE_ROLES), "high").otherwise("medium"), 0.70))
+
+        def flow_gaps(f: Column) -> Column:
+            grave = f["flow"].isin(GRAVE_FLOWS)
+            whole = F.array(_gap(F.lit(True), "workflow_gaps", f["flow"], "high", 0.76))
+            stages = F.transform(F.slice(f["missing_core"], 1, 6), lambda s: stage("workflow_gaps", f, s, F.when(grave, "high").otherwise("medium"), F.when(grave, 0.76).otherwise(0.68)))
+            return F.when(f["status"] == "not_detected", whole).otherwise(stages)
+
+        needed = F.flatten(F.transform(F.filter(flows, lambda f: f["required"]), flow_gaps))
+        return F.concat(*[F.coalesce(x.cast(GAP), none) for x in (F.array_compact(F.array(*single)), approvals, untimed, roles, needed)])
+
+    return P.let(F.array_distinct(P.found(low, named)), listed)
+
+
+def gap_summary(gaps: Column) -> Column:
+    """(score, level, n, focus): severity weights times confidence, at most 100, its level, the number of gaps, and the codes of the five gravest."""
+    weighted = F.transform(gaps, lambda g: F.struct((F.when(g["severity"] == "low", 2).when(g["severity"] == "high", 9).when(g["severity"] == "critical", 12).otherwise(5) * F.round(g["confidence"], 3)).alias("weight")))
+    score = risk_score(weighted)
+    focus = focus_areas(F.transform(gaps, lambda g: F.struct(g["code"].alias("message"), g["severity"].alias("severity"), g["confidence"].alias("confidence"))))
+    return P.let(score, lambda s: F.struct(s.alias("score"), risk_level(s).alias("level"), F.size(gaps).alias("n"), focus.alias("focus")))

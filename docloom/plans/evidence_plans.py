@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import phrases as P
+from docloom.functions import style as S
+from docloom.functions import structure as T
 from docloom.operators import evidence as E
 from docloom.plans.registry import query
 from docloom.session import table
@@ -129,3 +131,61 @@ def domain_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _planted(spark, sf_dir)
     candidates = docs.filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit("text").alias("domain"), F.lit(0.6).alias("confidence"))
     return E.domains_with_standards(candidates, E.standards(docs, STANDARDS)).select(F.col("id").alias("doc_id"), "domain", "confidence", "source")
+
+
+@query()
+def writing_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of lines, sentences and words, and what they say of a text's style."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("n", F.greatest(F.size(T.headings(F.col("text"))), F.lit(1)))
+    found = rows.select("doc_id", S.style(F.col("text"), F.col("n")).alias("s"))
+    return found.select("doc_id", "s.signals.*", "s.directive", "s.complexity", "s.formality", "s.formality_score", "s.tone", "s.primary_format")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10) || 'Rule ' || source || ': the rule of ' || lang || ' texts' || chr(10) || 'Done within ' || (1 + doc_id % 40) || ' weeks by SOP-QA-' || lpad(CAST(doc_id % 900 AS VARCHAR), 3, '0') AS text FROM documents)
+    SELECT doc_id, least(100, len(list_distinct(regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ſ]', 'x', 'g'), '\\b[A-Z]{2,}(?:/[A-Z]{2,})?\\b')))) AS n_acronyms,
+      list_contains(regexp_extract_all(text, 'within \\d+ week'), 'within ' || (1 + doc_id % 40) || ' week') AS timed, list_contains(regexp_extract_all(text, 'SOP-QA-\\d+'), 'SOP-QA-' || lpad(CAST(doc_id % 900 AS VARCHAR), 3, '0')) AS traced, definition FROM d"""
+)
+def terminology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acronyms, record ids, times and definitions of whole texts with a rule at their end."""
+    n = F.col("doc_id")
+    number = F.concat(F.lit("SOP-QA-"), F.lpad((n % 900).cast("string"), 3, "0"))
+    time = F.concat(F.lit("within "), 1 + n % 40, F.lit(" week"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nRule "), "source", F.lit(": the rule of "), "lang", F.lit(" texts\nDone "), time, F.lit("s by "), number)
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.concat(F.lit("Rule "), "source").alias("term"))
+    t = F.col("text")
+    return docs.select("doc_id", F.size(S.acronyms(t)).cast("long").alias("n_acronyms"), F.array_contains(S.timing_mentions(t), time).alias("timed"), F.array_contains(S.trace_ids(t), number).alias("traced"), F.get(F.filter(S.definitions(t), lambda d: d["term"] == F.col("term")), F.lit(0))["definition"].alias("definition"))
+
+
+_PHRASE_WORDS = f"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9_/-]*'), lambda x: lower(x)), lambda x: length(x) >= 3 AND NOT list_contains({_QUOTED(S.STOP)}, x))"
+
+
+@query(
+    f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PHRASE_WORDS} AS w FROM documents),
+    p AS (SELECT rid, doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT rid, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (2), (3)) v(k))),
+    c AS (SELECT rid, doc_id, k, phrase, count(*) AS n, min(i) AS first FROM p GROUP BY ALL HAVING count(*) > 1)
+    SELECT doc_id, phrase, n AS count, CAST(row_number() OVER (PARTITION BY rid ORDER BY n DESC, k, first) AS INTEGER) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, k, first) <= 60"""
+)
+def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent phrases of each text."""
+    return E.key_phrases(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "phrase", "count", "rank")
+
+
+@query()
+def document_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document lacks, with risk score, level and focus, from its sections, flows and roles."""
+    docs = _planted(spark, sf_dir)
+    flows = E.flows(docs, FLOWS, kind_col="source").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("flow", "status", "missing_core", "required", F.lit(False).alias("has_timing")))).alias("flows"))
+    named = E.roles(docs, ROLES, VERBS, domain_col="lang").filter("status = 'detected'").groupBy("id").agg(F.collect_set("role").alias("named"))
+    rows = docs.withColumn("heads", T.headings(F.col("text"))).join(flows, docs["doc_id"] == flows["id"], "left").drop("id")
+    rows = rows.join(named, rows["doc_id"] == named["id"], "left").drop("id").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
+    labels = F.transform("heads", lambda h: h["label"])
+    missing = F.array_except(F.array(*map(F.lit, ROLES)), "named")
+    title = F.get(F.transform("heads", lambda h: h["title"]), F.lit(0))
+
+    version = F.nullif(F.regexp_extract("text", r"(?i)\bversion\s+(\d+)", 1), F.lit(""))
+    gaps = E.gap_list(F.col("text"), labels, title, version, F.col("flows"), missing, F.array_contains("named", "Approver"), F.size("heads"), approval=["approve"], escalation=["escalate"], controls=["review", "checks", "files", "provide"])
+    found = rows.select("doc_id", gaps.alias("gaps")).select("doc_id", "gaps", E.gap_summary(F.col("gaps")).alias("s"))
+    groups = F.array_join(F.array_sort(F.array_distinct(F.transform("gaps", lambda g: g["group"]))), ",")
+    return found.select("doc_id", "s.score", "s.level", "s.n", F.array_join("s.focus", ",").alias("focus"), groups.alias("groups"))
