@@ -143,7 +143,7 @@ def writing_style(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10) || 'Rule ' || source || ': the rule of ' || lang || ' texts' || chr(10) || 'Done within ' || (1 + doc_id % 40) || ' weeks by SOP-QA-' || lpad(CAST(doc_id % 900 AS VARCHAR), 3, '0') AS text FROM documents)
+    """WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10) || 'Rule ' || source || ': the rule of ' || lang || ' texts' || chr(10) || 'Done within ' || (1 + doc_id % 40) || ' weeks by SOP-QA-' || lpad(CAST(doc_id % 900 AS VARCHAR), 3, '0') AS text, 'the rule of ' || lang || ' texts' AS definition FROM documents)
     SELECT doc_id, least(100, len(list_distinct(regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ſ]', 'x', 'g'), '\\b[A-Z]{2,}(?:/[A-Z]{2,})?\\b')))) AS n_acronyms,
       list_contains(regexp_extract_all(text, 'within \\d+ week'), 'within ' || (1 + doc_id % 40) || ' week') AS timed, list_contains(regexp_extract_all(text, 'SOP-QA-\\d+'), 'SOP-QA-' || lpad(CAST(doc_id % 900 AS VARCHAR), 3, '0')) AS traced, definition FROM d"""
 )
