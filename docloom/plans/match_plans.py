@@ -54,12 +54,14 @@ def citation_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Section labels that messages are matched with.
 LABELS = ["1. License and terms", "Contact", "The author", "Données personnelles", "Zweck", "Results of it"]
 _LABELS = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
+#: DuckDB's levenshtein counts bytes: letters of two bytes are put as capitals, which normal text hasn't, so that it counts letters.
+_LETTERS = "translate({c}, 'äöüßéèêëàâçñíóúáîïôûùœæìòÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 _NORMAL = "trim(regexp_replace(regexp_replace(lower({c}), '^\\s*\\d+(?:\\.\\d+)*[.)\\]:-]?\\s*', ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 @query(
-    f"""WITH m AS (SELECT row_number() OVER () AS rid, conv_id, turn, {_NORMAL.format(c="coalesce(text, '')")} AS t FROM conversations WHERE role = 'user'),
-    l AS (SELECT label, {_NORMAL.format(c='label')} AS n, i FROM (SELECT unnest({_LABELS}) AS label, generate_subscripts({_LABELS}, 1) AS i)),
+    f"""WITH m AS (SELECT row_number() OVER () AS rid, conv_id, turn, {_LETTERS.format(c=_NORMAL.format(c="coalesce(text, '')"))} AS t FROM conversations WHERE role = 'user'),
+    l AS (SELECT label, {_LETTERS.format(c=_NORMAL.format(c='label'))} AS n, i FROM (SELECT unnest({_LABELS}) AS label, generate_subscripts({_LABELS}, 1) AS i)),
     h AS (SELECT rid, label, length(n) AS size, i FROM m, l WHERE t <> '' AND n <> '' AND (contains(t, n) OR len(list_filter(list_filter(string_split(n, ' '), lambda x: length(x) > 2),
       lambda x: contains(t, x || ' section') OR contains(t, 'in ' || x) OR len(list_filter(string_split(t, ' '), lambda w: abs(length(w) - length(x)) <= 2 AND levenshtein(w, x) <= 2)) > 0)) > 0)),
     b AS (SELECT rid, arg_min(label, struct_pack(a := -size, i := i)) AS label FROM h GROUP BY rid)
