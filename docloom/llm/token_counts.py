@@ -7,7 +7,7 @@ has made stale are passed over. The count is the symbols at first less the merge
 identifiers aren't read. A word of n bytes takes O(n log n) steps, so a text without blanks is no special case.
 
 The driver reads the vocabulary file (its path is a parameter) and broadcasts its merges, at most MAX_MERGES. A Python worker
-keeps the counts of the CACHE words that it saw last, so that common words are merged once.
+keeps the counts of the words that it has seen, and starts anew once there are over CACHE of them, so common words are merged about once.
 
 Which characters are letters depends on the Unicode version. The characters that the pattern's library and Python's own tables
 don't agree on are put to the vocabulary's pre-tokenizer once, on the driver; texts that hold one that it takes for
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import without
 
 LIMIT = 512
-CACHE = 1 << 18
+CACHE = 1 << 19
 MAX_MERGES = 1_000_000
 #: Characters from which on a text is split as a stream and not into one list.
 STREAM = 1_000_000
@@ -105,16 +105,20 @@ def word_counter(merges: tuple[tuple[str, str], ...]) -> Callable[[str], int]:
     def count(word: str) -> int:
         part: list = list(word.encode().decode("latin-1").translate(symbols))
         size = n = len(part)
-        # a pair is rank * n + place: one number, ordered as (rank, place)
-        heap = [r * n + i for i, pair in enumerate(zip(part, part[1:], strict=False)) if (r := rank(pair)) is not None]
+        # a pair is its rank above the bits of its place: one number, ordered as (rank, place)
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        heap = [r << bits | i for i, pair in enumerate(zip(part, part[1:])) if (r := rank(pair)) is not None]  # noqa: B905
         if not heap:
             return size
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            r, i = divmod(heappop(heap), n)
-            left, j = part[i], after[i]
-            if left is None or j >= n or rank((left, part[j])) != r:
+            r = heappop(heap)
+            i = r & place
+            j = after[i]
+            left = part[i]
+            if j >= n or left is None or rank((left, part[j])) != r >> bits:
                 continue  # stale
             part[i] = merged = left + part[j]
             part[j] = None
@@ -123,31 +127,59 @@ def word_counter(merges: tuple[tuple[str, str], ...]) -> Callable[[str], int]:
             if k < n:
                 before[k] = i
                 if (r := rank((merged, part[k]))) is not None:
-                    heappush(heap, r * n + i)
+                    heappush(heap, r << bits | i)
             h = before[i]
             if h >= 0 and (r := rank((part[h], merged))) is not None:
-                heappush(heap, r * n + h)
+                heappush(heap, r << bits | h)
         return size
 
     return count
 
 
+class Counts(dict):
+    """The counts of words, worked out where they are missing."""
+
+    def __init__(self, count: Callable[[str], int]) -> None:
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.count(word)
+        return n
+
+
 def text_counter(vocabulary: Vocabulary) -> Callable[[str], int]:
-    count = lru_cache(maxsize=CACHE)(word_counter(vocabulary.merges))
+    counts = Counts(word_counter(vocabulary.merges))
+    count = counts.__getitem__
     usual = regex.compile(WORDS.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]"))
     odd = vocabulary.strangers
     stranger = regex.compile(f"[{odd}]") if odd else None
     strict = regex.compile("(?V1)" + WORDS.format(letter=rf"[\p{{L}}--[{odd}]]", number=rf"[\p{{N}}--[{odd}]]", other=rf"(?:[{odd}]|[^\s\p{{L}}\p{{N}}])")) if odd else usual
     special = regex.compile("|".join(map(regex.escape, vocabulary.specials))) if vocabulary.specials else None
 
+    def strange(text: str) -> bool:
+        """Whether a text holds a stranger; the first 256 characters are none."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return stranger is not None and stranger.search(text) is not None
+        return False
+
     def plain(text: str) -> int:
-        words = strict if stranger and not text.isascii() and stranger.search(text) else usual
+        words = strict if strange(text) else usual
         if len(text) < STREAM:
             return sum(map(count, words.findall(text)))
-        return sum(count(m[0]) for m in words.finditer(text))
+        n = 0
+        for m in words.finditer(text):
+            n += count(m[0])
+            if len(counts) > CACHE:
+                counts.clear()
+        return n
 
     def total(text: str) -> int:
-        if special is None:
+        if len(counts) > CACHE:
+            counts.clear()
+        if special is None or not any(s in text for s in vocabulary.specials):
             return plain(text)
         pieces = special.split(text)
         return sum(map(plain, pieces)) + len(pieces) - 1
