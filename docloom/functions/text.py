@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z][A-Za-z0-9_/-]*"
-#: English and German month names by number.
+#: English and German month names by number, and their usual short forms.
 MONTHS = {
     "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
     "januar": 1, "februar": 2, "märz": 3, "mai": 5, "juni": 6, "juli": 7, "oktober": 10, "dezember": 12,
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12, "mär": 3, "mrz": 3, "okt": 10, "dez": 12,
 }
 
 
@@ -117,7 +118,7 @@ def normalize_date(c: Column) -> Column:
     year = F.when(year >= 100, year).when(year >= 70, 1900 + year).otherwise(2000 + year)
     part = lambda p, i: F.regexp_extract(text, p, i).try_cast("int")
     month_of = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    day_first, month_first = r"^(\d{1,2})\.? (\p{L}+) (\d{4})", r"^(\p{L}+) (\d{1,2}),? (\d{4})"
+    day_first, month_first = r"^(\d{1,2})(?:\. ?|[ -])(\p{L}+)\.?[ -](\d{4})\b", r"^(\p{L}+)\.? (\d{1,2}),? (\d{4})\b"
     form = lambda y, m, d: F.format_string("%04d-%02d-%02d", y, m, d)
     named = lambda p, m: month_of[F.lower(F.regexp_extract(text, p, m))]
     return (

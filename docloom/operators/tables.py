@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,58 @@ def merge_lists(rows: DataFrame, by: str, lists: list[str], order: str) -> DataF
 
 def _pick(name: str):
     return lambda x: x[name]
+
+
+def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """The incoming rows whose keys aren't stored, each once (nulls are equal): what has to be appended."""
+    new = incoming.dropDuplicates(keys).alias("n")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"n.`{c}`").eqNullSafe(F.col(f"s.`{c}`"))
+    return new.join(stored.select(*keys).distinct().alias("s"), same, "left_anti")
+
+
+def apply_links(stored: DataFrame, requests: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(links after the requests, refused requests). Links and requests have kind, src and dst; requests an action, create or delete.
+
+    A create adds a row even if there is one; a delete takes all stored rows of its link away, and none that the same requests create. A kind that isn't known, or
+    another action, is refused.
+    """
+    known = F.coalesce(F.col("kind").isin(kinds) & F.col("action").isin("create", "delete"), F.lit(False))
+    names = ["kind", "src", "dst"]
+    kept = stored.join(requests.filter(known & (F.col("action") == "delete")).select(*names).distinct(), names, "left_anti")
+    return kept.unionByName(requests.filter(known & (F.col("action") == "create")).select(*stored.columns)), requests.filter(~known)
+
+
+def document_requests(stored: DataFrame, requests: DataFrame, order: str) -> DataFrame:
+    """What each request (number, ...) to create a document comes to: existing, new version or created.
+
+    stored: (number, analysed), one row a number. A number that is stored and analysed is returned as it is, one that isn't analysed gets a new version; of requests of
+    an unknown number the first creates it and the others are versions of it. A null number is always created.
+    """
+    nth = F.row_number().over(Window.partitionBy("number").orderBy(order))
+    rows = requests.withColumn("nth", nth).join(stored.select("number", "analysed"), "number", "left")
+    action = F.when(F.col("number").isNull(), "created").when(F.col("analysed"), "existing").when(F.col("analysed").isNotNull() | (F.col("nth") > 1), "new version").otherwise("created")
+    return rows.withColumn("action", action).drop("nth", "analysed")
+
+
+def exchange_rows(exchanges: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session, role, content, at, is_new): the user's row of each exchange at its time, the assistant's a millisecond after.
+
+    exchanges: (document, user, client_session, question, response, at). The session is the newest stored one of the document and user (sessions: session, document, user, at), else
+    the client's, else a new one named by a hash of document, user and time.
+    """
+    known = sessions.groupBy("document", "user").agg(F.max_by("session", F.struct("at", "session")).alias("stored"))
+    rows = exchanges.join(known, ["document", "user"], "left")
+    made = F.md5(F.concat_ws("|", F.col("document").cast("string"), F.col("user").cast("string"), F.col("at").cast("string")))
+    rows = rows.withColumn("session", F.coalesce("stored", F.nullif(F.trim("client_session"), F.lit("")), made)).withColumn("is_new", F.col("stored").isNull())
+    one = lambda role, content, ms: F.struct(F.lit(role).alias("role"), F.col(content).alias("content"), F.timestamp_add("MILLISECOND", F.lit(ms), F.col("at")).alias("at"))
+    return rows.select("session", "is_new", F.explode(F.array(one("user", "question", 0), one("assistant", "response", 1))).alias("m")).select("session", "m.role", "m.content", "m.at", "is_new")
+
+
+def merged_metadata(stored: Column, client: Column) -> Column:
+    """A map of stored values under the client's: the client's count unless blank, and names that begin with an underscore are the stored ones'."""
+    own = F.coalesce(client, F.create_map().cast("map<string,string>"))
+    old = F.coalesce(stored, F.create_map().cast("map<string,string>"))
+    fresh = F.map_filter(own, lambda k, v: (F.coalesce(F.trim(v), F.lit("")) != "") & ~k.startswith("_"))
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)

@@ -278,3 +278,68 @@ def section_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("1. Purpose\nto do "), F.col("n_name"), F.lit(" well\nSCOPE\nSCOPE\n2.1 Review\nRecords:"))
     found = T.sections(table(spark, sf_dir, "nation").select("n_nationkey", text.alias("text")), "n_nationkey")
     return found.select("n_nationkey", "title", "label", "level", "start_line", "end_line", "confidence")
+
+
+@query(
+    """WITH stored AS (SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_orderkey % 2 = 0), found AS (SELECT DISTINCT a.o_custkey AS src, l.l_orderkey AS dst FROM orders a JOIN lineitem l ON l.l_orderkey = a.o_orderkey)
+    SELECT src, dst FROM found EXCEPT SELECT src, dst FROM stored"""
+)
+def absent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links found in documents that aren't stored yet, each once."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dst")).join(orders, "dst").select("src", "dst")
+    return B.insert_absent(orders.filter("dst % 2 = 0"), found, ["src", "dst"])
+
+
+@query(
+    """SELECT kind, count(*) AS n, sum(src) AS srcs FROM (
+      SELECT l_returnflag AS kind, l_orderkey AS src, l_linenumber AS dst FROM lineitem WHERE (l_returnflag, l_orderkey, l_linenumber) NOT IN (SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 5 AND l_returnflag IN ('A', 'R'))
+      UNION ALL SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 AND l_returnflag IN ('A', 'R')) GROUP BY kind
+    UNION ALL SELECT 'refused', count(*), sum(l_orderkey) FROM lineitem WHERE (l_quantity < 5 OR l_quantity > 45) AND l_returnflag NOT IN ('A', 'R')"""
+)
+def link_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after requests to create and delete some; requests of an unknown kind are refused."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("dst"), "l_quantity")
+    requests = rows.filter("l_quantity < 5 or l_quantity > 45").withColumn("action", F.when(F.col("l_quantity") < 5, "delete").otherwise("create")).drop("l_quantity")
+    links, refused = B.apply_links(rows.drop("l_quantity"), requests, ["A", "R"])
+    both = links.select("kind", "src").unionByName(refused.select(F.lit("refused").alias("kind"), "src"))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("src").alias("srcs"))
+
+
+@query(
+    """WITH s AS (SELECT c_custkey AS number, c_acctbal > 0 AS analysed FROM customer WHERE c_custkey % 3 <> 0),
+    r AS (SELECT o_orderkey, o_custkey AS number, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders)
+    SELECT o_orderkey, CASE WHEN analysed THEN 'existing' WHEN analysed IS NOT NULL OR nth > 1 THEN 'new version' ELSE 'created' END AS action FROM r LEFT JOIN s USING (number)"""
+)
+def document_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests to create documents come to."""
+    stored = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("number"), (F.col("c_acctbal") > 0).alias("analysed"))
+    requests = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("number"))
+    return B.document_requests(stored, requests, "o_orderkey").select("o_orderkey", "action")
+
+
+@query(
+    """WITH s AS (SELECT user_id, arg_max(event_id, struct_pack(ts := ts, id := event_id)) AS stored FROM events WHERE event_type = 'signup' GROUP BY user_id),
+    x AS (SELECT event_id, CASE WHEN stored IS NOT NULL THEN 's' || stored WHEN event_id % 2 = 0 THEN 'c' || event_id END AS session, stored IS NULL AS is_new, ts FROM events LEFT JOIN s USING (user_id) WHERE event_type = 'view')
+    SELECT event_id, session, 'user' AS role, is_new, ts AS at FROM x WHERE session IS NOT NULL UNION ALL SELECT event_id, session, 'assistant', is_new, ts + INTERVAL 1 MILLISECOND FROM x WHERE session IS NOT NULL"""
+)
+def chat_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two rows of each exchange, in the stored, the client's or a new session (B11); new ones have a hashed name and aren't compared."""
+    events = table(spark, sf_dir, "events").withColumn("document", F.lit(1))
+    sessions = events.filter("event_type = 'signup'").select(F.concat(F.lit("s"), "event_id").alias("session"), "document", F.col("user_id").alias("user"), F.struct("ts", "event_id").alias("at"))
+    client = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("c"), "event_id")).otherwise(" ")
+    asked = events.filter("event_type = 'view'").select("document", F.col("user_id").alias("user"), client.alias("client_session"), F.col("event_id").cast("string").alias("question"), F.col("event_id").cast("string").alias("response"), F.col("ts").alias("at"))
+    rows = B.exchange_rows(asked, sessions).filter(F.col("session").rlike("^[sc][0-9]+$"))
+    return rows.select(F.col("content").cast("long").alias("event_id"), "session", "role", "is_new", "at")
+
+
+@query(
+    """SELECT c_custkey, c_name AS name, CASE WHEN c_nationkey % 2 = 0 THEN 'client' ELSE c_mktsegment END AS segment, c_custkey || '' AS hidden, CASE WHEN c_nationkey % 2 = 0 THEN 'extra' END AS extra FROM customer"""
+)
+def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client's values over stored ones; blank ones and names with an underscore don't count."""
+    even = F.col("c_nationkey") % 2 == 0
+    stored = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"), F.lit("_id"), F.col("c_custkey").cast("string"))
+    client = F.create_map(F.lit("name"), F.lit("  "), F.lit("segment"), F.when(even, "client"), F.lit("_id"), F.lit("forged"), F.lit("extra"), F.when(even, "extra").otherwise(""))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", B.merged_metadata(stored, client).alias("m"))
+    return rows.select("c_custkey", F.col("m")["name"].alias("name"), F.col("m")["segment"].alias("segment"), F.col("m")["_id"].alias("hidden"), F.col("m")["extra"].alias("extra"))

@@ -35,7 +35,7 @@ def test_dates(spark):
 
     from docloom.functions.text import normalize_date
 
-    cases = {"2024-03-05": "2024-03-05", "5.3.2024": "2024-03-05", "05/03/71": "1971-03-05", "5.3.69": "2069-03-05", "3. März 2024": "2024-03-03", "March 3, 2024": "2024-03-03", "31.02.2024": "2024-02-31", "soon": None}
+    cases = {"2024-03-05": "2024-03-05", "5.3.2024": "2024-03-05", "05/03/71": "1971-03-05", "5.3.69": "2069-03-05", "3. März 2024": "2024-03-03", "March 3, 2024": "2024-03-03", "31.02.2024": "2024-02-31", "soon": None, "20-May-2026": "2026-05-20", "3 Sept. 2021": "2021-09-03", "Dec. 24, 2020": "2020-12-24", "1.Okt 2019": "2019-10-01", "7 Foo 2020": None}
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     assert [r[0] for r in df.select(normalize_date(F.col("t"))).collect()] == list(cases.values())
 
