@@ -67,16 +67,33 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8), offsets
 
 
-def term_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The hashes of the terms of some texts laid end to end, and the number of each text's terms; a pass of bounded bytes at a time."""
+def _passes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The folded bytes of some texts laid end to end, and where each begins and the last ends; bounded bytes at a time."""
     data, offsets = _bytes(texts)
     row = 0
+    while row < len(texts):
+        last = min(len(texts), max(row + 1, int(np.searchsorted(offsets, offsets[row] + PASS_BYTES, "right")) - 1))
+        yield _FOLDED[data[offsets[row] : offsets[last]]], offsets[row : last + 1] - offsets[row]
+        row = last
+
+
+def term_counts(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The number of terms of each text, as term_hashes() finds them."""
+    for data, bounds in _passes(texts):
+        solid = data != 0x20
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1]
+        first = bounds[:-1][bounds[:-1] < len(data)]
+        begins[first] = solid[first]  # a text's first byte follows no other
+        yield np.diff(np.concatenate([[0], np.cumsum(begins)])[bounds])
+
+
+def term_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of the terms of some texts laid end to end, and the number of each text's terms."""
     with np.errstate(over="ignore"):
-        while row < len(texts):
-            last = min(len(texts), max(row + 1, int(np.searchsorted(offsets, offsets[row] + PASS_BYTES, "right")) - 1))
-            hashes, first = word_hashes(_FOLDED[data[offsets[row] : offsets[last]]], offsets[row : last + 1] - offsets[row])
+        for data, bounds in _passes(texts):
+            hashes, first = word_hashes(data, bounds)
             yield hashes.view(np.int64), np.diff(first)
-            row = last
 
 
 def _spans(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -173,9 +190,17 @@ def make_shard(number: int, ids: pa.Array, hashes: np.ndarray, counts: np.ndarra
 
 def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int, int]:
     """The written index, the number of documents with a term, and that of all their terms."""
-    n = F.regexp_count(F.col(text_col), F.lit(TERM))
-    totals = documents.select(n.alias("n")).filter("n > 0").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("n").cast("long")).alias("terms")).first()
-    n_docs, n_terms = totals.docs, totals.terms or 0
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = terms = 0
+        for batch in batches:
+            for c in term_counts(batch.column("text")):
+                docs, terms = docs + int(np.count_nonzero(c)), terms + int(c.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([terms])], ["docs", "terms"])
+
+    totals = rows.select("text").mapInArrow(count, "docs long, terms long").agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    n_docs, n_terms = totals.docs or 0, totals.terms or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -194,7 +219,6 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if tokens:
             yield make_shard(number, pa.concat_arrays(ids), np.concatenate(hashes), np.concatenate(counts), n_docs, n_terms)
 
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return written(rows.mapInArrow(run, f"{INDEX}, ids array<{kind}>"), "search-index"), n_docs, n_terms
 
