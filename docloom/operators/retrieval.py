@@ -1,16 +1,16 @@
-"""BM25 over sections for many questions at once: a posting table written once, searched block by block.
+"""BM25 over sections for many questions at once: an index of shards written once, searched shard by shard.
 
-``build`` writes, without a shuffle of texts, shards of one section each: for every term its documents (numbered in the order of their ids), the part of the
-score that doesn't depend on the question, and the greatest such part of each BLOCK documents. Terms are hashed once, here; a search reads no text. The vocabulary
-(section, term, number of documents) is written beside it. ``search`` scores questions exactly, shard by shard: the blocks of the question's
-terms bound the score of every range of documents, ranges are scored from the highest bound down, and the rest is passed over once the next bound
-is below the k-th score. Every document of a section has a score, 0 without a common term, so lists are padded to k.
+``build`` counts the terms of each section, deals its documents, as hashes of their terms, to runs of about RUN_TOKENS tokens and writes each run as
+shards of SHARD_TOKENS: a shard is one row with its terms, their weights, their documents (numbered in the order of their ids) and the part of the
+score that depends on neither. Texts aren't shuffled, and a search reads none. ``search`` scores every document of a shard for a batch of questions:
+terms of many documents by a product of matrices, the others by a count. A task keeps the k best of each question over all shards
+of a run, so what is shuffled afterwards is k rows a question and run, in one packed row; it doesn't grow with the shards.
 
 Weights are Okapi's with each section as a corpus: a term in more than half of the documents gets epsilon times the section's mean. Such a mean may be
-negative, and the score with it; bounds are then 0.
+negative, and the score with it. Every document of a section has a score, 0 without a common term, so lists are padded to k.
 
 Defined cases: null texts are documents without terms; a question without terms gets the padding; a null section is a section of its own, and so is a null id's document
-a document, which comes first of equals. Equal scores go by the greater id. Extra columns aren't read; an empty table gives no rows.
+a document, which comes last of equals. Equal scores go by the greater id. Extra columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,170 +28,209 @@ from docloom.functions.text import space_terms
 from docloom.session import written
 
 SHARD_TOKENS = 1_000_000
-BLOCK = 64
+#: Tokens of a run: what one task searches, shard by shard.
+RUN_TOKENS = 16_000_000
+#: A term in more than one of DENSE documents of a shard is a row of a matrix.
+DENSE = 8
+#: Questions that are scored together, and scores that a task holds at once.
+BLOCK = 512
+BATCH_SCORES = 1_000_000
+#: Documents of a shard that reach a question's k-th score beyond which equal ones are cut before they are sorted (the name is an older one's).
+FIRST_RANGES = 160
 #: Terms of the questions that one search broadcasts.
 QUESTION_TERMS = 500_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
-#: Ranges of the first step of a search; each further step takes twice as many.
-FIRST_RANGES = 64
 
 
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame
-    vocabulary: DataFrame
 
 
 def _terms(text: Column) -> Column:
     return F.transform(space_terms(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t))
 
 
-def _shard(number: int, section: str | None, ids: pa.Array, tokens: np.ndarray, sizes: np.ndarray, mean: float) -> pa.RecordBatch:
-    order = pc.sort_indices(ids, null_placement="at_start").to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    doc = np.repeat(rank, sizes)
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """One row that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _shard(section: str | None, run: int, ids: pa.Array, tokens: np.ndarray, sizes: np.ndarray, mean: float, known: np.ndarray, idf: np.ndarray) -> pa.RecordBatch:
+    """A shard of documents in the order of their ids; known and idf: the section's terms, sorted, and their weights."""
+    doc = np.repeat(np.arange(len(ids)), sizes)
     sort = np.lexsort((doc, tokens))
     term, doc = tokens[sort], doc[sort]
     begin = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])) if len(term) else np.zeros(0, np.int64)
     tf = np.diff(np.concatenate([begin, [len(term)]]))
     term, doc = term[begin], doc[begin]
-    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[order][doc] / mean))
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
     at = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-    df = np.diff(np.concatenate([at, [len(term)]]))
-    n = len(df)
-    lists = lambda values, lengths: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths), [np.sum(lengths)]]).astype(np.int32), pa.array(values))  # noqa: E731  the last row has none
     columns = {
-        "section": pa.array([section] * (n + 1), pa.string()),
-        "shard": pa.array(np.full(n + 1, number)),
-        "term": pa.concat_arrays([pa.array(term[at]), pa.nulls(1, pa.int64())]),
-        "df": pa.array(np.concatenate([df, [0]]).astype(np.int64)),
-        "docs": lists(doc.astype(np.int32), df),
-        "impacts": lists(impact, df),
-        "ids": pa.ListArray.from_arrays(np.concatenate([np.zeros(n + 1), [len(ids)]]).astype(np.int32), ids.take(pa.array(order))),
+        "section": pa.array([section], pa.string()),
+        "run": pa.array([run], pa.int64()),
+        "ids": _lists(ids),
+        "terms": _lists(term[at]),
+        "idf": _lists(idf[np.searchsorted(known, term[at])] if len(at) else np.zeros(0)),
+        "starts": _lists(np.concatenate([at, [len(term)]]).astype(np.int32)),
+        "docs": _lists(doc.astype(np.int32)),
+        "impacts": _lists(impact),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", section_col: str = "source", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> Index:
+def build(docs: DataFrame, id_col: str = "doc_id", section_col: str = "source", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, run_tokens: int = RUN_TOKENS) -> Index:
     """The index of all documents."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(section_col).cast("string").alias("section"), _terms(F.col(text_col)).alias("terms"))
-    means = written(rows.groupBy("section").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("mean")), "sections").withColumnRenamed("section", "of")
-    placed = rows.join(means, F.col("section").eqNullSafe(F.col("of"))).select("section", "mean", "id", "terms")
+    # documents and tokens of a section are counted under the null term
+    named = rows.select("section", F.size("terms").cast("long").alias("n"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("long")))).alias("term"))
+    counts = written(named.groupBy("section", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("tokens")), "terms")
+    heads = counts.filter("term is null").select(F.col("section").alias("of"), F.col("df").alias("n_docs"), (F.col("tokens") / F.col("df")).alias("mean"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / run_tokens)).cast("long").alias("runs"))
+    heads = written(heads, "sections")
+    raw = counts.filter("term is not null").join(heads, F.col("section").eqNullSafe(F.col("of"))).select("of", "runs", "mean", "term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    low = raw.groupBy(F.col("of").alias("section")).agg(F.avg("raw").alias("low"))
+    idf = raw.join(low, F.col("section").eqNullSafe(F.col("of"))).select("section", "runs", "mean", "term", F.when(F.col("raw") < 0, EPSILON * F.col("low")).otherwise(F.col("raw")).alias("idf"))
+    packed = idf.groupBy("section", "runs", "mean", F.pmod("term", F.lit(64))).agg(F.collect_list(F.struct("term", "idf")).alias("v"))
+    kind = rows.schema["id"].dataType.simpleString()
+    weights = packed.select("section", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), F.col("v.term").alias("terms"), F.col("v.idf").alias("idf"), "mean")
+    placed = rows.join(heads, F.col("section").eqNullSafe(F.col("of"))).select("section", F.pmod(F.xxhash64("id"), F.col("runs")).alias("run"), F.lit(1).alias("kind"), "id", "terms", F.lit(None).cast("array<double>").alias("idf"), "mean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: dict = {}
+        key, mean, known, weight = None, 1.0, [], []
+        ids, tokens, sizes, held = [], [], [], 0
+
+        def shard() -> pa.RecordBatch:
+            nonlocal known, weight, ids, tokens, sizes, held
+            terms, idf = np.concatenate([np.zeros(0, np.int64), *known]), np.concatenate([np.zeros(0), *weight])
+            order = np.argsort(terms)
+            known, weight = [terms[order]], [idf[order]]
+            out = _shard(*key, pa.concat_arrays(ids), np.concatenate([np.zeros(0, np.int64), *tokens]), np.concatenate(sizes), mean or 1.0, known[0], weight[0])
+            ids, tokens, sizes, held = [], [], [], 0
+            return out
+
         for batch in batches:
-            sections, means = batch.column("section").to_pylist(), batch.column("mean").to_pylist()
-            sizes = pc.list_value_length(batch.column("terms")).to_numpy()
+            keys = list(zip(batch.column("section").to_pylist(), batch.column("run").to_pylist(), strict=True))
+            kinds, means = batch.column("kind").to_numpy(), batch.column("mean").to_numpy()
+            lengths = pc.list_value_length(batch.column("terms")).to_numpy().astype(np.int64)
             flat = batch.column("terms").flatten().to_numpy()
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            by: dict = {}
-            for i, s in enumerate(sections):
-                by.setdefault(s, []).append(i)
-            for s, mine in by.items():
-                got = held.setdefault(s, [[], [], [], 0, means[mine[0]]])
-                got[0].append(batch.column("id").take(pa.array(mine)))
-                got[1] += [flat[starts[i] : starts[i + 1]] for i in mine]
-                got[2].append(sizes[mine])
-                got[3] += int(sizes[mine].sum())
-                if got[3] >= shard_tokens:
-                    yield _shard(number, s, pa.concat_arrays(got[0]), np.concatenate(got[1]), np.concatenate(got[2]), got[4] or 1.0)
-                    number += 1
-                    del held[s]
-        for s, got in held.items():
-            yield _shard(number, s, pa.concat_arrays(got[0]), np.concatenate([*got[1], np.zeros(0, np.int64)]), np.concatenate(got[2]), got[4] or 1.0)
-            number += 1
-
-    kind = rows.schema["id"].dataType.simpleString()
-    postings = written(placed.mapInArrow(run, f"section string, shard long, term long, df long, docs array<int>, impacts array<double>, ids array<{kind}>"), "postings")
-    counts = postings.filter("term is not null").groupBy("section", "term").agg(F.sum("df").alias("df"))
-    raw = counts.join(means.select("of", "n_docs"), F.col("section").eqNullSafe(F.col("of"))).select("section", "term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    raw = written(raw, "raw-weights")
-    mean = raw.groupBy(F.col("section").alias("of")).agg(F.avg("raw").alias("mean"))
-    idf = raw.join(mean, F.col("section").eqNullSafe(F.col("of"))).select("section", "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, written(idf, "vocabulary"))
-
-
-class Lists:
-    """A shard's lists of the terms that are asked for."""
-
-    def __init__(self, rows: pa.Table) -> None:
-        head = pc.is_null(rows["term"])
-        self.ids = rows.filter(head)["ids"].combine_chunks().flatten()
-        rows = rows.filter(pc.invert(head)).combine_chunks()
-        self.order = np.argsort(rows["term"].to_numpy())
-        self.terms = rows["term"].to_numpy()[self.order]
-        sizes = pc.list_value_length(rows["docs"]).to_numpy()
-        self.docs = rows["docs"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        self.impacts = rows["impacts"].combine_chunks().flatten().to_numpy()
-        blocks = -(-sizes // BLOCK)
-        start = np.concatenate([[0], np.cumsum(sizes)])
-        self.block = np.concatenate([[0], np.cumsum(blocks)])
-        nth = np.arange(self.block[-1]) - np.repeat(self.block[:-1], blocks)
-        self.begin = np.repeat(start[:-1], blocks) + nth * BLOCK
-        self.end = np.minimum(self.begin + BLOCK, np.repeat(start[1:], blocks))
-        self.top = np.maximum.reduceat(self.impacts, self.begin) if len(self.begin) else np.zeros(0)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of the k best."""
-        n = len(self.ids)
-        scores = np.zeros(n)
-        if len(self.terms):
-            at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-            held = self.terms[at] == terms
-            rows, weights = self.order[at[held]], weights[held]
-        if len(self.terms) and len(rows):
-            counts = self.block[rows + 1] - self.block[rows]
-            blocks = np.repeat(self.block[rows], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            weight = np.repeat(weights, counts)
-            first, after = self.docs[self.begin[blocks]], self.docs[self.end[blocks] - 1] + 1
-            edges = np.unique(np.concatenate([first, after, [0, n]]))
-            change = np.zeros(len(edges))
-            gain = np.maximum(weight * self.top[blocks], 0.0)
-            np.add.at(change, np.searchsorted(edges, first), gain)
-            np.subtract.at(change, np.searchsorted(edges, after), gain)
-            bounds = np.cumsum(change)[:-1] + 1e-9  # sums differ in their last digits
-            order = np.argsort(-bounds, kind="stable")
-            looked = np.zeros(n, bool)
-            least, done, step = -np.inf, 0, FIRST_RANGES
-            while done < len(order):
-                now = np.sort(order[done : done + step])
-                now = now[bounds[now] >= least]
-                if not len(now):
-                    break
-                low, high = edges[now], edges[now + 1]
-                near = np.minimum(np.searchsorted(high, first, "right"), len(now) - 1)
-                read = (low[near] < after) & (high[near] > first)
-                sizes = (self.end - self.begin)[blocks[read]]
-                postings = np.repeat(self.begin[blocks[read]], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                docs = self.docs[postings]
-                place = np.minimum(np.searchsorted(high, docs, "right"), len(now) - 1)
-                inside = (low[place] <= docs) & (docs < high[place])
-                np.add.at(scores, docs[inside], (np.repeat(weight[read], sizes) * self.impacts[postings])[inside])
-                spans = np.zeros(n + 1, np.int64)
-                np.add.at(spans, low, 1)
-                np.subtract.at(spans, high, 1)
-                looked |= np.cumsum(spans)[:n] > 0
-                done, step = done + step, step * 2
-                seen = np.round(scores[looked], DIGITS)
-                if len(seen) >= k:
-                    least = float(np.partition(seen, len(seen) - k)[len(seen) - k]) - 10.0**-DIGITS
-            found = np.flatnonzero(looked)
-        else:
-            found = np.arange(n)
-        value = np.round(scores[found], DIGITS) + 0.0
-        best = np.lexsort((-found, -value))[:k]
-        return found[best], value[best]
-
-
-def search(index: Index, questions: DataFrame, k: int = 20, question_terms: int = QUESTION_TERMS) -> DataFrame:
-    """(question, section, id, score, rank): the k best documents of every section for each question.
-
-    questions: (question, text), question a long that tells them apart.
-    """
+            idf = batch.column("idf").flatten().to_numpy()  # null lists have none
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            at = np.concatenate([[0], np.cumsum(np.where(kinds == 0, lengths, 0))])
+            for i, mine in enumerate(keys):
+                if mine != key:
+                    if ids:
+                        yield shard()
+                    key, mean, known, weight = mine, means[i], [], []
+                if kinds[i] == 0:
+                    known.append(flat[starts[i] : starts[i + 1]].copy())
+                    weight.append(idf[at[i] : at[i + 1]].copy())
+                    continue
+                ids.append(batch.column("id").slice(i, 1))
+                tokens.append(flat[starts[i] : starts[i + 1]])
+                sizes.append(lengths[i : i + 1])
+                held += int(lengths[i])
+                if held >= shard_tokens:
+                    yield shard()
+        if ids:
+            yield shard()
+
+    total = heads.agg(F.sum("runs")).first()[0] or 1
+    parts = min(4 * max(total, spark.sparkContext.defaultParallelism), 2000)
+    dealt = placed.unionByName(weights).repartition(parts, "section", "run").sortWithinPartitions(F.asc_nulls_first("section"), "run", "kind", F.asc_nulls_first("id"))
+    schema = f"section string, run long, ids array<{kind}>, terms array<long>, idf array<double>, starts array<int>, docs array<int>, impacts array<double>"
+    return Index(written(dealt.mapInArrow(run, schema), "postings"))
+
+
+class Asked:
+    """A block of questions: their numbers, and for each term of a question its place among the block's terms."""
+
+    def __init__(self, rows: list) -> None:
+        self.numbers = np.array([r.question for r in rows], np.int64)
+        counted = [np.unique(np.array(r.terms, np.int64), return_counts=True) for r in rows]
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in counted])])
+        self.terms, self.place = np.unique(np.concatenate([t for t, _ in counted]), return_inverse=True)
+        self.times = np.concatenate([n for _, n in counted])
+
+
+class Best:
+    """The k best of each question so far, by score, then position."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k = k
+        self.scores, self.places = np.full((questions, k), -np.inf), np.full((questions, k), -1, np.int64)
+
+    def take(self, first: int, scores: np.ndarray, offset: int) -> None:
+        """Scores of the questions from first on, by document; documents are numbered from offset on."""
+        k, n = self.k, scores.shape[1]
+        least = self.scores[first : first + len(scores), k - 1].copy()
+        new = np.isneginf(least)
+        if n > k and new.any():
+            least[new] = np.round(np.partition(scores[new], n - k, axis=1)[:, n - k], DIGITS)
+        reach = scores >= (least - 0.6 * 10.0**-DIGITS)[:, None]  # what rounds to the k-th or more
+        many = np.flatnonzero(reach.sum(axis=1) > max(k, FIRST_RANGES))
+        for q in many:  # equal scores: of those of the k-th, the last k will do
+            value = np.round(scores[q], DIGITS)
+            value = np.where(reach[q], value, -np.inf)
+            kth = np.partition(value, n - k)[n - k]
+            reach[q] = value > kth
+            reach[q, np.flatnonzero(value == kth)[-k:]] = True
+        q, doc = np.nonzero(reach)
+        if not len(q):
+            return
+        some = np.unique(q)
+        value = np.round(scores[q, doc], DIGITS) + 0.0
+        q = np.concatenate([q, np.repeat(some, k)]) + first
+        value = np.concatenate([value, self.scores[some + first].ravel()])
+        place = np.concatenate([doc + offset, self.places[some + first].ravel()])
+        order = np.lexsort((-place, -value, q))
+        q, value, place = q[order], value[order], place[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        keep = nth < k
+        self.scores[q[keep], nth[keep]] = value[keep]
+        self.places[q[keep], nth[keep]] = place[keep]
+
+
+def _score(shard: dict, asked: Asked, best: Best, offset: int) -> int:
+    """Scores a shard's documents for all questions; their number."""
+    n, terms, starts, docs, impacts = len(shard["ids"]), shard["terms"], shard["starts"].astype(np.int64), shard["docs"], shard["impacts"]
+    row = np.searchsorted(terms, asked.terms)
+    held = np.zeros(len(asked.terms), bool)
+    held[row < len(terms)] = terms[row[row < len(terms)]] == asked.terms[row < len(terms)]
+    size = np.zeros(len(asked.terms), np.int64)
+    size[held] = starts[row[held] + 1] - starts[row[held]]
+    common = np.flatnonzero(size > n / DENSE)
+    matrix = np.zeros((len(common), n))
+    for i, t in enumerate(common):
+        a, b = starts[row[t]], starts[row[t] + 1]
+        matrix[i, docs[a:b]] = impacts[a:b]
+    nth = np.full(len(asked.terms), -1)
+    nth[common] = np.arange(len(common))
+    weights = np.zeros(len(asked.terms))
+    weights[held] = shard["idf"][row[held]]
+    step = max(1, min(BLOCK, BATCH_SCORES // max(n, 1)))
+    for first in range(0, len(asked.numbers), step):
+        after = min(first + step, len(asked.numbers))
+        mine = slice(asked.starts[first], asked.starts[after])
+        t = asked.place[mine]
+        q = np.repeat(np.arange(after - first), np.diff(asked.starts[first : after + 1]))
+        weight = asked.times[mine] * weights[t]
+        rare = held[t] & (nth[t] < 0)
+        counts = size[t[rare]]
+        at = np.repeat(starts[row[t[rare]]], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        scores = np.bincount(np.repeat(q[rare], counts) * n + docs[at], np.repeat(weight[rare], counts) * impacts[at], (after - first) * n).astype(np.float64).reshape(-1, n)
+        if len(common):
+            share = np.zeros((after - first, len(common)))
+            often = nth[t] >= 0
+            share[q[often], nth[t[often]]] = weight[often]
+            scores += share @ matrix
+        best.take(first, scores, offset)
+    return n
+
+
+def by_run(index: Index, questions: DataFrame, k: int = 20, question_terms: int = QUESTION_TERMS) -> DataFrame | None:
+    """(question, section, ids, scores): the k best documents of every run for each question, best first; None without questions."""
     spark = questions.sparkSession
     asked = written(questions.select("question", _terms(F.col("text")).alias("terms")), "questions")
     total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
@@ -202,33 +240,50 @@ def search(index: Index, questions: DataFrame, k: int = 20, question_terms: int
         mine = asked.filter(F.pmod(F.xxhash64("question"), F.lit(blocks)) == b).collect()  # about question_terms terms
         if not mine:
             continue
-        counted = [(r.question, *np.unique(np.array(r.terms, np.int64), return_counts=True)) for r in mine]
-        shared = spark.sparkContext.broadcast(counted)
-        terms = spark.createDataFrame([(int(t),) for t in np.unique(np.concatenate([c[1] for c in counted]))], "term long")
-        lists = index.postings.join(F.broadcast(terms), "term", "left_semi")  # question_terms rows at most
-        weighted = lists.join(index.vocabulary.withColumnRenamed("section", "of"), (lists["term"] == index.vocabulary["term"]) & F.col("section").eqNullSafe(F.col("of"))).select(lists["term"], "section", "shard", "docs", "impacts", "ids", "idf")
-        heads = index.postings.filter("term is null").select("term", "section", "shard", "docs", "impacts", "ids", F.lit(0.0).alias("idf"))
-
-        def run(table: pa.Table) -> pa.Table:
-            lists = Lists(table)
-            named = table.filter(pc.is_valid(table["term"])).combine_chunks()
-            idf = named["idf"].to_numpy()[np.argsort(named["term"].to_numpy())]
-            question, doc, score = [], [], []
-            for number, terms, n in shared.value:
-                at = np.minimum(np.searchsorted(lists.terms, terms), max(len(lists.terms) - 1, 0))
-                held = lists.terms[at] == terms if len(lists.terms) else np.zeros(len(terms), bool)
-                found, value = lists.search(terms[held], n[held] * idf[at[held]], k)
-                question.append(np.full(len(found), number, np.int64))
-                doc.append(found)
-                score.append(value)
-            section = table["section"][0].as_py()
-            doc = np.concatenate(doc)
-            return pa.table({"question": np.concatenate(question), "section": pa.array([section] * len(doc), pa.string()), "id": lists.ids.take(pa.array(doc)), "score": np.concatenate(score)})
-
-        found = weighted.unionByName(heads).groupBy("shard").applyInArrow(run, f"question long, section string, id {kind}, score double")
-        part = found.withColumn("rank", F.row_number().over(Window.partitionBy("question", "section").orderBy(F.desc("score"), F.desc_nulls_last("id")))).filter(F.col("rank") <= k)
+        shared = spark.sparkContext.broadcast(Asked(mine))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, key, ids, best, offset = shared.value, None, [], None, 0
+
+            def found() -> Iterator[pa.RecordBatch]:
+                every, slices = pa.concat_arrays(ids), max(1, 200_000 // k)
+                for first in range(0, len(asked.numbers), slices):
+                    places, scores = best.places[first : first + slices], best.scores[first : first + slices]
+                    sizes = (places >= 0).sum(axis=1)
+                    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                    columns = [pa.array(asked.numbers[first : first + slices]), pa.array([key[0]] * len(sizes), pa.string()), pa.ListArray.from_arrays(at, every.take(pa.array(places[places >= 0]))), pa.ListArray.from_arrays(at, pa.array(scores[places >= 0]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["question", "section", "ids", "scores"])
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    one = (batch.column("section")[i].as_py(), batch.column("run")[i].as_py())
+                    if one != key:
+                        if ids:
+                            yield from found()
+                        key, ids, best, offset = one, [], Best(len(asked.numbers), k), 0
+                    shard = {c: batch.column(c)[i].values.to_numpy() for c in ("terms", "idf", "starts", "docs", "impacts")}
+                    shard["ids"] = batch.column("ids")[i].values
+                    ids.append(shard["ids"])
+                    offset += _score(shard, asked, best, offset)
+            if ids:
+                yield from found()
+
+        part = index.postings.mapInArrow(run, f"question long, section string, ids array<{kind}>, scores array<double>")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"question long, section string, id {kind}, score double, rank int")
+    return out
+
+
+def search(index: Index, questions: DataFrame, k: int = 20, question_terms: int = QUESTION_TERMS) -> DataFrame:
+    """(question, section, id, score, rank): the k best documents of every section for each question.
+
+    questions: (question, text), question a long that tells them apart.
+    """
+    out = by_run(index, questions, k, question_terms)
+    if out is None:
+        kind = index.postings.schema["ids"].dataType.elementType.simpleString()
+        return questions.sparkSession.createDataFrame([], f"question long, section string, id {kind}, score double, rank int")
+    rows = out.repartition("question", "section").select("question", "section", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score"))).alias("x")).select("question", "section", "x.*")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("question", "section").orderBy(F.desc("score"), F.desc_nulls_last("id")))).filter(F.col("rank") <= k)
 
 
 def fused(lexical: DataFrame, dense: DataFrame | None = None, weight: float = 0.7, keep: int = 10) -> DataFrame:

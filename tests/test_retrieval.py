@@ -78,3 +78,18 @@ def test_empty_tables(spark):
     assert R.search(R.build(docs), asked).count() == 0
     full = R.build(spark.createDataFrame([(1, "s", "a b")], "doc_id long, source string, text string"))
     assert R.search(full, asked.limit(0)).count() == 0 and R.search(full, asked).select(F.sum("rank")).first()[0] == 1
+
+
+@pytest.mark.parametrize("run", [10_000, 300])
+def test_what_is_handed_on_grows_with_runs_not_with_shards(spark, run):
+    docs = [(i, "ab"[i % 2], f"w{i % 7} w{i % 11} common") for i in range(400)]
+    asked = [(q, f"w{q} common") for q in range(6)] + [(9, "")]
+    index = R.build(spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(5), shard_tokens=30, run_tokens=run)
+    runs = index.postings.select("section", "run").distinct().count()
+    assert index.postings.count() >= 40 and runs == (2 if run == 10_000 else 4)
+    questions = spark.createDataFrame(asked, "question long, text string")
+    handed = R.by_run(index, questions, 5).collect()
+    assert len(handed) == 7 * runs and all(len(r.ids) == 5 for r in handed)
+    got = sorted((r.question, r.section, r.id, r.score, r["rank"]) for r in R.search(index, questions, 5).collect())
+    want = sorted(plain(docs, asked, 5))
+    assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
