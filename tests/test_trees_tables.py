@@ -78,3 +78,32 @@ def test_deep_trees_end_no_task(spark):
     for _ in range(5000):
         nested = {"type": "list", "content": [nested]}
     assert sum(1 for _ in T.walk(nested)) == 5001 and T.pruned(nested) is nested
+
+
+def test_context_carries_roots_as_bits(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from docloom.operators import graph as G
+
+    r = random.Random(8)
+    pairs = lambda n: [(r.randrange(0, 90), r.randrange(0, 90)) for _ in range(n)]
+    names = ["sop_dev", "dev_capa", "capa_audit", "audit_dec", "dec_sop"]
+    edges = {n: pairs(120) + [(1, 1), (1, 1), (None, 4), (4, None)] for n in names}
+    roots = [(n, n) for n in range(-1, 80)] + [(None, 3)]
+    step = lambda ids, n, back=False: {(d, s)[back] for s, d in edges[n] for i in ids if i is not None and i == (s, d)[back]}
+    want = set()
+    for root, i in roots:
+        dev0, dec0 = step({i}, "sop_dev"), step({i}, "dec_sop", True)
+        capa0 = step(dev0, "dev_capa")
+        aud = step(dec0, "audit_dec", True) | step(capa0, "capa_audit")
+        capa = capa0 | step(aud, "capa_audit", True)
+        dev, dec = dev0 | step(capa, "dev_capa", True), dec0 | step(aud, "audit_dec")
+        sops = step(dec, "dec_sop") - {i}
+        want |= {(root, t, x) for t, xs in (("deviation", dev), ("capa", capa), ("audit", aud), ("decision", dec), ("sop", sops)) for x in xs}
+    tables = {n: spark.createDataFrame(e, "src long, dst long") for n, e in edges.items()}
+    got = [tuple(x) for x in G.quality_context(spark.createDataFrame(roots, "root long, id long"), *[tables[n] for n in names]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    merged = G._merged(spark.createDataFrame([(i % 7, 0, 1 << (i % 9)) for i in range(126)], "id long, word long, bits long"))
+    assert merged.count() == 7 and merged.agg(F.min("bits")).first()[0] == 511
