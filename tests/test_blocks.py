@@ -170,3 +170,14 @@ def test_tables_are_padded_and_their_headers_found(spark):
     df = spark.createDataFrame([(t,) for t in texts], "l array<string>")
     assert [r[0] for r in df.select(L.looks_like_table(F.col("l"))).collect()] == [True, False, False, False, False]
     assert df.select(L.table_of(F.col("l"))).first()[0] == [["a", "b"], ["c", "d"]]
+
+
+def test_a_long_table_is_padded_in_linear_time(spark):
+    import time
+
+    lines = lambda n: spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(i.cast("string"), F.lit("\tb"), F.when(i % 2 == 0, "\tc").otherwise(""))).alias("l"))
+    r = lines(5).select(L.table_of(F.col("l"))).first()[0]
+    assert r == [["1", "b", ""], ["2", "b", "c"], ["3", "b", ""], ["4", "b", "c"], ["5", "b", ""]]
+    start = time.time()
+    got = lines(60_000).select(L.table_of(F.col("l")).alias("t")).select(F.size("t"), F.size(F.filter("t", lambda r: F.size(r) == 3))).first()
+    assert got[:] == (60_000, 60_000) and time.time() - start < 30
