@@ -10,10 +10,12 @@ repeat. Extra columns aren't read; a very long text is one row's work.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import phrases as P
@@ -225,21 +227,37 @@ def focus_areas(gaps: Column, most: int = 5) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda x: x["m"])
 
 
+#: Documents whose phrases a task holds at once.
+PHRASE_ROWS = 64
+
+
 def key_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 60) -> DataFrame:
     """(row, id, phrase, n, rank): each document's phrases of two and three words that it holds twice or more, the most frequent first, of equals the one that stands first, pairs before triples.
 
-    Phrases are counted by (row, phrase) before a document's own are ranked.
+    A document's phrases are counted in its own row, so what leaves a task is at most most rows a document; nothing is shuffled.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), filtered_words(F.col(text_col)).alias("w"))
-
-    def run(n: int) -> Column:
-        last = lambda w: F.greatest(F.size(w) - n + 1, F.lit(0))
-        return P.let(F.col("w"), lambda w: F.transform(F.slice(w, 1, last(w)), lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.concat_ws(" ", x, *[w[i + k] for k in range(1, n)]).alias("phrase"))))
-
-    runs = rows.select("row", "id", F.explode(F.concat(run(2), run(3))).alias("p")).select("row", "id", "p.*")
-    counted = runs.groupBy("row", "id", "n", "phrase").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("at")).filter("count > 1")
-    order = Window.partitionBy("row").orderBy(F.desc("count"), "n", "at")
-    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("row", "id", "phrase", "count", "rank")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, PHRASE_ROWS):
+                part = batch.slice(first, PHRASE_ROWS)
+                at, phrases, counts, ranks = [], [], [], []
+                for i, w in enumerate(part.column("w")):
+                    words = w.as_py()
+                    counted = Counter(map(" ".join, zip(words, words[1:], strict=False)))  # pairs, then triples, each where it first stands
+                    counted.update(map(" ".join, zip(words, words[1:], words[2:], strict=False)))
+                    best = sorted(((p, n) for p, n in counted.items() if n > 1), key=lambda x: -x[1])[:most]
+                    at += [i] * len(best)
+                    phrases += [p for p, _ in best]
+                    counts += [n for _, n in best]
+                    ranks += range(1, len(best) + 1)
+                at = pa.array(at, pa.int64())
+                columns = [part.column("row").take(at), part.column("id").take(at), pa.array(phrases, pa.string()), pa.array(counts, pa.int64()), pa.array(ranks, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "phrase", "count", "rank"])
+
+    return rows.mapInArrow(run, f"row long, id {kind}, phrase string, count long, rank int")
 
 
 # What a document of a kind must hold, what in a text calls for what else, and how grave each gap is.

@@ -96,3 +96,11 @@ def test_gaps_rule_by_rule(spark):
     assert codes[3] == [] and codes[4] == ["approval_flow:submit", "approval_flow", "approval_flow:submit", "capa_flow:close", "review_flow"]
     assert [g.group for g in got[4].g] == ["missing_approvals", "missing_timing", "workflow_gaps", "workflow_gaps", "workflow_gaps"] and len(codes[5]) == 12
     assert got[1].s.score == round(9 * (0.8 * 3 + 0.82 + 0.7) + 5 * (0.68 * 3 + 0.65 + 0.7 + 0.7 + 0.7)) and got[1].s.level == "medium" and got[1].s.focus[0] == "approval_authority"
+
+
+def test_key_phrases_are_ranked_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "ab1 cd1 ef1 ab1 cd1 ef1 zz9"), (1, "gh1 ij1 gh1 ij1"), (2, None), (3, "only once here")], "doc_id long, text string")
+    found = E.key_phrases(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.id, r["rank"], r.phrase, r["count"]) for r in found.collect())
+    assert got == [(1, 1, "ab1 cd1", 2), (1, 1, "gh1 ij1", 2), (1, 2, "cd1 ef1", 2), (1, 3, "ab1 cd1 ef1", 2)]
