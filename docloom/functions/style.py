@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,8 +149,10 @@ def definitions(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
 
     def of(pattern: str) -> Column:
-        term, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
-        return F.zip_with(term, value, lambda t, v: F.struct(normalize_space(t).alias("term"), normalize_space(v).alias("definition")))
+        # the text is searched once; the parts are then read from what was found, whose end is the end of the match
+        whole = re.sub(r"\(\?i(m?)\)", "(?i)", pattern, count=1).removesuffix("$") + r"\z"
+        part = lambda m, g: normalize_space(F.regexp_extract(m, whole, g))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(part(m, 1).alias("term"), part(m, 2).alias("definition")))
 
     good = lambda x: (_words(x["term"]) <= 7) & (_words(x["definition"]) >= 3) & ~F.lower(x["term"]).isin(NO_TERMS)
     found = F.filter(F.flatten(F.array(*map(of, DEFINITIONS))), good)
