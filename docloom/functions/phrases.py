@@ -58,7 +58,9 @@ def layers(phrases: Iterable[str]) -> list[list[str]]:
 def found(lower_text: Column, phrases: Iterable[str], whole: bool = True, endings: str = "") -> Column:
     """The phrases that a lower-case text holds, each as often as it stands there; as whole words, or anywhere. endings: a pattern that may follow a phrase."""
     before, after = (f"(?<!{WORD})", f"{endings}(?!{WORD})") if whole else ("", endings)
-    parts = [F.regexp_extract_all(lower_text, F.lit(f"{before}(?=({_tree(layer)}){after})"), F.lit(1)) for layer in layers(phrases)]
+    # a place is looked at only where a first letter stands
+    first = lambda layer: "(?=[" + "".join(sorted({re.escape(p[0]) for p in layer})) + "])"
+    parts = [F.regexp_extract_all(lower_text, F.lit(f"{first(layer)}{before}(?=({_tree(layer)}){after})"), F.lit(1)) for layer in layers(phrases)]
     return F.flatten(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 

@@ -25,7 +25,8 @@ BULLET_LINE = r"^\s*(?:[-*•]|[a-zA-Z]\)|\d+[.)])\s+"
 NUMBERED_LINE = r"^\s*\d+(?:\.\d+)*[.)]?\s+"
 FORM_LINE = r"^\s*[A-Za-z][A-Za-z ]{2,45}:\s*.+"
 PASSIVE = r"(?iU)\b(?:is|are|was|were|be|been|being)\s+\w+(?:ed|en)\b"
-NOMINAL = r"(?iU)\b\w+(?:tion|ment|ance|ence|ity|ness)\b"
+#: A word's end is looked at once, from behind, instead of after each of its letters.
+NOMINAL = r"(?iU)\b\w++(?:(?<=\wtion)|(?<=\wment)|(?<=\wance)|(?<=\wence)|(?<=\wity)|(?<=\wness))"
 CONTRACTION = r"(?iU)\b\w+'(?:t|re|ve|ll|d|m)\b"
 ACRONYM = r"(?U)\b[A-Z]{2,}(?:/[A-Z]{2,})?\b"
 TRACE_ID = r"(?i)\b(?:SOP|WI|POL|FORM|FRM|DEV|CAPA|AUD|NCR|CC|CR|DEC|TRN|VAL|QMS|IT|SEC)-?[A-Z0-9]{2,}[-/]?\d{2,6}\b"
@@ -57,13 +58,13 @@ def signals(text: Column) -> Column:
     """Counts of lines, sentences and words of each kind."""
     lines = F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"\s+$", ""))
     count = lambda p: F.regexp_count(text, F.lit(p))
-    modal = lambda terms: F.size(P.found(F.lower(text), terms))
     starts = "(?iU)^(?:" + "|".join(ACTIONS) + r")\b"
 
-    def counted(ls: Column, ss: Column) -> Column:
+    def counted(ls: Column, ss: Column, modals: Column) -> Column:
         like = lambda p: F.size(F.filter(ls, lambda x: x.rlike(p)))
         full = F.filter(ls, lambda x: F.trim(x) != "")
-        sizes = F.transform(ss, lambda s: _words(s))
+        sizes = F.transform(ss, lambda s: F.size(F.split(s, " ")))  # sentences have single blanks
+        modal = lambda terms: F.size(F.filter(modals, lambda m: m.isin(terms)))
         total = lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + x)
         return F.struct(
             F.size(ls).alias("lines"), like(BULLET_LINE).alias("bullets"), like(NUMBERED_LINE).alias("numbered"),
@@ -75,7 +76,9 @@ def signals(text: Column) -> Column:
             *[modal(terms).alias(name) for name, terms in MODALS.items()],
         )
 
-    return P.let(lines, lambda ls: P.let(P.sentence_list(text), lambda ss: counted(ls, ss)))
+    # the words of all kinds in one search
+    modals = P.found(F.lower(text), [t for terms in MODALS.values() for t in terms])
+    return P.let(lines, lambda ls: P.let(P.sentence_list(text), lambda ss: P.let(modals, lambda ms: counted(ls, ss, ms))))
 
 
 def style(text: Column, n_sections: Column) -> Column:
