@@ -100,16 +100,15 @@ def roles(docs: DataFrame, banks: dict[str, Role], verbs: list[str], id_col: str
     terms = [t.lower() for r in banks.values() for t in r.terms]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (F.col(domain_col) if domain_col else F.lit(None).cast("string")).alias("domain"))
-    rows = rows.withColumn("hits", F.array_distinct(P.found(F.lower("text"), terms))).filter(F.size("hits") > 0)
+    rows = rows.withColumn("hits", F.array_distinct(P.found(F.lower("text"), terms)))
 
     def marked(c: Column) -> Column:
-        low = lambda s: F.lower(s)
-        return F.transform(
-            P.sentence_list(c), lambda s: F.struct(s.alias("s"), low(s).alias("low"), P.found(low(s), terms).alias("terms"), P.found(low(s), verbs, endings=VERB_ENDINGS).alias("verbs"), P.any_of(low(s), verbs).alias("acts"))
-        )
+        made = lambda s, low: F.struct(s.alias("s"), low.alias("low"), P.found(low, terms).alias("terms"), P.found(low, verbs, endings=VERB_ENDINGS).alias("verbs"), P.any_of(low, verbs).alias("acts"))
+        return F.transform(P.sentence_list(c), lambda s: P.let(F.lower(s), lambda low: made(s, low)))
 
     scope = P.scoped_text(F.col("text"), headings(F.col("text")), RESPONSIBILITY_LABELS, RESPONSIBILITY_WORDS)
-    rows = rows.withColumn("z", P.let(marked(F.col("text")), lambda s: F.struct(s.alias("all"), P.let(scope, lambda t: F.when(t.isNull(), s).otherwise(marked(t))).alias("scoped"))))
+    # a filter on hits would be pushed below them and find them twice
+    rows = rows.withColumn("z", F.when(F.size("hits") > 0, P.let(marked(F.col("text")), lambda s: F.struct(s.alias("all"), P.let(scope, lambda t: F.when(t.isNull(), s).otherwise(marked(t))).alias("scoped")))))
     bank = F.array(*[F.struct(F.lit(n).alias("role"), _strings(t.lower() for t in r.terms).alias("terms"), _strings(r.domains).alias("domains"), F.lit(r.ambiguous).alias("ambiguous")) for n, r in banks.items()])
 
     def one(r: Column, z: Column) -> Column:
