@@ -29,14 +29,9 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of two and of three words found twice or more."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) > 2)
-    rows = table(spark, sf_dir, "documents").select(words.alias("w"))
-    tail = lambda k: F.slice("w", k, F.greatest(F.size("w") - k + 1, F.lit(0)))
-    pairs = F.zip_with("w", tail(2), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    threes = F.zip_with(pairs, tail(3), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    sized = lambda phrases, k: F.transform(F.array_compact(phrases), lambda p: F.struct(p.alias("phrase"), F.lit(k).alias("words")))
-    both = F.concat(sized(pairs, 2), sized(threes, 3))
-    return rows.select(F.explode(both).alias("g")).groupBy("g.phrase", "g.words").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    from docloom.operators.ngrams import phrase_counts
+
+    return phrase_counts(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT doc_id, CAST(ceil(len({_TERMS}) / 0.75) AS BIGINT) AS tokens FROM documents")
