@@ -87,3 +87,32 @@ def test_texts_are_merged_and_tables_stay(spark):
     assert kinds == [["table", "heading", "paragraph", "paragraph"], ["paragraph", "table", "heading", "paragraph"], ["paragraph"], "{broken", None, ["table", "heading"], ["paragraph"]]
     pairs = [(doc, doc), (doc, json.dumps({"type": "doc", "content": [leaf("x")]})), (json.dumps({"content": [leaf("a")] * 6}), json.dumps({"content": [leaf("a")] * 2})), (json.dumps({"content": [{"content": [leaf("a")] * 10}]}), json.dumps({"content": [{"content": [leaf("a")] * 3}]}))]
     assert [r[0] for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(J.structure_faults("a", "b")).collect()] == [None, "tables", "blocks", "texts"]
+
+
+def test_lines_around_an_id_are_read_in_the_row(spark):
+    import random
+    import re
+
+    draw = random.Random(3)
+    texts = ["\n".join(draw.choice(["x", "", "see N1", "Version: 2", "Rev 3.1", "N1 Stand 7", "other"]) for _ in range(draw.randint(0, 14))) for _ in range(120)]
+
+    def plain(text):
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            found = re.search(M.NEAR, "\n".join(lines[max(0, i - 4) : i + 6])) if "N1" in line else None
+            if found:
+                return found.group(1)
+
+    df = spark.createDataFrame([(i, "N1", t) for i, t in enumerate(texts)] + [(500, "", "a\nVersion: 2"), (501, None, "Version: 2"), (502, "N1", None)], "doc_id int, n string, text string")
+    found = M.around(df, "n", M.NEAR)
+    assert {r.id: r.found for r in found.collect()} == {i: plain(t) for i, t in enumerate(texts) if plain(t)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Generate" not in plan
+
+
+def test_only_texts_with_two_bars_in_a_line_are_read_for_tables(spark):
+    head = "SOP-QA-001\n|Change|Version|\n|---|---|\n"
+    rows = [(1, head + "|a|V3|"), (2, "SOP-QA-002\na | b\nc | V4"), (3, "SOP-QA-003\rChange\x0b|Change|Version|\x0b|a|V5|"), (4, None), (5, "Version: 2\nversion: 3\nRev: 9\nTitle: a | b | c")]
+    got = M.metadata(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert {r.id: (r.version, r.version_from) for r in got.collect()} == {1: ("V3", "table"), 2: (None, None), 3: ("V5", "table"), 4: (None, None), 5: ("2", "label")}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
