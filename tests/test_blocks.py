@@ -181,3 +181,16 @@ def test_a_long_table_is_padded_in_linear_time(spark):
     start = time.time()
     got = lines(60_000).select(L.table_of(F.col("l")).alias("t")).select(F.size("t"), F.size(F.filter("t", lambda r: F.size(r) == 3))).first()
     assert got[:] == (60_000, 60_000) and time.time() - start < 30
+
+
+def test_markdown_stays_in_its_row(spark):
+    draw = random.Random(5)
+    texts = [None, "", "\n", "---", *["\n".join(draw.choice(PIECES) for _ in range(draw.randint(1, 16))) for _ in range(300)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(2)
+    blocks = B.blocks_of_markdown(df)
+    got = {k[1]: v for k, v in found(blocks).items()}
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == plain_markdown(t or ""), repr(t)
+    assert B.blocks_of_markdown(df.filter("doc_id < 0")).collect() == []
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
