@@ -1,8 +1,9 @@
 """BM25 over sections for many questions at once: an index of shards written once, searched shard by shard.
 
 ``build`` counts the terms of each section, deals its documents, as hashes of their terms, to runs of about RUN_TOKENS tokens and writes each run as
-shards of SHARD_TOKENS: a shard is one row with its terms, their weights, their documents (numbered in the order of their ids) and the part of the
-score that depends on neither. Texts aren't shuffled, and a search reads none. ``search`` scores every document of a shard for a batch of questions:
+shards of SHARD_TOKENS: a shard is one row with its terms, their weights, their documents (numbered in the order of their ids) and their numbers in
+these, each as the bytes of a numpy array, in a row group of its own, so that Spark's reader and writer hold a shard at a time and not a file of them.
+Texts aren't shuffled, and a search reads none. ``search`` scores every document of a shard for a batch of questions:
 terms of many documents by a product of matrices, the others by a count. A task keeps the k best of each question over all shards
 of a run, so what is shuffled afterwards is k rows a question and run, in one packed row; it doesn't grow with the shards.
 
@@ -28,19 +29,28 @@ from docloom.functions.text import space_terms
 from docloom.session import written
 
 SHARD_TOKENS = 1_000_000
+#: Documents of a shard and of a run at most, for those with few tokens or none.
+SHARD_DOCS = 100_000
+RUN_DOCS = 2_000_000
 #: Tokens of a run: what one task searches, shard by shard.
 RUN_TOKENS = 16_000_000
 #: A term in more than one of DENSE documents of a shard is a row of a matrix.
 DENSE = 8
 #: Questions that are scored together, and scores that a task holds at once.
-BLOCK = 512
+BLOCK = 256
 BATCH_SCORES = 1_000_000
+#: Rows of a count that a task holds at once: terms of questions times their documents.
+BATCH_HITS = 2_000_000
 #: Documents of a shard that reach a question's k-th score beyond which equal ones are cut before they are sorted (the name is an older one's).
 FIRST_RANGES = 160
 #: Terms of the questions that one search broadcasts.
 QUESTION_TERMS = 500_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
+#: A shard's columns of bytes.
+BYTES = {"terms": np.int64, "idf": np.float64, "starts": np.int32, "docs": np.int32, "tf": np.int32, "sizes": np.int32}
+#: A shard is some 5 MB. Parquet's writer would look at its size only after 100 rows, and its reader decodes up to 4,096 rows of a row group at once.
+ROW_GROUPS = {"compression": "zstd", "parquet.block.size": "4194304", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 
 
 @dataclass(frozen=True)
@@ -52,11 +62,6 @@ def _terms(text: Column) -> Column:
     return F.transform(space_terms(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t))
 
 
-def _lists(values: np.ndarray) -> pa.ListArray:
-    """One row that holds all values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
-
-
 def _shard(section: str | None, run: int, ids: pa.Array, tokens: np.ndarray, sizes: np.ndarray, mean: float, known: np.ndarray, idf: np.ndarray) -> pa.RecordBatch:
     """A shard of documents in the order of their ids; known and idf: the section's terms, sorted, and their weights."""
     doc = np.repeat(np.arange(len(ids)), sizes)
@@ -65,18 +70,15 @@ def _shard(section: str | None, run: int, ids: pa.Array, tokens: np.ndarray, siz
     begin = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])) if len(term) else np.zeros(0, np.int64)
     tf = np.diff(np.concatenate([begin, [len(term)]]))
     term, doc = term[begin], doc[begin]
-    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
     at = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
     columns = {
         "section": pa.array([section], pa.string()),
         "run": pa.array([run], pa.int64()),
-        "ids": _lists(ids),
-        "terms": _lists(term[at]),
-        "idf": _lists(idf[np.searchsorted(known, term[at])] if len(at) else np.zeros(0)),
-        "starts": _lists(np.concatenate([at, [len(term)]]).astype(np.int32)),
-        "docs": _lists(doc.astype(np.int32)),
-        "impacts": _lists(impact),
+        "mean": pa.array([mean], pa.float64()),
+        "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
     }
+    values = {"terms": term[at], "idf": idf[np.searchsorted(known, term[at])] if len(at) else np.zeros(0), "starts": np.concatenate([at, [len(term)]]), "docs": doc, "tf": tf, "sizes": sizes}
+    columns |= {c: pa.array([values[c].astype(kind).tobytes()], pa.binary()) for c, kind in BYTES.items()}
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
@@ -87,7 +89,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", section_col: str = "source",
     # documents and tokens of a section are counted under the null term
     named = rows.select("section", F.size("terms").cast("long").alias("n"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("long")))).alias("term"))
     counts = written(named.groupBy("section", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("tokens")), "terms")
-    heads = counts.filter("term is null").select(F.col("section").alias("of"), F.col("df").alias("n_docs"), (F.col("tokens") / F.col("df")).alias("mean"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / run_tokens)).cast("long").alias("runs"))
+    heads = counts.filter("term is null").select(F.col("section").alias("of"), F.col("df").alias("n_docs"), (F.col("tokens") / F.col("df")).alias("mean"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / run_tokens), F.ceil(F.col("df") / RUN_DOCS)).cast("long").alias("runs"))
     heads = written(heads, "sections")
     raw = counts.filter("term is not null").join(heads, F.col("section").eqNullSafe(F.col("of"))).select("of", "runs", "mean", "term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     low = raw.groupBy(F.col("of").alias("section")).agg(F.avg("raw").alias("low"))
@@ -131,7 +133,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", section_col: str = "source",
                 tokens.append(flat[starts[i] : starts[i + 1]])
                 sizes.append(lengths[i : i + 1])
                 held += int(lengths[i])
-                if held >= shard_tokens:
+                if held >= shard_tokens or len(ids) >= SHARD_DOCS:
                     yield shard()
         if ids:
             yield shard()
@@ -139,8 +141,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", section_col: str = "source",
     total = heads.agg(F.sum("runs")).first()[0] or 1
     parts = min(4 * max(total, spark.sparkContext.defaultParallelism), 2000)
     dealt = placed.unionByName(weights).repartition(parts, "section", "run").sortWithinPartitions(F.asc_nulls_first("section"), "run", "kind", F.asc_nulls_first("id"))
-    schema = f"section string, run long, ids array<{kind}>, terms array<long>, idf array<double>, starts array<int>, docs array<int>, impacts array<double>"
-    return Index(written(dealt.mapInArrow(run, schema), "postings"))
+    schema = f"section string, run long, mean double, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in BYTES)
+    return Index(written(dealt.mapInArrow(run, schema), "postings", **ROW_GROUPS))
 
 
 class Asked:
@@ -169,18 +171,20 @@ class Best:
         if n > k and new.any():
             least[new] = np.round(np.partition(scores[new], n - k, axis=1)[:, n - k], DIGITS)
         reach = scores >= (least - 0.6 * 10.0**-DIGITS)[:, None]  # what rounds to the k-th or more
-        many = np.flatnonzero(reach.sum(axis=1) > max(k, FIRST_RANGES))
+        at = np.flatnonzero(reach)
+        many = np.flatnonzero(np.bincount(at // n, minlength=len(reach)) > max(k, FIRST_RANGES))
         for q in many:  # equal scores: of those of the k-th, the last k will do
             value = np.round(scores[q], DIGITS)
             value = np.where(reach[q], value, -np.inf)
             kth = np.partition(value, n - k)[n - k]
             reach[q] = value > kth
             reach[q, np.flatnonzero(value == kth)[-k:]] = True
-        q, doc = np.nonzero(reach)
-        if not len(q):
+        at = np.flatnonzero(reach) if len(many) else at
+        if not len(at):
             return
-        some = np.unique(q)
-        value = np.round(scores[q, doc], DIGITS) + 0.0
+        q, doc = np.divmod(at, n)
+        some = q[np.concatenate([[True], q[1:] != q[:-1]])]
+        value = np.round(scores.ravel()[at], DIGITS) + 0.0
         q = np.concatenate([q, np.repeat(some, k)]) + first
         value = np.concatenate([value, self.scores[some + first].ravel()])
         place = np.concatenate([doc + offset, self.places[some + first].ravel()])
@@ -194,7 +198,8 @@ class Best:
 
 def _score(shard: dict, asked: Asked, best: Best, offset: int) -> int:
     """Scores a shard's documents for all questions; their number."""
-    n, terms, starts, docs, impacts = len(shard["ids"]), shard["terms"], shard["starts"].astype(np.int64), shard["docs"], shard["impacts"]
+    n, terms, starts, docs, tf = len(shard["sizes"]), shard["terms"], shard["starts"].astype(np.int64), shard["docs"], shard["tf"]
+    impacts = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * shard["sizes"] / shard["mean"]))[docs])
     row = np.searchsorted(terms, asked.terms)
     held = np.zeros(len(asked.terms), bool)
     held[row < len(terms)] = terms[row[row < len(terms)]] == asked.terms[row < len(terms)]
@@ -210,16 +215,18 @@ def _score(shard: dict, asked: Asked, best: Best, offset: int) -> int:
     weights = np.zeros(len(asked.terms))
     weights[held] = shard["idf"][row[held]]
     step = max(1, min(BLOCK, BATCH_SCORES // max(n, 1)))
-    for first in range(0, len(asked.numbers), step):
-        after = min(first + step, len(asked.numbers))
+    hits = np.concatenate([[0], np.cumsum(np.where(nth < 0, size, 0)[asked.place])])[asked.starts]
+    after = 0
+    while after < len(asked.numbers):
+        first, after = after, max(after + 1, min(after + step, len(asked.numbers), int(np.searchsorted(hits, hits[after] + BATCH_HITS, "right")) - 1))
         mine = slice(asked.starts[first], asked.starts[after])
         t = asked.place[mine]
         q = np.repeat(np.arange(after - first), np.diff(asked.starts[first : after + 1]))
         weight = asked.times[mine] * weights[t]
         rare = held[t] & (nth[t] < 0)
         counts = size[t[rare]]
-        at = np.repeat(starts[row[t[rare]]], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        scores = np.bincount(np.repeat(q[rare], counts) * n + docs[at], np.repeat(weight[rare], counts) * impacts[at], (after - first) * n).astype(np.float64).reshape(-1, n)
+        at = np.repeat(starts[row[t[rare]]] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        scores = np.bincount(np.repeat(q[rare] * n, counts) + docs[at], np.repeat(weight[rare], counts) * impacts[at], (after - first) * n).astype(np.float64, copy=False).reshape(-1, n)
         if len(common):
             share = np.zeros((after - first, len(common)))
             often = nth[t] >= 0
@@ -261,10 +268,10 @@ def by_run(index: Index, questions: DataFrame, k: int = 20, question_terms: int
                         if ids:
                             yield from found()
                         key, ids, best, offset = one, [], Best(len(asked.numbers), k), 0
-                    shard = {c: batch.column(c)[i].values.to_numpy() for c in ("terms", "idf", "starts", "docs", "impacts")}
-                    shard["ids"] = batch.column("ids")[i].values
-                    ids.append(shard["ids"])
-                    offset += _score(shard, asked, best, offset)
+                    shard = {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in BYTES.items()}
+                    offset += _score(shard | {"mean": batch.column("mean")[i].as_py()}, asked, best, offset)
+                    mine = batch.column("ids")[i].values
+                    ids.append(mine.take(pa.array(np.arange(len(mine)))))  # a copy: a view would hold the batch
             if ids:
                 yield from found()
 

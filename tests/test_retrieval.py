@@ -1,8 +1,12 @@
 """BM25 over sections against a plain version."""
 
+import collections
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +97,51 @@ def test_what_is_handed_on_grows_with_runs_not_with_shards(spark, run):
     got = sorted((r.question, r.section, r.id, r.score, r["rank"]) for r in R.search(index, questions, 5).collect())
     want = sorted(plain(docs, asked, 5))
     assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_no_row_group_of_the_index_holds_many_shards(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.expr("concat_ws(' ', transform(sequence(1, 400), i -> 'w' || pmod(xxhash64(id, i), 50000)))").alias("text"))
+    index = R.build(docs, shard_tokens=200_000)
+    files = list(ds.dataset(index.postings._docloom_path.removeprefix("file://")).get_fragments())
+    groups = [g for f in files for g in f.row_groups]
+    assert sum(g.num_rows for g in groups) == index.postings.count() >= 5
+    # Spark's reader decodes a row group's rows at once; one group held all shards of a file
+    assert max(g.total_byte_size for g in groups) < 6_000_000 and max(g.num_rows for g in groups) <= 3
+
+
+def test_documents_without_terms_fill_shards_and_runs_too(spark, monkeypatch):
+    monkeypatch.setattr(R, "SHARD_DOCS", 7)
+    monkeypatch.setattr(R, "RUN_DOCS", 50)
+    docs = [(i, "s", None if i % 2 else "") for i in range(120)] + [(500, "s", "a b")]
+    index = R.build(spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(3))
+    assert index.postings.select(F.max(F.size("ids"))).first()[0] == 7 and index.postings.select("run").distinct().count() == 3
+    got = R.search(index, spark.createDataFrame([(1, "a")], "question long, text string"), 5).orderBy("rank").collect()
+    want = plain(docs, [(1, "a")], 5)
+    assert [r.id for r in got] == [i for _, _, i, _, _ in want] and all(abs(r.score - x[3]) < 2e-6 for r, x in zip(got, want, strict=True))
+
+
+def test_questions_of_many_documents_are_counted_in_parts(monkeypatch):
+    r = np.random.default_rng(3)
+    sizes = np.full(400, 30)
+    tokens = r.integers(0, 300, sizes.sum())
+    known = np.arange(300)
+    row = R._shard("s", 0, pa.array(np.arange(400)), tokens, sizes, 30.0, known, r.random(300)).slice(0, 1)
+    shard = {c: np.frombuffer(row.column(c)[0].as_buffer(), kind) for c, kind in R.BYTES.items()} | {"mean": 30.0}
+    asked = R.Asked([collections.namedtuple("Row", "question terms")(q, list(map(int, r.integers(0, 310, 20)))) for q in range(100)])
+    found, counted = [], []
+    count = np.bincount
+
+    def seen(x, weights=None, minlength=0):
+        if weights is not None:
+            counted.append(len(x))
+        return count(x, weights, minlength)
+
+    monkeypatch.setattr(np, "bincount", seen)
+    for most in (10**9, 2000, 1):
+        monkeypatch.setattr(R, "BATCH_HITS", most)
+        counted.clear()
+        best = R.Best(100, 5)
+        assert R._score(shard, asked, best, 0) == 400
+        found.append((best.scores, best.places, max(counted), len(counted)))
+    assert found[0][2] > 50_000 and found[1][2] <= 2000 and found[2][3] == 100
+    assert all(np.abs(found[0][0] - x[0]).max() < 2e-6 and (found[0][1] == x[1]).all() for x in found[1:])
