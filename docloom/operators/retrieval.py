@@ -11,7 +11,8 @@ Weights are Okapi's with each section as a corpus: a term in more than half of t
 negative, and the score with it. Every document of a section has a score, 0 without a common term, so lists are padded to k.
 
 Defined cases: null texts are documents without terms; a question without terms gets the padding; a null section is a section of its own, and so is a null id's document
-a document, which comes last of equals. Equal scores go by the greater id. Extra columns aren't read; an empty table gives no rows.
+a document, which comes last of equals. Equal scores go by the greater id. An id may be a struct of the id and what later steps need of its document,
+which then need no join. Extra columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -314,9 +315,10 @@ def allowed(ranked: DataFrame, allow: DataFrame | None) -> DataFrame:
     return ranked if allow is None else ranked.join(allow.select("section", "id").distinct(), ["section", "id"], "left_semi")
 
 
-def by_section(ranked: DataFrame, sources: DataFrame, top: int, per_source: int, limit: int) -> DataFrame:
-    """The top rows of each question and section, at most per_source of a source and limit in all; sources: (id, origin)."""
+def by_section(ranked: DataFrame, sources: DataFrame | None, top: int, per_source: int, limit: int) -> DataFrame:
+    """The top rows of each question and section, at most per_source of a source and limit in all; sources: (id, origin), or null if ranked has the origin."""
     first = Window.partitionBy("question", "section").orderBy("rank")
-    rows = ranked.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top).join(sources, "id", "left")
+    rows = ranked.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top)
+    rows = rows if sources is None else rows.join(sources, "id", "left")
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("question", "section", "origin").orderBy("rank"))).filter((F.col("nth") <= per_source) | F.col("origin").isNull()).drop("nth")
     return rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit)

@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import retrieval as R
+from docloom.plans import search_plans
+from tests.oracle import assert_same
 
 
 def plain(docs, questions, k):
@@ -145,3 +147,29 @@ def test_questions_of_many_documents_are_counted_in_parts(monkeypatch):
         found.append((best.scores, best.places, max(counted), len(counted)))
     assert found[0][2] > 50_000 and found[1][2] <= 2000 and found[2][3] == 100
     assert all(np.abs(found[0][0] - x[0]).max() < 2e-6 and (found[0][1] == x[1]).all() for x in found[1:])
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Null and empty sources, null languages, a null text."""
+    r = random.Random(11)
+    top = str(tmp_path_factory.mktemp("odd"))
+    docs = [(i, None if i == 7 else " ".join(f"w{r.randrange(30)}" for _ in range(r.randrange(1, 12))), [None, "en", "de"][r.randrange(3)], [None, "", "a"][r.randrange(3)]) for i in range(90)]
+    asked = [(c, t, "user", " ".join(f"w{r.randrange(40)}" for _ in range(4))) for c in range(6) for t in range(2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame(asked, "conv_id long, turn long, role string, text string").write.parquet(f"{top}/conversations.parquet")
+    return top
+
+
+@pytest.mark.parametrize("name", ["section_ranking", "federated_search"])
+def test_null_and_empty_sources_and_null_languages_rank_as_in_sql(spark, odd, name):
+    from docloom.plans.catalog import oracle_sql
+
+    assert_same(getattr(search_plans, name)(spark, odd), oracle_sql()[name], {t: f"{odd}/{t}.parquet/*.parquet" for t in ("documents", "conversations")})
+
+
+def test_federated_search_shuffles_once_after_its_search(spark, odd):
+    found = search_plans.federated_search(spark, odd)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
